@@ -86,6 +86,9 @@ METRIC_KEYS = {
 }
 WARMUP_EPOCHS = 8
 
+# --- fixed values: model families whose alternative to scratch is pretrained
+PRETRAINED_MODEL_PREFIXES = ["terramind"]
+
 # --- fixed values: kernel widths of the multi-kernel MMD -------------------
 MMD_SIGMAS = [1.0, 2.0, 4.0, 8.0, 16.0]
 

@@ -135,7 +135,7 @@ def average_rank(
 ) -> DataFrame:
     """Rank within ``keys`` from 1, ties sharing their mean rank, nulls unranked."""
     keys = list(keys)
-    ranks = value_ranks(df, keys, value, out, splits)
+    ranks = value_ranks(df, keys, value, out, splits).drop(f"{out}_ties")
     return join_null_safe(df, ranks, keys + [value], "left")
 
 

@@ -388,10 +388,11 @@ def mmd2_random_features(z: DataFrame, bandwidth: float, dim: int, features: int
     def lift(e: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(2.0 / features) * np.cos(_matrix(e) @ w + shift)))
 
-    m = z.select("batch", "side", lift("embedding").alias("f")).groupBy("batch").pivot("side", ["a", "b"]).agg(
-        Summarizer.mean(array_to_vector("f"))
+    m = z.select("batch", "side", lift("embedding").alias("f")).groupBy("batch", "side").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("f"))).alias("m")
     )
-    return m.select("batch", vec.sq_dist(vector_to_array("a"), vector_to_array("b")).alias("mmd2"))
+    side = lambda s: F.first(F.when(F.col("side") == s, F.col("m")), ignorenulls=True)
+    return m.groupBy("batch").agg(vec.sq_dist(side("a"), side("b")).alias("mmd2"))
 
 
 # --- class centroids --------------------------------------------------------------------

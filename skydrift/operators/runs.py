@@ -69,7 +69,8 @@ def run_summary(curve: DataFrame, metrics: Sequence[str], best_metric: str, warm
 
 
 # --- run records -------------------------------------------------------------------
-def flatten_run_records(records: DataFrame, severity: DataFrame | None = None) -> DataFrame:
+def flatten_run_records(records: DataFrame, severity: DataFrame | None = None,
+                        pretrained_prefixes: Sequence[str] = tuple(C.PRETRAINED_MODEL_PREFIXES)) -> DataFrame:
     """One row per run and test condition.
 
     The matched condition is added when the cross-condition results lack it.
@@ -79,8 +80,11 @@ def flatten_run_records(records: DataFrame, severity: DataFrame | None = None) -
     train = F.when(F.element_at(parts, -1) == "v1.1", F.try_element_at(parts, F.lit(-2))).otherwise(F.element_at(parts, -1))
     model = F.coalesce("model", F.lit("student"))
     scratch = F.coalesce("scratch", F.lit(False))
+    family = F.lit(False)
+    for prefix in pretrained_prefixes:
+        family = family | model.startswith(prefix)
     init = (
-        F.when(model.startswith("terramind"), F.when(scratch, "random").otherwise("pretrained"))
+        F.when(family, F.when(scratch, "random").otherwise("pretrained"))
         .otherwise(F.when(scratch, "scratch").otherwise("distilled"))
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))

@@ -38,7 +38,7 @@ def pixels_wide(spark: SparkSession, sf: str) -> DataFrame:
     a = li.select(
         F.col("l_orderkey").alias("patch_index"), F.col("l_linenumber").alias("y"),
         (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("x"),
-        ((F.col("l_quantity") - 1.0) * 80.0).alias("a_blue"), (F.col("l_extendedprice") / 19.7).alias("a_green"),
+        ((F.col("l_quantity") - 1.0) * 80.0).alias("a_blue"), (F.col("l_extendedprice") / 19.73205).alias("a_green"),
         (F.round(F.col("l_discount") * 100.0) * 40.0).alias("a_red"), (F.round(F.col("l_tax") * 100.0) * 500.0).alias("a_nir"),
     )
     return a.select(
@@ -238,7 +238,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, a_blue * 0.9::DOUBLE + 25.0::DOUBLE + a_green * 0.01::DOUBLE AS b_blue, a_green * 1.1::DOUBLE + a_red * 0.02::DOUBLE AS b_green,
                a_red * 0.8::DOUBLE + a_blue * 0.05::DOUBLE AS b_red, a_nir * 1.05::DOUBLE + 10.0::DOUBLE + a_green * 0.03::DOUBLE AS b_nir
         FROM (SELECT l_orderkey AS patch_index, l_linenumber AS y, l_partkey * 100000 + l_suppkey AS x,
-                     (l_quantity - 1.0::DOUBLE) * 80.0::DOUBLE AS a_blue, l_extendedprice / 19.7::DOUBLE AS a_green,
+                     (l_quantity - 1.0::DOUBLE) * 80.0::DOUBLE AS a_blue, l_extendedprice / 19.73205::DOUBLE AS a_green,
                      round(l_discount * 100.0::DOUBLE) * 40.0::DOUBLE AS a_red, round(l_tax * 100.0::DOUBLE) * 500.0::DOUBLE AS a_nir
               FROM lineitem)"""),
     "pixels_long": (("pixels_wide",), " UNION ALL ".join(

@@ -233,9 +233,9 @@ def error_class(spark, sf):
     return m.groupBy("error_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("above_median_label", with_ctes("manifest", "SELECT patch_index, (wc_frac_10 > (SELECT quantile_cont(wc_frac_10, 0.5) FROM manifest))::INT AS label FROM manifest"))
+@query("above_median_label", with_ctes("manifest", "SELECT patch_index, coalesce((wc_frac_10 > (SELECT quantile_cont(wc_frac_10, 0.5) FROM manifest))::INT, -1) AS label FROM manifest"))
 def above_median_label(spark, sf):
-    return B.above_median_label(A.manifest(spark, sf).select("patch_index", "wc_frac_10"), "wc_frac_10").select("patch_index", "label")
+    return B.above_median_label(A.manifest(spark, sf).select("patch_index", "wc_frac_10"), "wc_frac_10").select("patch_index", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query("pick_metric", f"""

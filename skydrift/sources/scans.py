@@ -109,7 +109,7 @@ def scan_scene_xml(spark: SparkSession, path: str, defaults: dict[str, float] |
 def scan_scene_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     """``<id>_..._metadata.json`` files keyed by the id in their name."""
     m = spark.read.schema(schemas.SCENE_METADATA).json(path, multiLine=True)
-    return m.select(F.regexp_extract(F.input_file_name(), r"([^/_]+)_[^/]*metadata\.json$", 1).alias("scene_id"), "*")
+    return m.select(F.regexp_extract(F.input_file_name(), r"(?:^|[/=])([^/_=]+)_[^/]*metadata\.json", 1).alias("scene_id"), "*")
 
 
 def read_drift_reports(spark: SparkSession, path: str) -> DataFrame:
