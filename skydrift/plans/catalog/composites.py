@@ -11,8 +11,6 @@ from ..registry import query
 from . import bands as cb
 from . import datasets, experiments, labels, vectors
 
-_E, _C = F.col("embedding_drift"), F.col("class_drift")
-
 
 def pair_reports(spark, sf):
     """Vectors stand for images: components are pixels of four bands, slices are layers."""
@@ -40,8 +38,8 @@ def pair_drift_report(spark, sf):
     p = pair_reports(spark, sf)
     return p.select(
         "item_id", *[rnd(s[c]).alias(c) for c in ("avg_mean_difference", "max_mean_difference", "avg_std_change")],
-        rnd(F.try_element_at(s["bands"], F.lit("blue"))["mean_pct_change"], 4).alias("blue_mean_pct_change"), rnd(_E["cosine_similarity"]).alias("cosine_similarity"),
-        _C["class_flip"].alias("class_flip"), rnd(_C["probability_change"]).alias("probability_change"),
+        rnd(F.try_element_at(s["bands"], F.lit("blue"))["mean_pct_change"], 4).alias("blue_mean_pct_change"), rnd(F.col("embedding_drift.cosine_similarity")).alias("cosine_similarity"),
+        F.col("class_drift.class_flip").alias("class_flip"), rnd(F.col("class_drift.probability_change")).alias("probability_change"),
     )
 
 
