@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,12 +37,12 @@ def _scale(df: DataFrame, how: str) -> DataFrame:
     return j.withColumn("embedding", z).drop("_m", "_v", "_n")
 
 
-def _classifier(probe: str, rows: int, features: str = "features", label: str = "label", max_iter: int = 100):
+def _classifier(probe: str, rows: int, features: str = "features", label: str = "label", max_iter: int = 100, tol: float = 1e-4):
     # a penalty of 1/2 |w|^2 on the summed loss is 1/rows on the mean loss
     reg = 1.0 / max(rows, 1)
     if probe == "svm":
-        return LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter, standardization=False)
-    return LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter, standardization=False)
+        return LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter, tol=tol, standardization=False)
+    return LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter, tol=tol, standardization=False)
 
 
 def _probe_table(a: DataFrame, b: DataFrame, standardize: str, permute: bool, seed) -> DataFrame:
@@ -61,9 +63,12 @@ def out_of_fold(a: DataFrame, b: DataFrame, probe: str = "logistic", standardize
     """Held-out prediction and decision score of every row."""
     z = _probe_table(a, b, standardize, permute, seed)
     rows = z.count()
+    fit = lambda k: _classifier(probe, int(rows * (FOLDS - 1) / FOLDS)).fit(z.where(F.col("fold") != k))
+    # fits are many short jobs; running the folds side by side keeps the executors busy
+    with ThreadPoolExecutor(FOLDS) as pool:
+        models = list(pool.map(inheritable_thread_target(z.sparkSession)(fit), range(FOLDS)))
     out = None
-    for fold in range(FOLDS):
-        model = _classifier(probe, int(rows * (FOLDS - 1) / FOLDS)).fit(z.where(F.col("fold") != fold))
+    for fold, model in enumerate(models):
         pred = model.transform(z.where(F.col("fold") == fold)).select(
             "item_id", "domain", "fold", "label", "prediction", vector_to_array("rawPrediction")[1].alias("score")
         )

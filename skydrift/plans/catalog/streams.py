@@ -15,8 +15,8 @@ WINDOW, LATE = "1 hour", "10 minutes"
 
 # a window is final once the newest event is later than its end by the watermark delay
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-_WIN = f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS band, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
-    FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {_CLOSED}"""
+_WIN = f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS band, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
+    FROM events GROUP BY 1, 2) WHERE w + INTERVAL 1 HOUR <= {_CLOSED}"""
 
 
 def events_stream(spark, sf):

@@ -34,9 +34,14 @@ def scan_split_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_run_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Readable JSON records (one per file), and the files that are not readable."""
-    r = spark.read.schema(schemas.RUN_RECORD).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    r = r.withColumn("path", F.input_file_name())
+    """Readable JSON records (one per file), and the files that are not readable.
+
+    Files are small, so each is one row of text; a record that does not parse
+    keeps its text in the corrupt column.
+    """
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    r = t.select("path", F.from_json("value", schemas.RUN_RECORD, opts).alias("r")).select("path", "r.*")
     return r.where(F.col("_corrupt").isNull()).drop("_corrupt"), r.where(F.col("_corrupt").isNotNull()).select("path", "_corrupt")
 
 
