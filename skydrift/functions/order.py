@@ -18,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
+# estimates come from compressed files, so the real size may be tens of times larger
+SMALL_PLAN_BYTES = 16 * 1024 * 1024
 PILOT_BYTES = 64 * 1024 * 1024
 
 

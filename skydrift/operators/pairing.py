@@ -172,6 +172,9 @@ def next_in_order(df: DataFrame, key: str, splits: Sequence | None = None, out:
     b = df.withColumn("_bucket", order.bucket_of(F.col(key), splits))
     w = Window.partitionBy("_bucket").orderBy(key)
     b = b.withColumn("_lead", F.lead(key).over(w))
+    if not splits:
+        first = F.min(key).over(Window.partitionBy("_bucket"))
+        return b.withColumn(out, F.coalesce("_lead", first)).drop("_bucket", "_lead")
     heads = b.groupBy("_bucket").agg(F.min(key).alias("_head"))
     hw = Window.partitionBy(F.lit(0))
     heads = heads.select(
