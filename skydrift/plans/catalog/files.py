@@ -126,20 +126,22 @@ def scan_geojson(spark, sf):
 
 
 def _write_xml(spark, sf):
+    """Metadata documents of twenty suppliers per file."""
     s = A.table(spark, sf, "supplier")
     irr = F.concat(*[F.concat(F.lit(f'<SOLAR_IRRADIANCE bandId="{i}" unit="W">'), (F.col("s_acctbal") + 1000.0 * i).cast("string"), F.lit("</SOLAR_IRRADIANCE>")) for i in (1, 2)])
     row = lambda k: F.concat(F.lit("<VALUES>"), *[x for j in range(3) for x in ((F.col("s_nationkey") * 2 + k * 3 + j).cast("string"), F.lit(" "))], F.lit("NaN</VALUES>"))
     grid = F.concat(F.lit("<Sun_Angles_Grid><Zenith><Values_List>"), row(0), row(1), F.lit("</Values_List></Zenith></Sun_Angles_Grid>"))
     doc = F.concat(F.lit("<Scene>"), irr, grid, F.lit("</Scene>"))
     path = shared_dir(spark, "xml")
-    s.select((F.col("s_suppkey") % 50).alias("tile"), doc.alias("value")).write.partitionBy("tile").text(path)
+    whole = s.groupBy(F.floor(F.col("s_suppkey") / 20).alias("tile")).agg(F.array_join(F.collect_list(doc), "").alias("d"))
+    whole.select("tile", F.concat(F.lit("<Scenes>"), "d", F.lit("</Scenes>")).alias("value")).write.partitionBy("tile").text(path)
     return scans.scan_scene_xml(spark, f"{path}/*/*", {1: 1900.0, 2: 1800.0, 3: 1700.0})
 
 
 @query("scan_scene_xml", f"""
     SELECT tile, band_id, {r('sum(irradiance)', 3)} AS irradiance FROM (
-        SELECT (s_suppkey % 50)::VARCHAR AS tile, unnest([1, 2]) AS band_id, unnest([s_acctbal + 1000, s_acctbal + 2000]) AS irradiance FROM supplier
-        UNION ALL SELECT DISTINCT (s_suppkey % 50)::VARCHAR, 3, 1700.0 FROM supplier) GROUP BY ALL""")
+        SELECT (s_suppkey // 20)::VARCHAR AS tile, unnest([1, 2]) AS band_id, unnest([s_acctbal + 1000, s_acctbal + 2000]) AS irradiance FROM supplier
+        UNION ALL SELECT DISTINCT (s_suppkey // 20)::VARCHAR, 3, 1700.0 FROM supplier) GROUP BY ALL""")
 def scan_scene_xml(spark, sf):
     """Band 3 is stated nowhere and comes from the defaults, once per file."""
     irr = _write_xml(spark, sf)[0]
@@ -149,7 +151,7 @@ def scan_scene_xml(spark, sf):
 
 @query("scan_scene_xml_zenith", f"""
     SELECT tile, "row", col, {r('avg(z)')} AS zenith FROM (
-        SELECT (s_suppkey % 50)::VARCHAR AS tile, "row", unnest([0, 1, 2])::INT AS col, unnest([s_nationkey * 2 + "row" * 3, s_nationkey * 2 + "row" * 3 + 1, s_nationkey * 2 + "row" * 3 + 2]) AS z
+        SELECT (s_suppkey // 20)::VARCHAR AS tile, "row", unnest([0, 1, 2])::INT AS col, unnest([s_nationkey * 2 + "row" * 3, s_nationkey * 2 + "row" * 3 + 1, s_nationkey * 2 + "row" * 3 + 2]) AS z
         FROM (SELECT *, unnest([0, 1])::INT AS "row" FROM supplier)) GROUP BY ALL""")
 def scan_scene_xml_zenith(spark, sf):
     z = _write_xml(spark, sf)[1].where(~F.isnan("zenith"))

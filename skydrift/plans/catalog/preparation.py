@@ -174,11 +174,11 @@ def _scene_meta(spark, sf):
     s = A.table(spark, sf, "supplier")
     cells = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(1900.0 - 200.0 * i).alias("irradiance")) for i, b in enumerate(A.BANDS)]))
     return s.select(
-        F.col("s_suppkey").alias("scene_id"), (F.col("s_nationkey") * 2.5).alias("sun_zenith"), (1.0 + F.col("s_acctbal") / 1e6).alias("earth_sun_dist"), cells.alias("c")
+        F.col("s_suppkey").alias("scene_id"), (F.col("s_nationkey") * 2.5).alias("sun_zenith"), (1.0 + F.col("s_acctbal") / 1037213.0).alias("earth_sun_dist"), cells.alias("c")
     ).select("scene_id", "sun_zenith", "earth_sun_dist", "c.*")
 
 
-_META = """SELECT s_suppkey AS scene_id, s_nationkey * 2.5::DOUBLE AS sun_zenith, 1.0::DOUBLE + s_acctbal / 1e6 AS earth_sun_dist,
+_META = """SELECT s_suppkey AS scene_id, s_nationkey * 2.5::DOUBLE AS sun_zenith, 1.0::DOUBLE + s_acctbal / 1037213.0::DOUBLE AS earth_sun_dist,
     unnest(['blue', 'green', 'red', 'nir']) AS band, unnest([1900.0::DOUBLE, 1700.0::DOUBLE, 1500.0::DOUBLE, 1300.0::DOUBLE]) AS irradiance FROM supplier"""
 _SCENE_PX = "SELECT *, x % 100000 AS scene_id FROM pixels_long WHERE view = 'a'"
 _FACTOR = "cos(radians(sun_zenith)) * earth_sun_dist / pi() * irradiance"
