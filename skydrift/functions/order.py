@@ -36,12 +36,16 @@ def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on the keys in which nulls match each other."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Gives a scan with fewer splits than cores one shuffle by ``keys``.
+
+    A single small file is read by one task, which would then do all per-row
+    work alone. Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -180,29 +184,31 @@ def grouped_percentiles(
     b = data.withColumn("_bucket", bucket_of(F.col("_v"), splits))
     offsets = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_w")), keys)
     # wanted ranks, at most two per probability, each falling into one range
-    spots = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(p)) * (F.col("_all") - 1)).alias("pos"),
-            )
-            for i, p in enumerate(probs)
-        ]
+    spots = F.flatten(
+        F.array(
+            *[
+                F.array(
+                    *[
+                        F.struct(F.lit(i).alias("i"), pos.alias("pos"), side(pos).alias("rank"))
+                        for side in ((F.floor,) if p in (0.0, 1.0) else (F.floor, F.ceil))
+                    ]
+                )
+                for i, p in enumerate(probs)
+                for pos in (F.lit(float(p)) * (F.col("_all") - 1),)
+            ]
+        )
     )
-    need = offsets.withColumn("_spot", F.explode(spots)).select(
-        *keys, "_bucket", "_before", "_w",
-        F.col("_spot.i").alias("_i"),
-        F.col("_spot.pos").alias("_pos"),
-        F.explode(F.array(F.floor("_spot.pos"), F.ceil("_spot.pos"))).alias("_rank"),
-    ).distinct()
-    need = need.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_w")))
-    hit = need.select(*keys, "_bucket", "_before").distinct()
-    part = join_null_safe(b, hit, keys + ["_bucket"])
+    inside = lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_before") + F.col("_w"))
+    need = offsets.select(*keys, "_bucket", "_before", F.array_distinct(F.filter(spots, inside)).alias("_spots")).where(F.size("_spots") > 0)
+    # both uses of ``need`` sit on the same small exchange of range counts, which Spark reuses
+    part = join_null_safe(b, need.select(*keys, "_bucket", "_before"), keys + ["_bucket"])
     counts = part.groupBy(*keys, "_bucket", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(w)).drop("_before")
-    found = join_null_safe(counts, need.select(*keys, "_bucket", "_i", "_pos", "_rank"), keys + ["_bucket"]).where(
-        (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
+    counts = join_null_safe(counts, need.select(*keys, "_bucket", "_spots"), keys + ["_bucket"])
+    here = lambda s: (s["rank"] < F.col("_end")) & (s["rank"] >= F.col("_end") - F.col("_n"))
+    found = counts.select(*keys, "_v", F.explode(F.filter("_spots", here)).alias("_s")).select(
+        *keys, "_v", F.col("_s.i").alias("_i"), F.col("_s.pos").alias("_pos"), F.col("_s.rank").alias("_rank")
     )
     frac = F.col("_pos") - F.floor("_pos")
     share = (
@@ -258,7 +264,7 @@ def hash_key(seed, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digits: int = 3) -> DataFrame:
+def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digits: int = 4) -> DataFrame:
     """One row: the digest at rank int(f*n) for every fraction, plus n.
 
     Digests are uniform, so their first hex digits are ready-made even ranges.
@@ -285,3 +291,18 @@ def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digi
     return hit.agg(
         *[F.max(F.when(F.col("_i") == i, F.col(digest))).alias(f"t{i}") for i in range(len(fractions))]
     )
+
+
+def lowest_per_group(df: DataFrame, group: Sequence[str], digest: str, n: int, digits: int = 4) -> DataFrame:
+    """The rows with the n lowest digests of every group, however large a group is.
+
+    Rows are counted per group and leading digits of the digest (one map-side
+    combined shuffle). Only the ranges that start before rank n are kept, so the
+    final ranking sees little more than n rows per group.
+    """
+    keys = list(group)
+    b = df.withColumn("_bucket", F.substring(digest, 1, digits))
+    offs = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_w")), keys)
+    kept = join_null_safe(b, offs.where(F.col("_before") < n).select(*keys, "_bucket"), keys + ["_bucket"])
+    w = Window.partitionBy(*keys).orderBy(digest)
+    return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_bucket")

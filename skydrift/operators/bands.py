@@ -316,13 +316,13 @@ def value_histogram(df: DataFrame, keys: Sequence[str], bins: int = 50, log: boo
     towards the density.
     """
     src = df.where(F.col(value).isNotNull())
-    pool = order.grouped_percentiles(src, [], value, list(trim), splits=splits)
+    pool = order.grouped_percentiles(src, [], value, list(trim), splits=splits).select("pct").scalar()
     if log:
         low = order.grouped_percentiles(src.where(F.col(value) > 0), [], value, [trim[0]], splits=splits)
         lo = F.greatest(low.select(F.col("pct")[0]).scalar(), F.lit(1.0))
     else:
-        lo = pool.select(F.col("pct")[0]).scalar()
-    hi = pool.select(F.col("pct")[1]).scalar()
+        lo = pool[0]
+    hi = pool[1]
     tf = (lambda c: F.log10(c)) if log else (lambda c: c)
     e = src.select(*keys, F.col(value).alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
     e = e.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
@@ -361,11 +361,9 @@ def class_error_stats(df: DataFrame, error: str = "error", label: str = "label")
             F.avg(error).alias("mean"), F.stddev_pop(error).alias("std"), F.count(error).alias("n"), F.sum(error).alias("_s")
         )
     )
-    t = g.agg(F.sum("n").alias("n"), F.sum("_s").alias("s"))
+    t = g.agg(F.struct(F.sum("n").alias("n"), F.sum("_s").alias("s"))).scalar()
     return g.select(
-        label, "mean", "std", "n",
-        (F.col("n") * 100.0 / t.select("n").scalar()).alias("share_pct"),
-        (t.select("s").scalar() / t.select("n").scalar()).alias("overall_mean"),
+        label, "mean", "std", "n", (F.col("n") * 100.0 / t["n"]).alias("share_pct"), (t["s"] / t["n"]).alias("overall_mean")
     )
 
 

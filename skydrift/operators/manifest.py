@@ -27,11 +27,8 @@ def lag_histogram(df: DataFrame, width: float = 0.5, lag: str = "patch_delta_day
 def monthly_coverage(df: DataFrame, date: str = "date_phi") -> DataFrame:
     """Rows per calendar month, with first and last month and the months covered."""
     m = df.where(F.col(date).isNotNull()).groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    t = m.agg(F.min("month").alias("a"), F.max("month").alias("b"), F.count(F.lit(1)).alias("k"))
-    return m.select(
-        "month", "n", t.select("a").scalar().alias("first_month"), t.select("b").scalar().alias("last_month"),
-        t.select("k").scalar().alias("months"),
-    )
+    t = m.agg(F.struct(F.min("month").alias("a"), F.max("month").alias("b"), F.count(F.lit(1)).alias("k"))).scalar()
+    return m.select("month", "n", t["a"].alias("first_month"), t["b"].alias("last_month"), t["k"].alias("months"))
 
 
 def ecdf(df: DataFrame, cols: Sequence[str], splits: Sequence | None = None) -> DataFrame:
@@ -127,13 +124,14 @@ def manifest_summary(raw: DataFrame, bad_ids: Sequence[int] = tuple(C.BAD_PRODUC
         ],
         [0.5], splits=splits,
     )
-    sizes, leak = group_sizes(kept, splits=splits), pairing.split_leakage(kept, "product_id", split)
+    sizes = group_sizes(kept, splits=splits).select(F.struct("median_size", "largest")).scalar()
+    leak = pairing.split_leakage(kept, "product_id", split).select(F.struct("shared", "total")).scalar()
     return one.select(
         raw.agg(F.count(F.lit(1))).scalar().alias("patches_in_manifest"), "patches", "products",
-        sizes.select("median_size").scalar().alias("patches_per_product_median"),
-        sizes.select("largest").scalar().alias("patches_per_product_max"),
+        sizes["median_size"].alias("patches_per_product_median"),
+        sizes["largest"].alias("patches_per_product_max"),
         F.col("pct")[0].alias("delta_days_median"), "delta_days_mean", "delta_days_max", "pct_under_5pct_cloud",
         "unlabelled_pixel_pct", "first_date", "last_date", "n_train", "n_val", "n_test",
-        leak.select("shared").scalar().alias("leaked_products"), leak.select("total").scalar().alias("test_products"),
+        leak["shared"].alias("leaked_products"), leak["total"].alias("test_products"),
         "class_prior_pct",
     )

@@ -181,9 +181,9 @@ def class_weights(freq: DataFrame, scheme: str = "inverse_sqrt", beta: float = 0
         / F.greatest(1.0 - F.pow(F.lit(beta), F.greatest(F.col("freq") * n_total, F.lit(1.0))), F.lit(1e-12)),
     }[scheme]
     w = freq.withColumn("_w", raw)
-    t = w.agg(F.avg("_w").alias("mean"), F.max("_w").alias("hi"), F.min("_w").alias("lo"))
-    flat = F.lit(False) if scheme == "none" else t.select((F.col("hi") / F.greatest("lo", F.lit(1e-12))) < 1.05).scalar()
-    return w.select("class", "freq", (F.col("_w") / t.select("mean").scalar()).alias("weight"), flat.alias("near_uniform"))
+    t = w.agg(F.struct(F.avg("_w").alias("mean"), F.max("_w").alias("hi"), F.min("_w").alias("lo"))).scalar()
+    flat = F.lit(False) if scheme == "none" else t["hi"] / F.greatest(t["lo"], F.lit(1e-12)) < 1.05
+    return w.select("class", "freq", (F.col("_w") / t["mean"]).alias("weight"), flat.alias("near_uniform"))
 
 
 def chance_miou(freq: DataFrame) -> DataFrame:

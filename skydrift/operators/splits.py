@@ -51,34 +51,30 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed=42) -> DataFrame:
     return d.orderBy("_h").limit(n).drop("_h").orderBy(*keys)
 
 
-def sample_pixels(df: DataFrame, per_patch: int, seed=42, patch: str = "patch_index", pos: Sequence[str] = ("y", "x"),
-                  salts: int = 1) -> DataFrame:
+# Spark limits a ranked window before its shuffle up to this many rows per group
+WINDOW_LIMIT = 1000
+
+
+def sample_pixels(df: DataFrame, per_patch: int, seed=42, patch: str = "patch_index", pos: Sequence[str] = ("y", "x")) -> DataFrame:
     """The same ``per_patch`` positions in every view of a patch.
 
-    Positions are ranked once per patch, on the digest, without the view. With
-    ``salts`` a very large patch is first cut to its best rows per part.
+    Positions are ranked once per patch, on the digest, without the view. A small
+    sample is cut down map-side by the window limit; a large one goes by ranges.
     """
     p = [patch, *pos]
     spots = df.select(*p).distinct().withColumn("_h", order.hash_key(seed, *[F.col(c) for c in p]))
-    kept = _lowest_per_group(spots, [patch], "_h", per_patch, salts)
+    if per_patch > WINDOW_LIMIT:
+        kept = order.lowest_per_group(spots, [patch], "_h", per_patch)
+    else:
+        w = Window.partitionBy(patch).orderBy("_h")
+        kept = spots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_patch)
     return df.join(kept.select(*p), p, "left_semi")
 
 
-def balanced_sample(df: DataFrame, label: str, cap: int, keys: Sequence[str], seed=42, ignore=-1, salts: int = 32) -> DataFrame:
-    """At most ``cap`` rows per class. Classes are few and may be huge, so each is
-    first reduced within ``salts`` parts, then the survivors are ranked."""
+def balanced_sample(df: DataFrame, label: str, cap: int, keys: Sequence[str], seed=42, ignore=-1, digits: int = 4) -> DataFrame:
+    """At most ``cap`` rows per class, by digest; classes are few and may be huge."""
     d = df.where(F.col(label) != ignore).withColumn("_h", order.hash_key(seed, *[F.col(k) for k in keys]))
-    return _lowest_per_group(d, [label], "_h", cap, salts).drop("_h")
-
-
-def _lowest_per_group(df: DataFrame, group: Sequence[str], digest: str, n: int, salts: int) -> DataFrame:
-    """Rows with the n lowest digests per group, in two bounded steps."""
-    if salts > 1:
-        part = F.conv(F.substring(digest, 31, 2), 16, 10).cast("int") % salts
-        w1 = Window.partitionBy(*group, "_part").orderBy(digest)
-        df = df.withColumn("_part", part).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_part")
-    w = Window.partitionBy(*group).orderBy(digest)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return order.lowest_per_group(d, [label], "_h", cap, digits).drop("_h")
 
 
 def permute_labels(df: DataFrame, key: str, label: str, seed=1, out: str = "permuted", splits: Sequence | None = None) -> DataFrame:

@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import order
+
 BANDS = ["blue", "green", "red", "nir"]
 LAYERS, LAYER_DIM = 4, 16
 
 
+KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    t = spark.read.parquet(f"{sf}/{name}.parquet")
+    return order.spread(t, KEYS[name]) if name in KEYS else t
 
 
 # --- rounding shared with SQL ---------------------------------------------------

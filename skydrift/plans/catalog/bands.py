@@ -12,18 +12,16 @@ _STATS = f"""
     {r('quantile_cont(value, 0.5)', 4)} AS median, {r('quantile_cont(value, 0.25)', 4)} AS p25, {r('quantile_cont(value, 0.75)', 4)} AS p75"""
 
 
-@query("explode_pixels", with_ctes("pixels_long", """
-    SELECT scene, band, y::INT AS y, x::INT AS x, value FROM (
-        SELECT patch_index % 100 AS scene, band, (row_number() OVER w - 1) // 16 AS y, (row_number() OVER w - 1) % 16 AS x, value
-        FROM pixels_long WHERE view = 'a' WINDOW w AS (PARTITION BY patch_index % 100, band ORDER BY patch_index, y, x, value))"""))
+@query("explode_pixels", """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (i // 2)::INT AS y, (i % 2)::INT AS x, v AS value FROM (
+        SELECT *, unnest([0, 1, 2, 3]) AS i, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)""")
 def explode_pixels(spark, sf):
-    """Lines packed into 16-wide rasters per scene and band, then flattened again."""
+    """Every line is an image of two by two."""
     from ...operators import raster
 
-    p = A.pixels_long(spark, sf).where("view = 'a'").withColumn("scene", F.col("patch_index") % 100)
-    packed = p.groupBy("scene", "band").agg(F.array_sort(F.collect_list(F.struct("patch_index", "y", "x", "value"))).alias("_p"))
-    packed = packed.select("scene", "band", F.lit(16).alias("width"), F.transform("_p", lambda s: s["value"]).alias("pixels"))
-    return raster.explode_pixels(packed, ("scene", "band"))
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    li = A.table(spark, sf, "lineitem").select(*keys, F.lit(2).alias("width"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("pixels"))
+    return raster.explode_pixels(li, keys)
 
 
 @query("band_stats", with_ctes("pixels_long", f"SELECT view, band, {_STATS} FROM pixels_long WHERE value > 0 GROUP BY view, band"))

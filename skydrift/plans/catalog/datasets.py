@@ -155,7 +155,7 @@ def sample_n(spark, sf):
     SELECT patch_index, y, x, view, band FROM pixels_long SEMI JOIN (SELECT patch_index, y, x FROM (SELECT DISTINCT patch_index, y, x FROM pixels_long)
         QUALIFY row_number() OVER (PARTITION BY patch_index ORDER BY md5('42:' || patch_index || ':' || y || ':' || x)) <= 3) USING (patch_index, y, x)"""))
 def sample_pixels(spark, sf):
-    return S.sample_pixels(A.pixels_long(spark, sf).drop("value"), 3, salts=4)
+    return S.sample_pixels(A.pixels_long(spark, sf).drop("value"), 3)
 
 
 @query("balanced_sample", with_ctes("masks", """

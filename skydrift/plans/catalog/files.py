@@ -16,19 +16,18 @@ from .experiments import run_records
 
 
 @query("scan_patch_bands", """
-    SELECT l_orderkey AS patch_index, band, count(*) AS n, sum(v)::BIGINT AS total FROM (
-        SELECT l_orderkey, unnest(['quantity', 'line']) AS band, unnest([l_quantity::INT, l_linenumber]) AS v FROM lineitem) GROUP BY ALL""")
+    SELECT band, (i // 2)::INT AS y, (i % 2)::INT AS x, count(*) AS n, sum(v)::BIGINT AS total FROM (
+        SELECT l_returnflag AS band, unnest([0, 1, 2, 3]) AS i, unnest([l_quantity::INT, l_linenumber, round(l_discount * 100)::INT, round(l_tax * 100)::INT]) AS v FROM lineitem) GROUP BY ALL""")
 def scan_patch_bands(spark, sf):
-    """Band arrays per patch, stored as parquet, scanned and flattened."""
-    li = A.table(spark, sf, "lineitem")
-    cells = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(c).cast("smallint").alias("v")) for b, c in (("quantity", "l_quantity"), ("line", "l_linenumber"))]))
-    p = li.select(F.col("l_orderkey").alias("patch_index"), cells.alias("c")).groupBy("patch_index", F.lit("a").alias("view"), F.col("c.band").alias("band")).agg(
-        F.lit(1).alias("height"), F.count(F.lit(1)).cast("int").alias("width"), F.collect_list("c.v").alias("pixels")
+    """A two by two band per line, stored as parquet, scanned and flattened."""
+    px = F.array("l_quantity", "l_linenumber", F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)).cast("array<smallint>")
+    p = A.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("patch_index"), F.lit("a").alias("view"), F.col("l_returnflag").alias("band"), F.lit(2).alias("height"), F.lit(2).alias("width"), px.alias("pixels")
     )
     path = shared_dir(spark, "patch-bands")
     p.write.parquet(path)
-    px = raster.explode_pixels(scans.scan_patch_bands(spark, path))
-    return px.groupBy("patch_index", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    flat = raster.explode_pixels(scans.scan_patch_bands(spark, path))
+    return flat.groupBy("band", "y", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("scan_manifest", with_ctes("manifest", f"""

@@ -275,24 +275,15 @@ def run_label(spark, sf):
     return A.table(spark, sf, "events").select("event_id", X.run_label(path, cfg).alias("run_label"))
 
 
-# --- raster tables: every supplier is a scene whose lines fill rows of its own width ----------
-_RASTER = """SELECT scene, pos // w AS y, pos % w AS x, w AS width, ceil(n / w::DOUBLE)::INT AS height, value FROM (
-    SELECT *, (4 + scene % 5)::INT AS w FROM (
-        SELECT l_suppkey AS scene, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1)::INT AS pos,
-               (count(*) OVER (PARTITION BY l_suppkey))::INT AS n, l_quantity AS value FROM lineitem))"""
+# --- raster tables: every order is a scene of seven rows, its lines are pixels ----------------
+_RASTER = """SELECT l_orderkey AS scene, l_linenumber - 1 AS y, (l_partkey % (4 + l_orderkey % 5))::INT AS x, (4 + l_orderkey % 5)::INT AS width, 7 AS height, l_quantity AS value FROM lineitem"""
 
 
 def _raster(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey")
-    li = A.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("scene"), (F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1).alias("pos"),
-        F.count(F.lit(1)).over(w).cast("int").alias("n"), F.col("l_quantity").alias("value"), (4 + F.col("l_suppkey") % 5).cast("int").alias("width"),
-    )
-    return li.select(
-        "scene", (F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"), "width",
-        F.ceil(F.col("n") / F.col("width").cast("double")).cast("int").alias("height"), "value",
+    width = (4 + F.col("l_orderkey") % 5).cast("int")
+    return A.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("scene"), (F.col("l_linenumber") - 1).alias("y"), (F.col("l_partkey") % width).cast("int").alias("x"),
+        width.alias("width"), F.lit(7).alias("height"), F.col("l_quantity").alias("value"),
     )
 
 

@@ -47,9 +47,17 @@ def stream_drift_monitor(spark, sf):
     return A.rounded(d.select(_text("window_start"), "band", "n", "mean_diff", "mean_pct_change", "std_change", "drifted"))
 
 
-@query("stream_prediction_drift")
+@query("stream_prediction_drift", f"""
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, pairs, flips, {r('flips / pairs')} AS flip_rate FROM (
+        SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS pairs, count(*) FILTER (WHERE k % 7 = 0 AND k % 4 <> 0) AS flips
+        FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY 1)
+    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 20 MINUTE FROM events)""")
 def stream_prediction_drift(spark, sf):
-    """Two feeds of the same items, the second up to nine minutes later; checked against batch in tests."""
+    """Two feeds of the same items, the second up to nine minutes later.
+
+    A window is final when neither feed can add to it: the watermark delay and
+    the join bound have both passed.
+    """
     a = events_stream(spark, sf).select(F.col("event_id").alias("item_id"), "ts", (F.col("k") % 4).alias("predicted_class"))
     later = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k") % 10, F.lit(0))
     b = events_stream(spark, sf).select(F.col("event_id").alias("item_id"), later.alias("ts"), F.when(F.col("k") % 7 == 0, 0).otherwise(F.col("k") % 4).alias("predicted_class"))

@@ -66,9 +66,10 @@ def segmentation_drift_report(pairs: DataFrame, pixels: DataFrame, masks: DataFr
     px = pixels.join(with_partner, key, "left_semi")
     spec = B.folder_spectral_summary(B.spectral_drift_summary(B.spectral_drift_wide(px, [key, "band"], "a", "b"), [key]))
     info = P.split_info(pairs)
+    row = lambda df, names: [df.select(F.struct(*names)).scalar()[n].alias(n) for n in names]
     return seg.select(
-        "*", *[spec.select(c).scalar().alias(c) for c in ("avg_mean_difference", "max_mean_difference", "avg_std_change", "max_std_change")],
-        *[info.select(c).scalar().alias(c) for c in ("total", "with_partner", "without_partner")],
+        "*", *row(spec, ["avg_mean_difference", "max_mean_difference", "avg_std_change", "max_std_change"]),
+        *row(info, ["total", "with_partner", "without_partner"]),
     )
 
 

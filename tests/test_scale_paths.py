@@ -163,6 +163,14 @@ def test_permuted_labels_keep_their_counts(skewed):
         assert before == after and p.where("g <> permuted").count() > 0
 
 
-def test_salted_sample_equals_plain(skewed):
-    ids = [{r["id"] for r in splits.balanced_sample(skewed.withColumn("c", F.when(F.col("g") == "g0", 0).otherwise(1)), "c", 40, ["id"], salts=s).collect()} for s in (1, 16)]
+def test_lowest_per_group(skewed):
+    two = skewed.withColumn("c", F.when(F.col("g") == "g0", 0).otherwise(1))
+    ids = [{r["id"] for r in splits.balanced_sample(two, "c", 40, ["id"], digits=d).collect()} for d in (1, 4)]
     assert ids[0] == ids[1] and len(ids[0]) == 80
+    px = skewed.select(F.col("g").alias("patch_index"), F.col("id").alias("y"), F.lit(0).alias("x"))
+    small = {(r["patch_index"], r["y"]) for r in splits.sample_pixels(px, 5).collect()}
+    limit, splits.WINDOW_LIMIT = splits.WINDOW_LIMIT, 1
+    try:
+        assert small == {(r["patch_index"], r["y"]) for r in splits.sample_pixels(px, 5).collect()}
+    finally:
+        splits.WINDOW_LIMIT = limit
