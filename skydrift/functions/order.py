@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # estimates come from compressed files, so the real size may be tens of times larger
 SMALL_PLAN_BYTES = 16 * 1024 * 1024
 PILOT_BYTES = 64 * 1024 * 1024
+# a group row is some hundred bytes at most
+BROADCAST_ROWS = 200_000
 
 
 def plan_bytes(df: DataFrame) -> int | None:
@@ -31,9 +33,9 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     size = plan_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= (SMALL_PLAN_BYTES if limit is None else limit)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -62,7 +64,24 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def range_splits(df: DataFrame, value: str, parts: int | None = None, small_limit: int = SMALL_PLAN_BYTES) -> list:
+def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows joined to a table of one row per group, without shuffling the rows.
+
+    Catalyst cannot know that an aggregate is small, and a sort-merge join would
+    send every row to one of a few group keys. So for a large ``df`` the group
+    table is computed once into the shared folder and counted: up to
+    ``BROADCAST_ROWS`` it is broadcast, beyond that it is joined the usual way.
+    """
+    if is_small(df):
+        return join_null_safe(df, stats, keys, how)
+    from ..session import cut_lineage
+
+    stats = cut_lineage(stats)
+    few = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return join_null_safe(df, F.broadcast(stats) if few else stats, keys, how)
+
+
+def range_splits(df: DataFrame, value: str, parts: int | None = None, small_limit: int | None = None) -> list:
     """Ascending cut points that spread ``value`` over ``parts`` ranges.
 
     Empty for a plan Catalyst puts under ``small_limit`` bytes: then one range
@@ -70,7 +89,7 @@ def range_splits(df: DataFrame, value: str, parts: int | None = None, small_limi
     """
     size = plan_bytes(df)
     if parts is None:
-        if size is not None and size <= small_limit:
+        if size is not None and size <= (SMALL_PLAN_BYTES if small_limit is None else small_limit):
             return []
         parts = max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     pilot = df.select(value).where(F.col(value).isNotNull())
@@ -118,7 +137,7 @@ def prefix_sum(
             b = b.withColumn(total, F.sum(weight).over(Window.partitionBy(*keys, "_bucket")))
         return b.drop("_bucket")
     offsets = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w")), keys)
-    joined = join_null_safe(b.withColumn("_run", running), offsets, keys + ["_bucket"])
+    joined = join_group_stats(b.withColumn("_run", running), offsets, keys + ["_bucket"])
     joined = joined.withColumn(out, F.col("_run") + F.col("_before"))
     if total:
         joined = joined.withColumn(total, F.col("_all"))
@@ -200,8 +219,7 @@ def grouped_percentiles(
     )
     inside = lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_before") + F.col("_w"))
     need = offsets.select(*keys, "_bucket", "_before", F.array_distinct(F.filter(spots, inside)).alias("_spots")).where(F.size("_spots") > 0)
-    # both uses of ``need`` sit on the same small exchange of range counts, which Spark reuses
-    part = join_null_safe(b, need.select(*keys, "_bucket", "_before"), keys + ["_bucket"])
+    part = join_group_stats(b, need.select(*keys, "_bucket", "_before"), keys + ["_bucket"])
     counts = part.groupBy(*keys, "_bucket", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(w)).drop("_before")
@@ -303,6 +321,6 @@ def lowest_per_group(df: DataFrame, group: Sequence[str], digest: str, n: int, d
     keys = list(group)
     b = df.withColumn("_bucket", F.substring(digest, 1, digits))
     offs = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_w")), keys)
-    kept = join_null_safe(b, offs.where(F.col("_before") < n).select(*keys, "_bucket"), keys + ["_bucket"])
+    kept = join_group_stats(b, offs.where(F.col("_before") < n).select(*keys, "_bucket"), keys + ["_bucket"])
     w = Window.partitionBy(*keys).orderBy(digest)
     return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_bucket")

@@ -215,7 +215,7 @@ def box_stats(df: DataFrame, z: bool = False, value: str = "value", splits: Sequ
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
     out = (
-        src.select(*k, "_v").join(q, k).where(inside)
+        order.join_group_stats(src.select(*k, "_v"), q, k).where(inside)
         .groupBy(*k, "_m", "_s", "q1", "median", "q3")
         .agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
     )
@@ -270,7 +270,7 @@ def weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, ou
         (F.sum(F.col(y) * F.col(w)) / F.sum(w)).alias("_my"),
     ]
     if k:
-        c = order.join_null_safe(df, df.groupBy(*k).agg(*means), k)
+        c = order.join_group_stats(df, df.groupBy(*k).agg(*means), k)
     else:
         m = df.agg(*means)
         c = df.withColumn("_mx", m.select("_mx").scalar()).withColumn("_my", m.select("_my").scalar())
@@ -380,7 +380,7 @@ def reorder_stack(stack, order_: Sequence[int]):
 
 def normalize_by_stats(df: DataFrame, stats: DataFrame, value: str = "value", out: str = "norm") -> DataFrame:
     """Square root, clip and z-score with the statistics of each (view, band)."""
-    j = df.join(stats.select("view", "band", "mean", "std", "clip", "clip_mode"), ["view", "band"])
+    j = order.join_group_stats(df, stats.select("view", "band", "mean", "std", "clip", "clip_mode"), ["view", "band"])
     root = exprs.clipped_sqrt(F.col(value), F.col("clip"), F.col("clip_mode"))
     return j.withColumn(out, exprs.zscore(root, F.col("mean"), F.col("std"))).drop("mean", "std", "clip", "clip_mode")
 
@@ -394,13 +394,13 @@ def percentile_stretch(df: DataFrame, keys: Sequence[str], value: str = "value",
     """
     base = df if reference is None else df.where(reference)
     p = order.grouped_percentiles(base, keys, value, [lo, hi], splits=splits)
-    j = order.join_null_safe(df, p, list(keys), "left") if keys else df.withColumn("pct", p.select("pct").scalar())
+    j = order.join_group_stats(df, p, list(keys), "left") if keys else df.withColumn("pct", p.select("pct").scalar())
     return j.withColumn(out, exprs.stretch(F.col(value), F.col("pct")[0], F.col("pct")[1])).drop("pct")
 
 
 def minmax_scale(df: DataFrame, keys: Sequence[str], value: str = "value", eps: float = 1e-6, out: str = "scaled") -> DataFrame:
     m = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = order.join_null_safe(df, m, list(keys))
+    j = order.join_group_stats(df, m, list(keys))
     return j.withColumn(out, (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps))).drop("_lo", "_hi")
 
 

@@ -28,7 +28,7 @@ def _scale(df: DataFrame, how: str) -> DataFrame:
     by = [] if how == "pooled" else ["domain"]
     v = array_to_vector("embedding")
     m = df.groupBy(*by).agg(vector_to_array(Summarizer.mean(v)).alias("_m"), vector_to_array(Summarizer.variance(v)).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    j = df.join(m, by) if by else df.withColumn("_s", m.select(F.struct("_m", "_v", "_n")).scalar()).select("*", "_s.*").drop("_s")
+    j = order.join_group_stats(df, m, by) if by else df.withColumn("_s", m.select(F.struct("_m", "_v", "_n")).scalar()).select("*", "_s.*").drop("_s")
     pop = (F.col("_n") - 1) / F.col("_n")
     z = F.zip_with(
         F.zip_with("embedding", "_m", lambda x, mu: x - mu), "_v",

@@ -69,7 +69,7 @@ _SMOOTH = "clip - (greatest(z, 0) + ln(1 + exp(-abs(z)))) / (4.0::DOUBLE / 6.0::
     SELECT patch_index, y, x, view, band, {r(f"(CASE WHEN clip_mode = 'smooth' THEN {_SMOOTH} ELSE least(root, clip) END - mean) / std")} AS norm
     FROM (SELECT *, sqrt(greatest(value, 0)) AS root, 4.0::DOUBLE / 6.0::DOUBLE * (clip - sqrt(greatest(value, 0))) AS z FROM pixels_long JOIN st USING (view, band))""", {"st": _stats_sql()}))
 def sqrt_clip_zscore(spark, sf):
-    n = B.normalize_by_stats(A.pixels_long(spark, sf), F.broadcast(_stats_table(spark)[1]))
+    n = B.normalize_by_stats(A.pixels_long(spark, sf), _stats_table(spark)[1])
     return n.select(*_KEY, "view", "band", rnd("norm").alias("norm"))
 
 

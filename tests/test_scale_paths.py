@@ -174,3 +174,35 @@ def test_lowest_per_group(skewed):
         assert small == {(r["patch_index"], r["y"]) for r in splits.sample_pixels(px, 5).collect()}
     finally:
         splits.WINDOW_LIMIT = limit
+
+
+LARGE = [
+    "band_stats", "box_stats", "box_stats_standardised", "percentile_stretch", "minmax_scale", "sqrt_clip_zscore", "domain_stats", "sensor_transfer_fit",
+    "value_histogram", "ecdf", "average_rank", "negative_control_pairs", "balanced_sample", "permute_labels", "wilcoxon_signed_rank", "manifest_summary",
+]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_large_table_paths_match_sql(spark, sf, name, monkeypatch):
+    """Every plan is taken for a large one: cut points, stored group tables, range by range."""
+    import oracle
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(order, "SMALL_PLAN_BYTES", 0)
+    got = entry.queries()[name](spark, sf).toPandas()
+    assert oracle.compare(got, oracle.connect(sf).execute(entry.oracle_sql()[name]).df()) is None
+
+
+def test_group_tables_are_broadcast_only_when_few(spark, skewed, monkeypatch):
+    monkeypatch.setattr(order, "SMALL_PLAN_BYTES", 0)
+    m = skewed.groupBy("g").agg(F.max("v").alias("m"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(order.join_group_stats(skewed, m, ["g"]))
+    monkeypatch.setattr(order, "BROADCAST_ROWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        beyond = order.join_group_stats(skewed, m, ["g"])
+        assert "SortMergeJoin" in plan(beyond) and beyond.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
