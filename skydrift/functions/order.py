@@ -164,16 +164,20 @@ def average_rank(
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", splits: Sequence | None = None
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", splits: Sequence | None = None, centered: bool = False
 ) -> DataFrame:
-    """One row per distinct (keys, value) with its mean rank and tie count."""
+    """One row per distinct (keys, value) with its mean rank and tie count.
+
+    ``centered`` takes off the group's mean rank, which is always (n + 1) / 2.
+    """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = prefix_sum(counts, keys, value, "_n", "_upto", splits=splits)
+    run = prefix_sum(counts, keys, value, "_n", "_upto", "_total" if centered else None, splits=splits)
+    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     return run.select(
         *keys,
         value,
-        (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out),
+        (rank - (F.col("_total") + 1) / 2.0 if centered else rank).alias(out),
         F.col("_n").alias(f"{out}_ties"),
     )
 

@@ -251,36 +251,17 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, splits: Sequ
     k = list(keys)
     both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     cells = both.groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_n"))
-    rx = order.value_ranks(both, k, x, "_rx", splits).drop("_rx_ties")
-    ry = order.value_ranks(both, k, y, "_ry", splits).drop("_ry_ties")
+    rx = order.value_ranks(both, k, x, "_rx", splits, centered=True).drop("_rx_ties")
+    ry = order.value_ranks(both, k, y, "_ry", splits, centered=True).drop("_ry_ties")
     j = order.join_null_safe(order.join_null_safe(cells, rx, [*k, x]), ry, [*k, y])
-    return weighted_corr(j, k, "_rx", "_ry", "_n", "spearman")
-
-
-def weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, out: str) -> DataFrame:
-    """Pearson correlation of (x, y) rows repeated ``w`` times.
-
-    Two small aggregations (means, then centred products) keep large ranks from
-    cancelling digits.
-    """
-    k = list(keys)
-    means = [
-        F.sum(w).cast("double").alias("_tw"),
-        (F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("_mx"),
-        (F.sum(F.col(y) * F.col(w)) / F.sum(w)).alias("_my"),
-    ]
-    if k:
-        c = order.join_group_stats(df, df.groupBy(*k).agg(*means), k)
-    else:
-        m = df.agg(*means)
-        c = df.withColumn("_mx", m.select("_mx").scalar()).withColumn("_my", m.select("_my").scalar())
-    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
-    g = c.groupBy(*k) if k else c.groupBy()
-    r = g.agg(
-        F.sum(F.col(w) * dx * dy).alias("_xy"), F.sum(F.col(w) * dx * dx).alias("_xx"), F.sum(F.col(w) * dy * dy).alias("_yy")
+    # ranks come centred, so one aggregation of products is enough
+    r = j.groupBy(*k).agg(
+        F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")).alias("_xy"),
+        F.sum(F.col("_n") * F.col("_rx") * F.col("_rx")).alias("_xx"),
+        F.sum(F.col("_n") * F.col("_ry") * F.col("_ry")).alias("_yy"),
     )
     den = F.sqrt("_xx") * F.sqrt("_yy")
-    return r.select(*k, F.when(den > 0, F.col("_xy") / den).alias(out))
+    return r.select(*k, F.when(den > 0, F.col("_xy") / den).alias("spearman"))
 
 
 def band_correspondence(wide: DataFrame, stored: Sequence[str], reference: Sequence[str], splits: Sequence | None = None) -> DataFrame:
