@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", memory: str = "8g", app: str = "skydrift") -> SparkSession:
@@ -25,24 +26,38 @@ def local_session(cpus: str | int = "*", memory: str = "8g", app: str = "skydrif
     )
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a laptop, a test) is a local temporary folder used.
+    Only a local master (a laptop, a test) gets a temporary folder where the
+    setting is missing: on a cluster the others would not see that disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="skydrift-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="skydrift-")
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh name below :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: it is made once, and a lost executor costs no more than a re-read."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df):
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for loops that re-read a table."""
     spark = df.sparkSession
+    root = scratch_root(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skydrift-")
-        )
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
