@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .packing import pack
 from .quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,15 @@ def op6_decontamination(spark, sf):
     out = decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op4_packing")
+def op4_packing(spark, sf):
+    return pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
