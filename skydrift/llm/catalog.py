@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality_rules
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +83,8 @@ def tokenizer_file(name: str) -> str:
 @query("op4_packing")
 def op4_packing(spark, sf):
     return pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf):
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted")
