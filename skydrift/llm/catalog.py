@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .packing import pack
+from .pii import KINDS, personal_data
 from .quality import quality_rules
 from .toxicity import toxicity
 
@@ -88,3 +89,13 @@ def op4_packing(spark, sf):
 @query("op10_toxicity")
 def op10_toxicity(spark, sf):
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op9_pii")
+def op9_pii(spark, sf):
+    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    listed = lambda spans: F.array_join(F.transform(
+        F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], rank[s["kind"]].alias("k"), s["end"], s["kind"]))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    out = personal_data(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
