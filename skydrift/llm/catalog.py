@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, personal_data
 from .quality import quality_rules
@@ -99,3 +100,8 @@ def op9_pii(spark, sf):
     out = personal_data(table(spark, sf, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+
+
+@query("op2_near_dedup")
+def op2_near_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
