@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, personal_data
 from .quality import quality_rules
+from .substring_dedup import repeated_substrings
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,8 @@ def op9_pii(spark, sf):
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf):
+    return repeated_substrings(table(spark, sf, "documents")).drop("spans")
