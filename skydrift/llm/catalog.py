@@ -15,6 +15,7 @@ from .pii import KINDS, personal_data
 from .quality import quality_rules
 from .substring_dedup import repeated_substrings
 from .toxicity import toxicity
+from .url_filter import host_of, path_of, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,7 +53,7 @@ def op1_line_dedup(spark, sf):
 
 @query("op3_quality_rules")
 def op3_quality_rules(spark, sf):
-    return quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("broken")
+    return quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("broken", "row")
 
 
 DECONTAMINATION_SQL = r"""
@@ -111,3 +112,46 @@ def op2_near_dedup(spark, sf):
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf):
     return repeated_substrings(table(spark, sf, "documents")).drop("spans")
+
+
+URL_SQL = r"""
+    WITH p AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*|\.)$', '')) AS host,
+                      list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts,
+                      TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919) % 2592000) AS fetched_at FROM pages),
+    e AS (SELECT CASE event_id % 3 WHEN 0 THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') WHEN 1 THEN host ELSE host || '/' || coalesce(parts[1], '') END AS pattern,
+                 CASE event_type WHEN 'error' THEN 'block' WHEN 'purchase' THEN 'allow' ELSE 'none' END AS verdict, date_trunc('minute', ts) AS effective_at
+          FROM events JOIN p ON page_id = user_id WHERE ts IS NOT NULL AND host <> ''),
+    one AS (SELECT pattern, effective_at AS valid_from, min(verdict ORDER BY verdict) FILTER (verdict <> 'none') AS top, count(*) FILTER (verdict = 'block') AS blocks, count(*) FILTER (verdict = 'allow') AS allows
+            FROM e GROUP BY 1, 2),
+    v AS (SELECT pattern, CASE WHEN blocks > 0 THEN 'block' WHEN allows > 0 THEN 'allow' ELSE 'none' END AS verdict, valid_from, lead(valid_from) OVER (PARTITION BY pattern ORDER BY valid_from) AS valid_to FROM one),
+    k AS (SELECT page_id, url, fetched_at, array_to_string(list_slice(string_split(host, '.'), -i, -1), '.') AS pattern, i AS rank
+          FROM (SELECT *, unnest(range(least(2, len(string_split(host, '.'))), len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+          UNION ALL
+          SELECT page_id, url, fetched_at, host || '/' || array_to_string(list_slice(parts, 1, i), '/'), i + 1000 FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p WHERE host <> '')),
+    hit AS (SELECT page_id, rank, k.pattern, verdict FROM k JOIN v ON k.pattern = v.pattern AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) WHERE verdict <> 'none'),
+    best AS (SELECT page_id, arg_max(verdict, rank) AS verdict, arg_max(pattern, rank) AS pattern, count(DISTINCT pattern) AS n_active FROM hit GROUP BY page_id)
+    SELECT page_id, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, coalesce(verdict, 'none') AS verdict, pattern, coalesce(n_active, 0) AS n_active FROM p LEFT JOIN best USING (page_id)"""
+
+
+@query("op8_url_filter", URL_SQL)
+def op8_url_filter(spark, sf):
+    """Pages have no times and there is no list, so both are derived: a capture's time from its id, list entries from events about the page of that user's number."""
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
+    pages = table(spark, sf, "pages").select("page_id", "url", F.timestamp_seconds(start + (F.col("page_id") * 7919) % 2592000).cast("timestamp_ntz").alias("fetched_at"))
+    host, first = host_of(F.col("url")), F.filter(F.split(path_of(F.col("url")), "/"), lambda p: p != "")
+    labels = F.split(host, r"\.")
+    pattern = (
+        F.when(F.col("event_id") % 3 == 0, F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), 3), "."))
+        .when(F.col("event_id") % 3 == 1, host).otherwise(F.concat(host, F.lit("/"), F.coalesce(F.get(first, F.lit(0)), F.lit("")))))
+    entries = (
+        table(spark, sf, "events").join(pages.withColumnRenamed("page_id", "user_id"), "user_id").where(host != "")
+        .select(pattern.alias("pattern"), F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "purchase", "allow").otherwise("none").alias("verdict"),
+                F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("effective_at")))
+    return url_filter(pages, entries).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    from corpus_pipeline import run
+
+    return run(spark, sf)

@@ -45,7 +45,7 @@ def winnow(hashes: str, w: int) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   window: int = 10, k: int = 5) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_words``, ``n_hit``, ``items`` (sorted ids, as text) and ``contaminated``.
+    """One row per row of ``docs``: its id, ``row`` (a hash of its text), ``n_words``, ``n_hit``, ``items`` (sorted ids, as text) and ``contaminated``.
 
     A window is ``window`` words of an item in a row; an item of fewer words is one
     window. A document's word is hit when it lies in an occurrence of a window.
@@ -102,5 +102,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = hits.select("id", "row", reach["n"].cast("long").alias("n_hit"), "items")
     c, h = hashed.select("id", "row", "n_words").alias("c"), hits.alias("h")
     return c.join(h, F.col("c.id").eqNullSafe(F.col("h.id")) & (F.col("c.row") == F.col("h.row")), "left").select(
-        F.col("c.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.col("c.id").alias(id_col), F.col("c.row").alias("row"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))

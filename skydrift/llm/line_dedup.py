@@ -24,8 +24,8 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_lines``, ``n_dropped`` and the ``kept_text``.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_lines``, ``n_dropped``, the ``kept_text`` and the columns named in ``carry``.
 
     A line's key is the line without white space at its ends, A-Z lowered. Keys of
     ``min_chars`` code points or more found in ``min_docs`` documents or more lose
@@ -36,7 +36,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so rows that repeat an id or a text count again; rows with the largest id all
     keep their lines. A null id is smaller than any other. No rows: no rows.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    more = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), more.alias("more")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = F.transform(lines_of(F.col("text")), lambda line: F.when(F.char_length(line) >= min_chars, line_key(line)))
     hashed = docs.select("id", "row", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k))).alias("keys"))
     heavy = (
@@ -50,9 +51,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
     )
     d, x = docs.alias("d"), drops.alias("x")
-    both = d.join(x, F.col("d.id").eqNullSafe(F.col("x.id")) & (F.col("d.row") == F.col("x.row")), "left").select("d.id", "text", lines_of(F.col("text")).alias("lines"), "gone")
+    both = d.join(x, F.col("d.id").eqNullSafe(F.col("x.id")) & (F.col("d.row") == F.col("x.row")), "left").select("d.id", "text", "more", lines_of(F.col("text")).alias("lines"), "gone")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return both.select(
         F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")).alias("kept_text"),
+        *[F.col("more")[c].alias(c) for c in carry or []],
     )

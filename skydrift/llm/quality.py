@@ -41,14 +41,14 @@ LEVELS = [1.0, 0.9995, 0.999, 0.998, 0.995, 0.99]
 def measures(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     """The counts of every text. Windows of three words are compared by 64-bit hash, within one text only."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"), words(text).alias("w"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"), words(text).alias("w"))
     n = F.size("w")
     triples = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.arrays_zip(F.slice("w", F.lit(1), n - 2).alias("a"), F.slice("w", F.lit(2), n - 2).alias("b"), F.slice("w", F.lit(3), n - 2).alias("c")), lambda t: F.xxhash64(t)))
     full = F.filter(lines_of(F.col("text")), lambda line: F.btrim(line, F.lit(SPACE)) != "")
     only = lambda chars: F.char_length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("long")
     counted = base.select(
-        "id", "stratum", n.cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "id", "row", "stratum", n.cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         only("#*$%&|<>").alias("n_symbols"), only("A-Z").alias("n_capitals"), only("!?#*$%&|<>=~^").alias("n_marks"), full.alias("full"), triples.alias("t"))
     counted = counted.select(
         "*", F.size("full").cast("long").alias("n_lines"), (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
@@ -62,7 +62,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
     q = F.size("p")
     steps = F.zip_with(F.slice("p", F.lit(1), q - 1), F.slice("p", F.lit(2), q - 1), lambda a, b: F.least(F.lit(3), b - a))
     covered = F.when(F.col("again"), F.aggregate(steps, F.lit(3), lambda acc, x: acc + x)).otherwise(0)
-    return counted.select("id", "stratum", "n_words", "word_chars", "n_symbols", "n_capitals", "n_marks", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return counted.select("id", "row", "stratum", "n_words", "word_chars", "n_symbols", "n_capitals", "n_marks", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -132,7 +132,7 @@ def _entry() -> str:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality",
                   max_rejection: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per row of ``docs``: its id, the counts, ``base_failed``, ``kept`` and ``broken``, the rules it broke.
+    """One row per row of ``docs``: its id, ``row`` (a hash of its text), the counts, ``base_failed``, ``kept`` and ``broken``, the rules it broke.
 
     Null or empty text has no words and fails the base rules. Null strata form a
     stratum of their own. Rows that repeat an id or a text are judged one by
@@ -145,5 +145,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     joined = m.join(c, F.col("m.stratum").eqNullSafe(F.col("c.stratum")), "left").select("m.*", "cuts")
     broken = F.filter(F.array(*[F.when(F.expr(f"double({e})") > F.col("cuts")[name], F.lit(name)) for name, e in RULES.items()]), lambda r: r.isNotNull())
     judged = joined.withColumn("base_failed", base_failed()).withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return judged.select(F.col("id").alias(id_col), "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
