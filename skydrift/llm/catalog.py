@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .lm_score import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, personal_data
@@ -155,3 +156,10 @@ def pipeline(spark, sf):
     from corpus_pipeline import run
 
     return run(spark, sf)
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark, sf):
+    import public_tokenizers
+
+    return lm_scores(table(spark, sf, "documents"), (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
