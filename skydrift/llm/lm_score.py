@@ -7,10 +7,12 @@
    scored in one of them, and a mask keeps out later ids and other texts. The
    output is a softmax over classes of ids and one within the class, both biased
    by the counts, so that training starts from the unigram model.
-3. Every task takes Adam steps on its part of the training documents, on each
-   ``every``-th group of blocks of all of them; the tasks' weights are averaged in
-   a tree, weighted by tokens.
-4. One pass scores all texts. Words that are frequent (at most 2^20 can be) are
+3. A bounded sample of training documents gives a common start. From it every task
+   takes Adam steps on its part of the training documents, on each ``every``-th
+   group of blocks of all of them; the tasks' weights are averaged in a tree,
+   weighted by tokens.
+4. One pass scores all texts. A word's probability is that of its ids under the
+   attention model, mixed with its share of the training tokens. Words that are frequent (at most 2^20 can be) are
    looked up in a broadcast table; all others meet the counts in a join, where no
    key can be hot because none is frequent.
 """
@@ -60,9 +62,14 @@ class Subwords(dict):
         return ids
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        return self.pieces(words)[0]
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of the words and of the end, and how many each of these has."""
         if len(self) > self.limit:
             self.clear()
-        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4"), self.end).astype(np.int64)
+        parts = list(map(self.__getitem__, words))
+        return np.append(np.frombuffer(b"".join(parts), "<u4"), self.end).astype(np.int64), [len(x) // 4 for x in parts] + [1]
 
 
 class Attention:
@@ -160,16 +167,10 @@ class Attention:
         return out, dh
 
     def log_probabilities(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Per text, the natural logarithm of its probability. Works through a few thousand blocks' worth of memory at a time."""
+        """The natural logarithm of every id's probability, texts in a row."""
         inputs, own, goal = self.windows(ids)
-        sums = np.zeros(len(ids))
-        for lo in range(0, len(goal), 256):
-            part = slice(lo, lo + 256)
-            h = self.context(inputs[part], own[part])[-1].reshape(-1, DIM)
-            logs, _ = self.outputs(h, goal[part].reshape(-1))
-            text = own[part][:, BLOCK:].reshape(-1)
-            sums += np.bincount(text[text >= 0], weights=logs[text >= 0], minlength=len(ids))
-        return sums
+        logs = [self.outputs(self.context(inputs[lo : lo + 256], own[lo : lo + 256])[-1].reshape(-1, DIM), goal[lo : lo + 256].reshape(-1))[0] for lo in range(0, len(goal), 256)]
+        return np.concatenate(logs)[: sum(map(len, ids))]
 
     def gradient(self, inputs: np.ndarray, own: np.ndarray, goal: np.ndarray) -> tuple[dict, float, int]:
         p = self.p
@@ -268,15 +269,14 @@ def count_subwords(words: DataFrame, vocabulary: tuple[str, str]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every: int, rate: float) -> Attention:
+def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every: int, rate: float) -> Attention:
     """Every task's Adam steps from ``start`` on its own documents, averaged."""
     sent = docs.sparkSession.sparkContext.broadcast(start)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, turn = Subwords(*vocabulary), 0, 0
-        base = sent.value
-        model = copy.copy(base)
-        model.p = {k: v.copy() for k, v in base.p.items()}
+        model = copy.copy(sent.value)
+        model.p = {k: v.copy() for k, v in sent.value.p.items()}
         adam = Adam(model, rate)
         for b in batches:
             for _, group in chunks(b.column("text").to_pylist(), 50_000):
@@ -294,47 +294,71 @@ def train(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every:
     if parts.isEmpty():
         return start
     whole, n = parts.rdd.map(lambda r: (np.frombuffer(bytes(r[0])), r[1])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-    return start.load(whole / n)
+    return copy.copy(start).load(whole / n)
+
+
+def train(docs: DataFrame, flat: Attention, vocabulary: tuple[str, str], start_docs: int, every: int, rate: float) -> Attention:
+    """A start from the ``start_docs`` documents of smallest hash, in one task, then steps over all documents."""
+    picked = docs.select("id", F.xxhash64("text").alias("h")).orderBy("h", "id").limit(start_docs).distinct()
+    d, p = docs.alias("d"), F.broadcast(picked).alias("p")  # start_docs ids at most
+    sample = d.join(p, F.col("d.id").eqNullSafe(F.col("p.id")) & F.xxhash64("d.text").eqNullSafe(F.col("h")), "left_semi").select("text").dropDuplicates()
+    start = steps(stored(sample, "start").coalesce(1), flat, vocabulary, 1, 3 * rate)
+    return steps(docs, start, vocabulary, every, rate)
 
 
-def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, every: int = 4, rate: float = 0.01) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, start_docs: int = 1_000, every: int = 8,
+              rate: float = 0.004, share: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, both in log10.
 
-    ``vocabulary`` is a file of byte-level ranks and its split pattern. Null text is an
-    empty one: an end and nothing else. Rows that repeat count and score each for
-    itself. Without training rows the counts are zero and the model is flat.
+    ``vocabulary`` is a file of byte-level ranks and its split pattern; ``share`` is the
+    weight of the word counts in the mixture. Null text is an empty one: an end and
+    nothing else. Rows that repeat count and score each for itself. Without training
+    rows the counts are zero and the model is flat.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     training = docs.where(fold_of(F.col("id")) != held_out_fold)
-    words = stored(count_words(training), "words")
-    size = words.where("c > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    words = stored(count_words(training), "words").where("c > 0")
+    size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = int(size[0]), int(size[1])
-    often = {bytes(r[0]): r[1] for r in words.where((F.col("c") > 0) & (F.col("c") * (1 << 20) >= n)).collect()}  # 2^20 at most, as their counts add up to n
-    model = train(training, Attention(count_subwords(words, vocabulary)), vocabulary, every, rate)
-    below = float(np.log10(n + 0.5 * (v + 1)))
-    sent = docs.sparkSession.sparkContext.broadcast((model, {w: (float(np.log10(c + 0.5)), c) for w, c in often.items()}))
+    often = {bytes(r[0]): r[1] for r in words.where(F.col("c") * (1 << 20) >= n).collect()}  # 2^20 at most, as their counts add up to n
+    model = train(training, Attention(count_subwords(words, vocabulary)), vocabulary, start_docs, every, rate)
+    sent = docs.sparkSession.sparkContext.broadcast((model, often))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, common = sent.value
         known = Subwords(*vocabulary)
         for b in batches:
-            tokens, logs, rare, scores = [], [], [], []
+            tokens, logs, scores, rare, rare_logs = [], [], [], [], []
             for _, group in chunks(b.column("text").to_pylist(), 50_000):
                 group = [[x.lower() for x in w] for w in group]
-                scores.append(own.log_probabilities([known.of(w) for w in group]) / np.log(10))
+                ids, sizes = zip(*(known.pieces(w) for w in group))
+                starts = np.concatenate([[0], np.cumsum([x for part in sizes for x in part])[:-1]])
+                spelled = np.add.reduceat(own.log_probabilities(list(ids)), starts).astype(float)
+                count = np.array([common.get(x, 0) for w in group for x in (*w, END)], float)
+                once = np.maximum(count, 0.5)
+                base = np.where(count > 0, np.log10(once + 0.5), 0.0)
+                both = np.where(count > 0, np.log10(share * once / max(n, 1) + (1 - share) * np.exp(spelled)), 0.0)
+                at = 0
                 for w in group:
+                    part = slice(at, at + len(w) + 1)
+                    other = np.flatnonzero(count[part] == 0)
+                    tokens.append(len(w) + 1), logs.append(float(base[part].sum())), scores.append(float(both[part].sum()))
                     w.append(END)
-                    found = [common[x][0] for x in w if x in common]
-                    tokens.append(len(w)), logs.append(float(np.sum(found))), rare.append([x for x in w if x not in common])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(tokens, pa.int64()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                                             ["id", "n_tokens", "logs", "rare", "score"])
+                    rare.append([w[i] for i in other]), rare_logs.append(spelled[part][other].astype(np.float32))
+                    at += len(w)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(tokens, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_logs, pa.list_(pa.float32()))],
+                                             ["id", "n_tokens", "logs", "score", "rare", "spelled"])
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, logs double, rare array<binary>, score double"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, logs double, score double, rare array<binary>, spelled array<float>"
     scored = stored(docs.mapInArrow(score, schema).withColumn("no", F.monotonically_increasing_id()), "scored")
-    known = scored.select("no", F.explode("rare").alias("word")).join(words, "word", "left")
-    sums = known.groupBy("no").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"), F.count_if(F.col("c") > 0).alias("rare_known"))
+    apart = scored.select("no", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("no", F.col("x.rare").alias("word"), "x.spelled")
+    known, c = apart.join(words, "word", "left"), F.coalesce("c", F.lit(0))
+    sums = known.groupBy("no").agg(
+        F.sum(F.log10(c + 0.5)).alias("rare_logs"), F.count_if(F.col("c") > 0).alias("rare_known"),
+        F.sum(F.when(F.col("c") > 0, F.log10(share * F.col("c") / max(n, 1) + (1 - share) * F.exp(F.col("spelled").cast("double")))).otherwise(F.col("spelled") / float(np.log(10)) + float(np.log10(1 - share)))).alias("rare_score"))
     out = scored.select("no", "id", "n_tokens", "logs", "score", F.size("rare").alias("n_rare")).join(sums, "no", "left")
     return out.select(
         F.col("id").alias(id_col), (fold_of(F.col("id")) == held_out_fold).alias("held_out"), "n_tokens",
         (F.col("n_tokens") - F.col("n_rare") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score")
+        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
