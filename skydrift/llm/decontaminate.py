@@ -43,6 +43,10 @@ def winnow(hashes: str, w: int) -> Column:
     return F.when(n < 1, F.array().cast("array<bigint>")).otherwise(F.array_distinct(mins))
 
 
+def _sized(hashes: Column, n: int) -> Column:
+    return F.transform(hashes, lambda h: F.struct(h.alias("print"), F.lit(n).alias("size")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   window: int = 10, k: int = 5) -> DataFrame:
     """One row per row of ``docs``: its id, ``row`` (a hash of its text), ``n_words``, ``n_hit``, ``items`` (sorted ids, as text) and ``contaminated``.
@@ -77,9 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     tests = stored(tests.distinct(), "prints")
 
     hashed = worded.select("id", "row", F.size("words").cast("long").alias("n_words"), "words", grams("words", k).alias("g"))
-    marks = F.transform(winnow("g", w), lambda h: F.struct(h.alias("print"), F.lit(window).alias("size")))
-    for n in shorter:
-        marks = F.concat(marks, F.transform(F.array_distinct(grams("words", n)), lambda h, n=n: F.struct(h.alias("print"), F.lit(n).alias("size"))))
+    marks = F.concat(_sized(winnow("g", w), window), *[_sized(F.array_distinct(grams("words", n)), n) for n in shorter])
     suspects = (
         hashed.select("id", "row", F.explode(marks).alias("m")).select("id", "row", "m.*")
         .join(tests, ["print", "size"]).groupBy("id", "row").agg(F.collect_set("size").alias("sizes"))

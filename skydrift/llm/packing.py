@@ -44,29 +44,29 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
-    def __missing__(self, word: bytes) -> bytes:
-        # a full stop or comma after a letter is a token by itself, and case is folded: both make more words alike
-        plain = word if b"<|" in word else word.lower()  # an upper-case special token is plain text
-        if plain[-1:] in (b".", b",") and plain[-2:-1].isalpha():
-            ids = self.get_ids(plain[:-1]) + self.get_ids(plain[-1:])
-        else:
-            ids = self.get_ids(plain)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def get_ids(self, word: bytes) -> bytes:
-        ids = self.get(word)
-        if ids is None:
-            ids = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= 64:
-                self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+    def learn(self, words: set[bytes]) -> None:
+        """Tokenises what is not known yet, in one call.
+
+        A full stop or comma after a letter is a token by itself, and case is folded
+        but in special tokens: both make more words alike.
+        """
+        split = {}
+        for w in words:
+            if w not in self:
+                plain = w if b"<|" in w else w.lower()
+                split[w] = (plain[:-1], plain[-1:]) if plain[-1:] in (b".", b",") and plain[-2:-1].isalpha() else (plain,)
+        new = [x for x in {x for parts in split.values() for x in parts} if x not in self]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+            self[x] = np.asarray(e.ids, "<u4").tobytes()
+        for w, parts in split.items():
+            self[w] = b"".join(map(self.__getitem__, parts))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode().split() for t in texts]
         if len(self) > self.limit:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        self.learn({w for words in split for w in words})
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
@@ -77,8 +77,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: b
         known = WordIds(path)
         for b in batches:
             at, start, length, crc, total, parts = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                ids = known.encode(text.as_py() or "") + end
+            texts = b.column(1).to_pylist()
+            for i, ids in enumerate(x + end for lo in range(0, len(texts), 64) for x in known.encode(texts[lo : lo + 64])):
                 for s in range(0, len(ids), width):
                     part = ids[s : s + width]
                     at.append(i), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(len(ids) // 4)
