@@ -93,7 +93,7 @@ def counterpart_key(name: Column, old: str, new: str) -> Column:
 
 
 def strip_prefix(name: Column, prefix: str = "simulated_") -> Column:
-    return F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20)).otherwise(name)
+    return F.when(name.startswith(prefix), F.substr(name, F.lit(len(prefix) + 1))).otherwise(name)
 
 
 def stem_id(name: Column) -> Column:

@@ -88,8 +88,8 @@ def attach_scene_metadata(scenes: DataFrame, meta: DataFrame) -> tuple[DataFrame
 
 def processing_status(inputs: DataFrame, outputs: DataFrame, prefix: str = "simulated_") -> DataFrame:
     """Every input with SUCCESS and its output path, or FAILED and NOT_FOUND."""
-    i = inputs.withColumn("product_id", F.try_to_number(exprs.stem_id(F.col("name")), F.lit("999999999999")).cast("long"))
-    o = outputs.select(F.substring("name", len(prefix) + 1, 1 << 20).alias("_k"), F.col("path").alias("_p"))
+    i = inputs.withColumn("product_id", exprs.stem_id(F.col("name")).try_cast("bigint"))
+    o = outputs.select(F.expr(f"substring(name, {len(prefix) + 1})").alias("_k"), F.col("path").alias("_p"))
     o = o.groupBy("_k").agg(F.min("_p").alias("_p"))
     j = i.join(o, i["name"] == o["_k"], "left")
     return j.select(

@@ -66,7 +66,8 @@ def out_of_fold(a: DataFrame, b: DataFrame, probe: str = "logistic", standardize
     fit = lambda k: _classifier(probe, int(rows * (FOLDS - 1) / FOLDS)).fit(z.where(F.col("fold") != k))
     # fits are many short jobs; running the folds side by side keeps the executors busy
     with ThreadPoolExecutor(FOLDS) as pool:
-        models = list(pool.map(inheritable_thread_target(z.sparkSession)(fit), range(FOLDS)))
+        # wrapped once per thread: a wrapper's copy of the session's properties is not to be shared
+        models = [f.result() for f in [pool.submit(inheritable_thread_target(z.sparkSession)(fit), k) for k in range(FOLDS)]]
     out = None
     for fold, model in enumerate(models):
         pred = model.transform(z.where(F.col("fold") == fold)).select(

@@ -197,11 +197,11 @@ def run_cells(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.select(
         F.when(F.col("event_type").isin("view", "click"), "distilled").otherwise("scratch").alias("init"),
         F.when(F.col("event_type").isin("view", "purchase"), "clean").otherwise("joint_l4").alias("train_variant"),
-        F.get(ladder, k % 17).alias("variant"), (F.col("user_id") % 3).cast("int").alias("seed"), (F.col("value") / 600.0).alias("v"),
+        F.get(ladder, k % 17).alias("variant"), (F.col("user_id") % 3).cast("int").alias("seed"), (F.col("value") / 600.0).alias("v"), F.round(F.col("value") * 100).cast("long").alias("cents"),
         ((k % 17) / 16.0).alias("severity"),
     )
     return rows.groupBy("init", "train_variant", "variant", "seed").agg(
-        F.avg("v").alias("test_iou_water"), F.max("v").alias("test_iou"), F.max("severity").alias("severity")
+        (F.sum("cents") / (F.count("cents") * 60000.0)).alias("test_iou_water"), F.max("v").alias("test_iou"), F.max("severity").alias("severity")
     )
 
 
@@ -305,11 +305,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                unnest([value / 600.0::DOUBLE, (json_extract_string(props, '$.k')::INT) / 100.0::DOUBLE]) AS value FROM events"""),
     "run_curve": (("run_history",), "SELECT run, epoch, metric, max(value) AS value FROM run_history GROUP BY ALL"),
     "run_cells": ((), """
-        SELECT init, train_variant, variant, seed, avg(v) AS test_iou_water, max(v) AS test_iou, max(severity) AS severity FROM (
+        SELECT init, train_variant, variant, seed, sum(cents)::DOUBLE / (count(cents) * 60000.0::DOUBLE) AS test_iou_water, max(v) AS test_iou, max(severity) AS severity FROM (
             SELECT CASE WHEN event_type IN ('view', 'click') THEN 'distilled' ELSE 'scratch' END AS init,
                    CASE WHEN event_type IN ('view', 'purchase') THEN 'clean' ELSE 'joint_l4' END AS train_variant,
                    (['clean', 'snr_l1', 'snr_l2', 'snr_l3', 'snr_l4', 'psf_l1', 'psf_l2', 'psf_l3', 'psf_l4', 'misalign_l1', 'misalign_l2', 'misalign_l3', 'misalign_l4',
-                     'joint_l1', 'joint_l2', 'joint_l3', 'joint_l4'])[k % 17 + 1] AS variant, (user_id % 3)::INT AS seed, value / 600.0::DOUBLE AS v, (k % 17) / 16.0::DOUBLE AS severity
+                     'joint_l1', 'joint_l2', 'joint_l3', 'joint_l4'])[k % 17 + 1] AS variant, (user_id % 3)::INT AS seed, value / 600.0::DOUBLE AS v, round(value * 100)::BIGINT AS cents, (k % 17) / 16.0::DOUBLE AS severity
             FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)) GROUP BY ALL"""),
     "split_rows": ((), """
         SELECT doc_id, source || '_' || doc_id || '_S1Hand.tif' AS s1_file, source || '_' || doc_id || '_LabelHand.tif' AS label_file FROM documents"""),

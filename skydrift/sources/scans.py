@@ -60,20 +60,17 @@ def scan_run_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_history(lines: DataFrame) -> DataFrame:
-    """Metric rows from JSON objects in column ``_line`` (two levels of nesting)."""
+    """Metric rows from JSON objects in column ``_line``; nested keys are joined by dots, to any depth."""
     top = lines.withColumn("_m", F.from_json("_line", "map<string,string>"))
     keep = [c for c in lines.columns if c != "_line"]
     epoch = F.try_element_at("_m", F.lit("epoch")).try_cast("double").cast("int")
-    one = top.select(*keep, epoch.alias("epoch"), F.explode("_m").alias("metric", "_v")).where(F.col("metric") != "epoch")
-    nested = F.from_json("_v", "map<string,string>")
-    entries = F.when(
-        F.col("_v").startswith("{"),
-        F.transform(F.map_entries(nested), lambda e: F.struct(F.concat("metric", F.lit("."), e["key"]).alias("k"), e["value"].alias("v"))),
-    ).otherwise(F.array(F.struct(F.col("metric").alias("k"), F.col("_v").alias("v"))))
-    flat = one.select(*keep, "epoch", F.explode(entries).alias("e"))
-    return flat.select(*keep, "epoch", F.col("e.k").alias("metric"), F.col("e.v").try_cast("double").alias("value")).where(
-        F.col("value").isNotNull()
-    )
+    rows = top.select(*keep, epoch.alias("epoch"), F.explode("_m").alias("metric", "_v")).where(F.col("metric") != "epoch")
+    flat, nested = rows.where(~F.col("_v").startswith("{")), rows.where(F.col("_v").startswith("{"))
+    while not nested.isEmpty():  # once per level that the objects have
+        rows = nested.select(*keep, "epoch", "metric", F.explode(F.from_json("_v", "map<string,string>")).alias("_k", "_v"))
+        rows = rows.select(*keep, "epoch", F.concat_ws(".", "metric", "_k").alias("metric"), "_v")
+        flat, nested = flat.unionByName(rows.where(~F.col("_v").startswith("{"))), rows.where(F.col("_v").startswith("{"))
+    return flat.select(*keep, "epoch", "metric", F.col("_v").try_cast("double").alias("value")).where(F.col("value").isNotNull())
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -95,13 +92,13 @@ def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
 def scan_scene_xml(spark: SparkSession, path: str, defaults: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Solar irradiance by band, and the rows of the sun-zenith grid, per file.
 
-    ``defaults`` fills bands a file does not state.
+    ``defaults`` fills bands a file does not state, of every file.
     """
     schema = "_bandId INT, _VALUE DOUBLE"
     irr = spark.read.format("xml").option("rowTag", "SOLAR_IRRADIANCE").schema(schema).load(path)
     irr = irr.select(F.input_file_name().alias("path"), F.col("_bandId").alias("band_id"), F.col("_VALUE").alias("irradiance"))
     if defaults:
-        files = irr.select("path").distinct()
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path")).distinct()  # those that state nothing as well
         known = F.explode(F.create_map(*[F.lit(x) for k, v in defaults.items() for x in (int(k), float(v))]))
         grid = files.select("path", known.alias("band_id", "_default"))
         irr = grid.join(irr, ["path", "band_id"], "left").select("path", "band_id", F.coalesce("irradiance", "_default").alias("irradiance"))
