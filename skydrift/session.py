@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def local_session(cpus: str | int = "*", memory: str = "8g", app: str = "skydrif
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of the session's executors, once per application.
+
+    Functions that run in tasks are pickled by name, so workers have to be able to
+    import the package. The driver serves the archive itself; a cluster with the
+    package installed needs no call.
+    """
+    context = spark.sparkContext
+    if any(x.endswith("/skydrift-package.zip") for x in context.listFiles):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skydrift-")) / "skydrift-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(archive))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
