@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from skydrift.llm.components import components
 from skydrift.llm.decontaminate import decontaminate
 from skydrift.llm.line_dedup import line_dedup
 from skydrift.llm.lm_score import Attention, lm_scores
-from skydrift.llm.near_dedup import near_duplicates
+from skydrift.llm.near_dedup import Items, Weights, WordHash, near_duplicates
 from skydrift.llm.packing import best_pattern, cutting_stock, pack, sequences
 from skydrift.llm.pii import base_spans, personal_data
 from skydrift.llm.quality import binomial_tail, quality_rules
@@ -263,3 +264,18 @@ def test_url_filter(spark):
     got = sorted((r.page_id, r.verdict, r.pattern, r.n_active) for r in url_filter(captures, entries).collect())
     assert got == [(1, "block", "a.b.org/x", 2), (1, "block", "a.b.org/x", 2), (2, "block", "a.b.org/x", 1), (3, "none", None, 0), (4, "none", None, 0)]
     assert url_filter(captures, entries.limit(0)).where("verdict <> 'none'").count() == 0 and url_filter(captures.limit(0), entries).count() == 0
+
+
+def test_block_similarities_are_exact():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    weights = Weights(np.zeros(0, np.uint64), np.zeros(0), 1.5)
+
+    def shingles(text):
+        words = text.split()
+        return Counter(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1)))
+
+    block = [{"node": bytes([i]), "label": b"", "text": t} for i, t in enumerate(texts)]
+    mine, theirs = (Items(part, WordHash(), weights, 5) for part in (block[:20], block[20:]))
+    want = [[(shingles(a) & shingles(b)).total() / (shingles(a) | shingles(b)).total() for b in texts[20:]] for a in texts[:20]]
+    assert np.allclose(mine.similar(theirs), want)
