@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import copy
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,22 +93,23 @@ class Attention:
             "u2": n(CLASSES, PER_CLASS, DIM) * 0, "b2": np.log(head.reshape(CLASSES, PER_CLASS) / head.reshape(CLASSES, PER_CLASS).sum(1, keepdims=True)).astype(np.float32),
         }
 
-    def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Blocks of the texts in a row: inputs and text of two blocks, targets of the second, both as places."""
+    def windows(self, ids: list[np.ndarray], use: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """Blocks of the texts in a row, all or those that ``use`` marks by number: inputs and text of two blocks, targets of the second, both as places."""
         flat = np.concatenate(ids)
         text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         before = np.concatenate([[0], flat[:-1]])
         first = np.concatenate([[True], text[1:] != text[:-1]])
         before[first] = [x[-1] for x in ids]  # a text begins after an end
         spare = -len(flat) % BLOCK
-        inputs = np.minimum(self.place[np.append(before, np.zeros(spare, np.int64))], HEAD).reshape(-1, BLOCK)
-        goal = np.append(self.place[flat], np.zeros(spare, np.int64)).reshape(-1, BLOCK)
+        before = np.append(before, np.zeros(spare, np.int64)).reshape(-1, BLOCK)
+        goal = np.append(flat, np.zeros(spare, np.int64)).reshape(-1, BLOCK)
         text = np.append(text, np.full(spare, -1)).reshape(-1, BLOCK)
-        prev = np.roll(np.arange(len(inputs)), 1)
-        own = np.concatenate([text[prev], text], axis=1)
-        if len(own):
-            own[0, :BLOCK] = -2
-        return np.concatenate([inputs[prev], inputs], axis=1), own, goal
+        at = np.arange(len(goal))
+        at = at[use(at)] if use else at
+        two = lambda x: np.concatenate([x[at - 1], x[at]], axis=1)
+        own = two(text)
+        own[at == 0, :BLOCK] = -2
+        return np.minimum(self.place[two(before)], HEAD), own, self.place[goal[at]]
 
     _FAR = np.arange(BLOCK, 2 * BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 
@@ -166,11 +167,61 @@ class Attention:
         out[at] += self.tail[goal[at] - HEAD] if len(at) else 0
         return out, dh
 
-    def log_probabilities(self, ids: list[np.ndarray]) -> np.ndarray:
-        """The natural logarithm of every id's probability, texts in a row."""
+    def tables(self) -> dict:
+        """What scoring needs of the weights: queries, keys, values and direct parts of every place, and outputs with their biases as a last column."""
+        p, one = self.p, np.ones((HEAD + 1, 1), self.p["e"].dtype)
+        bound = lambda u, b: float((np.abs(u).sum(-1) + np.abs(b)).max())  # noqa: E731  |tanh| is at most 1
+        q, k = p["e"] @ p["q"] * np.float32(DIM**-0.5), p["e"] @ p["k"]
+        far = np.where(self._FAR >= 0, p["r"][np.maximum(self._FAR, 0)], np.float32(-np.inf))
+        return {
+            "q": q, "k": k, "v": np.concatenate([p["e"] @ p["v"], one], 1), "x": p["e"] @ p["x"], "far": far,
+            "u1": np.ascontiguousarray(np.concatenate([p["u1"], p["b1"][:, None]], 1).T), "u2": np.ascontiguousarray(np.concatenate([p["u2"], p["b2"][..., None]], 2).transpose(0, 2, 1)),
+            "plain": max(bound(p["u1"], p["b1"]), bound(p["u2"], p["b2"]), float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["r"]).max())) < 60,
+        }
+
+    def log_probabilities(self, ids: list[np.ndarray], tables: dict | None = None) -> np.ndarray:
+        """The natural logarithm of every id's probability, texts in a row.
+
+        The same as :meth:`context` and :meth:`outputs`, from tables by place. Where
+        the weights bound all exponents (``plain``), they need no maximum taken off.
+        """
+        t = tables or self.tables()
         inputs, own, goal = self.windows(ids)
-        logs = [self.outputs(self.context(inputs[lo : lo + 256], own[lo : lo + 256])[-1].reshape(-1, DIM), goal[lo : lo + 256].reshape(-1))[0] for lo in range(0, len(goal), 256)]
-        return np.concatenate(logs)[: sum(map(len, ids))]
+        if not t["plain"]:
+            logs = [self.outputs(self.context(inputs[lo : lo + 256], own[lo : lo + 256])[-1].reshape(-1, DIM), goal[lo : lo + 256].reshape(-1))[0] for lo in range(0, len(goal), 256)]
+            return np.concatenate(logs)[: sum(map(len, ids))]
+        mixed = (own != own[:, -1:]).any(1)
+        h = np.ones((len(goal), BLOCK, DIM + 1), t["x"].dtype)
+        for lo in range(0, len(goal), 128):
+            i, o, m = inputs[lo : lo + 128], own[lo : lo + 128], np.flatnonzero(mixed[lo : lo + 128])
+            s = t["q"][i[:, BLOCK:]] @ t["k"][i].transpose(0, 2, 1)
+            s += t["far"]
+            np.exp(s, out=s)
+            s[m] *= o[m, BLOCK:, None] == o[m, None, :]
+            c = s @ t["v"][i]
+            a = (c[..., :DIM] / c[..., DIM:]).reshape(-1, DIM) @ self.p["o"]
+            a += t["x"][i[:, BLOCK:].reshape(-1)]
+            np.tanh(a.reshape(-1, BLOCK, DIM), out=h[lo : lo + 128, :, :DIM])
+        h, goal, ones = h.reshape(-1, DIM + 1), goal.reshape(-1), np.ones(max(CLASSES + 1, PER_CLASS), h.dtype)  # a product with ones sums rows faster
+        group = np.minimum(goal // PER_CLASS, CLASSES).astype(np.int16)
+        out = np.empty(len(h), h.dtype)
+        for lo in range(0, len(h), 2048):
+            z = h[lo : lo + 2048] @ t["u1"]
+            out[lo : lo + 2048] = z[np.arange(len(z)), group[lo : lo + 2048]]
+            np.exp(z, out=z)
+            out[lo : lo + 2048] -= np.log(z @ ones[: z.shape[1]])
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(CLASSES + 2))
+        for c in range(CLASSES):
+            for lo in range(ends[c], ends[c + 1], 2048):
+                at = order[lo : min(lo + 2048, ends[c + 1])]
+                z = h[at] @ t["u2"][c]
+                own_z = z[np.arange(len(at)), goal[at] - c * PER_CLASS]
+                np.exp(z, out=z)
+                out[at] += own_z - np.log(z @ ones[: z.shape[1]])
+        at = order[ends[CLASSES] :]
+        out[at] += self.tail[goal[at] - HEAD] if len(at) else 0
+        return out[: sum(map(len, ids))]
 
     def gradient(self, inputs: np.ndarray, own: np.ndarray, goal: np.ndarray) -> tuple[dict, float, int]:
         p = self.p
@@ -195,7 +246,10 @@ class Attention:
         g["q"], g["k"], g["v"] = two(xq, dq), two(x, dk), two(x, dv)
         dx = dk @ p["k"].T + dv @ p["v"].T
         dx[:, BLOCK:] += dxq + dq @ p["q"].T
-        np.add.at(g["e"], inputs.reshape(-1), dx.reshape(-1, DIM))
+        at = np.argsort(inputs, axis=None, kind="stable")
+        place = inputs.reshape(-1)[at]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        g["e"][place[starts]] += np.add.reduceat(dx.reshape(-1, DIM)[at], starts)
         return g, float(logs.sum()), int(real.sum())
 
     def vector(self) -> np.ndarray:
@@ -254,11 +308,11 @@ def count_subwords(words: DataFrame, vocabulary: tuple[str, str]) -> np.ndarray:
         known = Subwords(*vocabulary)
         total = np.zeros(known.end + 1)
         for b in batches:
-            for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-                if word == END:
-                    total[known.end] += c
-                else:
-                    np.add.at(total, known.of([word])[:-1], c)
+            spelled, c = b.column("word").to_pylist(), b.column("c").to_numpy()
+            ids, sizes = known.pieces([w for w in spelled if w != END])
+            is_end = np.array([w == END for w in spelled], bool)
+            total += np.bincount(ids[:-1], np.repeat(c[~is_end], sizes[:-1]), len(total))
+            total[known.end] += c[is_end].sum()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["id", "c"])
 
@@ -280,13 +334,10 @@ def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every:
         adam = Adam(model, rate)
         for b in batches:
             for _, group in chunks(b.column("text").to_pylist(), 50_000):
-                inputs, own, goal = model.windows([known.of([x.lower() for x in w]) for w in group])
-                use = (np.arange(len(goal)) // 4 + turn) % every == 0
+                inputs, own, goal = model.windows([known.of([x.lower() for x in w]) for w in group], lambda no: (no // 4 + turn) % every == 0)
                 turn += 1
-                at = np.flatnonzero(use)
-                for lo in range(0, len(at), 256):
-                    part = at[lo : lo + 256]
-                    total += adam.step(inputs[part], own[part], goal[part])
+                for lo in range(0, len(goal), 256):
+                    total += adam.step(inputs[lo : lo + 256], own[lo : lo + 256], goal[lo : lo + 256])
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([(model.vector() * total).tobytes()], pa.binary()), pa.array([total], pa.int64())], ["weights", "n"])
 
@@ -294,7 +345,9 @@ def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every:
     if parts.isEmpty():
         return start
     whole, n = parts.rdd.map(lambda r: (np.frombuffer(bytes(r[0])), r[1])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-    return copy.copy(start).load(whole / n)
+    out = copy.copy(start)
+    out.p = dict(start.p)
+    return out.load(whole / n)
 
 
 def train(docs: DataFrame, flat: Attention, vocabulary: tuple[str, str], start_docs: int, every: int, rate: float) -> Attention:
@@ -326,6 +379,7 @@ def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, common = sent.value
+        tables = own.tables()
         known = Subwords(*vocabulary)
         for b in batches:
             tokens, logs, scores, rare, rare_logs = [], [], [], [], []
@@ -333,7 +387,7 @@ def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_i
                 group = [[x.lower() for x in w] for w in group]
                 ids, sizes = zip(*(known.pieces(w) for w in group))
                 starts = np.concatenate([[0], np.cumsum([x for part in sizes for x in part])[:-1]])
-                spelled = np.add.reduceat(own.log_probabilities(list(ids)), starts).astype(float)
+                spelled = np.add.reduceat(own.log_probabilities(list(ids), tables), starts, dtype=float)
                 count = np.array([common.get(x, 0) for w in group for x in (*w, END)], float)
                 once = np.maximum(count, 0.5)
                 base = np.where(count > 0, np.log10(once + 0.5), 0.0)

@@ -256,6 +256,21 @@ def test_attention_is_causal_and_its_gradient_right():
         assert abs((ends[0] - ends[1]) / 2e-4 - grad[k][at]) < 2e-2
 
 
+def test_scoring_from_tables_equals_the_layer():
+    rng = np.random.default_rng(2)
+    model = Attention(rng.integers(1, 50, 6000).astype(float))
+    for k in model.p:
+        model.p[k] += rng.standard_normal(model.p[k].shape).astype(np.float32) * 0.1
+    ids = [rng.integers(0, 6000, n) for n in (1, 700, 16, 3, 5000, 31)]
+    tables = model.tables()
+    assert tables["plain"]
+    fast, layer = model.log_probabilities(ids, tables), model.log_probabilities(ids, {**tables, "plain": False})
+    assert len(fast) == sum(map(len, ids)) and np.allclose(fast, layer, atol=1e-4)
+    marked = lambda no: no % 3 == 1
+    every, some = model.windows(ids), model.windows(ids, marked)
+    assert all((a[marked(np.arange(len(a)))] == b).all() for a, b in zip(every, some))
+
+
 def test_url_filter(spark):
     captures = spark.createDataFrame([(1, "http://a.b.org/x/y?q", "2024-01-02 00:00:00"), (2, "http://A.b.org:80/x", "2024-01-05 00:00:00"), (3, None, "2024-01-05 00:00:00"), (4, "nonsense", None), (1, "http://a.b.org/x/y?q", "2024-01-02 00:00:00")], "page_id int, url string, fetched_at string")
     captures = captures.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
