@@ -8,9 +8,8 @@
    output is a softmax over classes of ids and one within the class, both biased
    by the counts, so that training starts from the unigram model.
 3. A bounded sample of training documents gives a common start. From it every task
-   takes Adam steps on its part of the training documents, on each ``every``-th
-   group of blocks of all of them; the tasks' weights are averaged in a tree,
-   weighted by tokens.
+   takes Adam steps on every block of its part of the training documents; the
+   tasks' weights are averaged in a tree, weighted by tokens.
 4. One pass scores all texts. A word's probability is that of its ids under the
    attention model, mixed with its share of the training tokens. Words that are frequent (at most 2^20 can be) are
    looked up in a broadcast table; all others meet the counts in a join, where no
@@ -323,19 +322,18 @@ def count_subwords(words: DataFrame, vocabulary: tuple[str, str]) -> np.ndarray:
     return out
 
 
-def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every: int, rate: float) -> Attention:
-    """Every task's Adam steps from ``start`` on its own documents, averaged."""
+def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], rate: float) -> Attention:
+    """Every task's Adam steps from ``start`` on all blocks of its own documents, averaged."""
     sent = docs.sparkSession.sparkContext.broadcast(start)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, turn = Subwords(*vocabulary), 0, 0
+        known, total = Subwords(*vocabulary), 0
         model = copy.copy(sent.value)
         model.p = {k: v.copy() for k, v in sent.value.p.items()}
         adam = Adam(model, rate)
         for b in batches:
             for _, group in chunks(b.column("text").to_pylist(), 50_000):
-                inputs, own, goal = model.windows([known.of([x.lower() for x in w]) for w in group], lambda no: (no // 4 + turn) % every == 0)
-                turn += 1
+                inputs, own, goal = model.windows([known.of([x.lower() for x in w]) for w in group])
                 for lo in range(0, len(goal), 256):
                     total += adam.step(inputs[lo : lo + 256], own[lo : lo + 256], goal[lo : lo + 256])
         if total:
@@ -350,16 +348,16 @@ def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], every:
     return out.load(whole / n)
 
 
-def train(docs: DataFrame, flat: Attention, vocabulary: tuple[str, str], start_docs: int, every: int, rate: float) -> Attention:
+def train(docs: DataFrame, flat: Attention, vocabulary: tuple[str, str], start_docs: int, rate: float) -> Attention:
     """A start from the ``start_docs`` documents of smallest hash, in one task, then steps over all documents."""
     picked = docs.select("id", F.xxhash64("text").alias("h")).orderBy("h", "id").limit(start_docs).distinct()
     d, p = docs.alias("d"), F.broadcast(picked).alias("p")  # start_docs ids at most
     sample = d.join(p, F.col("d.id").eqNullSafe(F.col("p.id")) & F.xxhash64("d.text").eqNullSafe(F.col("h")), "left_semi").select("text").dropDuplicates()
-    start = steps(stored(sample, "start").coalesce(1), flat, vocabulary, 1, 3 * rate)
-    return steps(docs, start, vocabulary, every, rate)
+    start = steps(stored(sample, "start").coalesce(1), flat, vocabulary, 3 * rate)
+    return steps(docs, start, vocabulary, rate)
 
 
-def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, start_docs: int = 1_000, every: int = 8,
+def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, start_docs: int = 1_000,
               rate: float = 0.004, share: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, both in log10.
 
@@ -374,7 +372,7 @@ def lm_scores(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_i
     size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = int(size[0]), int(size[1])
     often = {bytes(r[0]): r[1] for r in words.where(F.col("c") * (1 << 20) >= n).collect()}  # 2^20 at most, as their counts add up to n
-    model = train(training, Attention(count_subwords(words, vocabulary)), vocabulary, start_docs, every, rate)
+    model = train(training, Attention(count_subwords(words, vocabulary)), vocabulary, start_docs, rate)
     sent = docs.sparkSession.sparkContext.broadcast((model, often))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -294,3 +294,30 @@ def test_block_similarities_are_exact():
     mine, theirs = (Items(part, WordHash(), weights, 5) for part in (block[:20], block[20:]))
     want = [[(shingles(a) & shingles(b)).total() / (shingles(a) | shingles(b)).total() for b in texts[20:]] for a in texts[:20]]
     assert np.allclose(mine.similar(theirs), want)
+
+
+def test_steps_take_every_block_of_every_text(spark):
+    """64 short texts, each with a word of a class of its own: a class moves only if its text was a target."""
+    import public_tokenizers as P
+
+    from skydrift.llm.lm_score import PER_CLASS, Subwords, steps
+
+    vocabulary = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    known, words, at = Subwords(*vocabulary), [], []
+    for w in (a + b for a in "bcdfghlmnprstw" for b in ("a", "an", "at", "e", "en", "er", "i", "in", "it", "o", "on", "or")):
+        ids = known.of([w.encode()])
+        if len(ids) == 2 and ids[0] not in at:
+            words.append(w), at.append(ids[0])
+    words, at = words[:60], at[:60]
+    assert len(at) == 60
+    counts = np.zeros(known.end + 1)
+    rest = np.setdiff1d(np.arange(len(counts) - 1), at)
+    for i, x in enumerate(at):  # the first of its class
+        counts[x] = 1e6 - i * PER_CLASS
+        fill = rest[i * (PER_CLASS - 1) : (i + 1) * (PER_CLASS - 1)]
+        counts[fill] = 1e6 - i * PER_CLASS - 1 - np.arange(len(fill))
+    start = Attention(counts)
+    assert sorted(start.place[at] // PER_CLASS) == list(range(60))
+    docs = spark.createDataFrame([(" ".join([w] * 20),) for w in words], "text string").coalesce(1)
+    moved = np.abs(steps(docs, start, vocabulary, rate=0.01).p["b2"] - start.p["b2"])[:60].max(1) > 1e-4
+    assert moved.all()
