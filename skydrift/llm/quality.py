@@ -1,15 +1,21 @@
 """Quality rules whose cut-offs carry a guarantee.
 
-A rule rejects a document when a measure of its text exceeds a cut-off. Cut-offs
-are chosen per stratum from labelled documents: one half proposes candidates
-(quantiles of the good documents), the other half, the holdout, tests them. A
-candidate is certified when the exact binomial tail P(Bin(n, alpha) <= k) of the
-k good holdout documents it would reject among n is at most the error share of
-its family. Candidates of one rule and stratum are tested from the loosest to the
-strictest and testing stops at the first that fails, which needs no correction
-within the sequence; rules and strata share the error by Bonferroni. With
-probability 1 - delta no certified cut-off rejects more than its share of good
-documents, and all of a stratum's rules together not more than ``max_rejection``.
+A rule rejects a document when a measure of its text exceeds a cut-off. Labelled
+documents choose the cut-offs: one half proposes a sequence of steps, the other
+half, the holdout, tests it. A step lowers one rule's cut-off to a quantile of the
+good documents; the loosest come first, and of those the ones that reject most bad
+documents. A step stays only if it adds more of the bad than of the good. What all
+steps so far reject together is certified when the exact binomial tail
+P(Bin(n, max_rejection) <= k) of the k good holdout documents rejected among n is
+at most the family's error. The sequence ends at the first step that fails, which
+needs no correction for its length or the number of rules.
+
+A stratum is a family of its own if its good holdout documents can certify
+anything (k = 0). All others are one family, the pool; if even that is too small,
+all strata are tested in it. Families share ``delta`` evenly; their number follows
+from counts of documents alone, not from measures. With probability 1 - delta no
+family's rules reject more than ``max_rejection`` of its good documents; in the
+pool that holds for its documents together, not for each stratum.
 
 All of it is DataFrame expressions. Texts are read once; their measures, a few
 numbers per document, are stored in the shared folder, and thresholds and
@@ -86,48 +92,70 @@ def _next_term(acc: Column, i: Column, n: Column, odds: Column) -> Column:
     return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
 
 
+def families(labelled: DataFrame, max_rejection: float, delta: float) -> tuple[DataFrame, float]:
+    """``stratum_key`` and ``family`` that judges it, ``tests``, the families its documents test, and the error of each family."""
+    sizes = labelled.groupBy("stratum_key").agg(F.count_if(F.col("good") & ~F.col("proposes")).alias("n"))
+    strata = sizes.count()
+    enough = lambda n, error: n * F.log1p(F.lit(-max_rejection)) <= F.log(F.lit(error))
+    sizes = sizes.withColumn("alone", enough(F.col("n"), delta / (strata + 1)))
+    alone, rest = sizes.agg(F.count_if("alone"), F.coalesce(F.sum(F.when(~F.col("alone"), F.col("n"))), F.lit(0))).first()
+    error = delta / max(1, alone + (alone < strata))
+    pool, own = F.lit("pool"), F.col("stratum_key")
+    short = F.lit(alone < strata) & ~enough(F.lit(rest), error)
+    return sizes.select("stratum_key", F.when(F.col("alone"), own).otherwise(pool).alias("family"),
+                        F.when(~F.col("alone"), F.array(pool)).when(short, F.array(own, pool)).otherwise(F.array(own)).alias("tests")), error
+
+
+def first_step(seen: DataFrame, steps: DataFrame) -> DataFrame:
+    """The documents of every family with ``first``, the number of the first of its steps that rejects them; null if none does."""
+    over = lambda e, i: F.when(F.col("values")[e["rule"]] > e["cutoff"], i)
+    return seen.join(F.broadcast(steps), "family").withColumn("first", F.array_min(F.transform("steps", over)))  # steps: one row per family
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rejection: float, delta: float) -> DataFrame:
-    """The strictest certified cut-off per stratum and rule: ``stratum``, ``rule``, ``cutoff``, ``n``, ``k``, ``p_value``, ``hits``.
+    """The strictest certified cut-off per stratum and rule: ``stratum_key``, ``rule``, ``cutoff``.
 
     Null labels and null ids do not count; of contradicting labels the lowest holds. A
-    rule is kept only if it rejects a larger share of the bad documents than of
-    the good ones. A stratum without enough labels has no cut-offs.
+    stratum without labels has no cut-offs, and no one has any without bad documents that propose.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good"))
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(f"double({e})").alias("value")) for name, e in RULES.items()])
-    seen = (
-        measured.where(~base_failed()).join(marks, "id")
-        .select("stratum", (F.col("good") == 1).alias("good"), (fold_of(F.col("id")) < 2).alias("proposes"), F.explode(rules).alias("r"))
-        .select("stratum", "good", "proposes", "r.*")
+    values = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.expr(f"double({e})") for e in RULES.values()]))
+    labelled = stored(measured.where(~base_failed()).join(marks, "id").select(
+        stratum_key().alias("stratum_key"), (F.col("good") == 1).alias("good"), (fold_of(F.col("id")) < 2).alias("proposes"), values.alias("values")), "labelled")
+    judges, error = families(labelled, max_rejection, delta)
+    judges = stored(judges, "families")
+    seen = labelled.join(F.broadcast(judges), "stratum_key").withColumn("family", F.explode("tests")).select("family", "good", "proposes", "values")
+    single = seen.where("proposes").select("family", "good", F.explode("values").alias("rule", "value"))
+    cuts = (
+        single.where("good").groupBy("family", "rule").agg(F.percentile_approx("value", LEVELS, 100_000).alias("cuts"))
+        .select("family", "rule", F.posexplode("cuts").alias("rank", "cutoff"))
     )
-    proposed = (
-        seen.where("proposes AND good").groupBy("stratum", "rule").agg(F.percentile_approx("value", LEVELS, 100_000).alias("cuts"))
-        .select("stratum", "rule", F.posexplode("cuts").alias("rank", "cutoff"))
+    ordered = (
+        single.where("NOT good").join(F.broadcast(cuts), ["family", "rule"]).where("value > cutoff").groupBy("family", "rule", "rank", "cutoff").agg(F.count(F.lit(1)).alias("hits"))
+        .groupBy("family").agg(F.sort_array(F.collect_list(F.struct("rank", (-F.col("hits")).alias("fewer"), "rule", "cutoff"))).alias("steps"))  # one entry per rule and level
     )
-    s, c = seen.where("NOT proposes").alias("s"), proposed.alias("c")
-    over = F.col("value") > F.col("cutoff")
-    tested = (
-        s.join(c, F.col("s.stratum").eqNullSafe(F.col("c.stratum")) & (F.col("s.rule") == F.col("c.rule")))
-        .groupBy("c.stratum", "c.rule", "rank", "cutoff")
-        .agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & over).alias("k"), F.count_if(~F.col("good")).alias("n_bad"), F.count_if(~F.col("good") & over).alias("hits"))
-    )
-    tested = stored(tested, "candidates")
-    strata = max(1, tested.select("stratum").distinct().count())
-    alpha = F.lit(max_rejection / len(RULES))
-    tested = tested.select(
-        "*", F.when(F.col("k") >= F.col("n") * alpha, 1.0).otherwise(binomial_tail(F.col("n"), F.col("k"), alpha)).alias("p_value"),
-        F.lit(delta / len(RULES) / strata).alias("error"))
-    chain = tested.groupBy("stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("rank", "cutoff", "n", "k", "n_bad", "hits", "p_value", "error"))).alias("chain"))  # one entry per level
-    passed = F.aggregate("chain", F.struct(F.lit(True).alias("going"), F.lit(None).cast(_entry()).alias("last")), lambda a, e: F.when(
-        a["going"] & (e["p_value"] <= e["error"]), F.struct(F.lit(True).alias("going"), e.alias("last"))).otherwise(F.struct(F.lit(False).alias("going"), a["last"].alias("last"))))
-    return (
-        chain.select("stratum", "rule", passed["last"].alias("e")).where(F.col("e").isNotNull()).select("stratum", "rule", "e.*")
-        .where(F.col("hits") * F.col("n") > F.col("k") * F.col("n_bad")).select("stratum", "rule", "cutoff", "n", "k", "p_value", "hits")
-    )
-
-
-def _entry() -> str:
-    return "struct<rank:int,cutoff:double,n:bigint,k:bigint,n_bad:bigint,hits:bigint,p_value:double,error:double>"
+    ordered = stored(ordered, "steps")
+    fresh = first_step(seen.where("proposes"), ordered).groupBy("family", "steps", "first").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    fresh = fresh.groupBy("family", "steps").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("first", "good", "bad")).alias("new"))
+    useful = lambda e: F.col("n_good") * e["bad"] > F.col("n_bad") * e["good"]
+    at = F.sort_array(F.transform(F.filter("new", lambda e: e["first"].isNotNull() & useful(e)), lambda e: e["first"]))
+    chosen = stored(fresh.select("family", F.transform(at, lambda i: F.get("steps", i)).alias("steps")), "chosen")
+    tested = first_step(seen.where("good AND NOT proposes"), chosen).groupBy("family", "steps", "first").agg(F.count(F.lit(1)).alias("c"))
+    tested = tested.groupBy("family", "steps").agg(F.sum("c").alias("n"), F.collect_list(F.struct("first", "c")).alias("new"))
+    tested = tested.select("family", "n", "new", F.posexplode("steps").alias("step", "e"))
+    tested = tested.withColumn("k", F.aggregate("new", F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"] <= F.col("step"), x["c"]).otherwise(0)))
+    alpha = F.lit(max_rejection)
+    failed = F.when(F.col("k") >= F.col("n") * alpha, 1.0).otherwise(binomial_tail(F.col("n"), F.col("k"), alpha)) > error
+    tested = tested.select("family", "step", "e.rule", "e.cutoff", failed.alias("failed"))
+    chain = tested.groupBy("family").agg(F.min(F.when(F.col("failed"), F.col("step"))).alias("end"), F.collect_list(F.struct("step", "rule", "cutoff")).alias("chain"))
+    passed = chain.select("family", F.explode("chain").alias("e"), "end").where(F.col("end").isNull() | (F.col("e.step") < F.col("end")))
+    passed = passed.groupBy("family", "e.rule").agg(F.min("e.cutoff").alias("cutoff"))
+    return judges.join(passed, "family").select("stratum_key", "rule", "cutoff")
+
+
+def stratum_key() -> Column:
+    """The stratum, apart from the family ``pool`` and from null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("stratum")), F.lit("null"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality",
@@ -135,14 +163,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of ``docs``: its id, ``row`` (a hash of its text), the counts, ``base_failed``, ``kept`` and ``broken``, the rules it broke.
 
     Null or empty text has no words and fails the base rules. Null strata form a
-    stratum of their own. Rows that repeat an id or a text are judged one by
+    stratum of their own. ``max_rejection`` and ``delta`` hold for each stratum with
+    enough labels, and for all others together. Rows that repeat an id or a text are judged one by
     one, all alike. Empty ``labels``: the base rules alone. Empty ``docs``: no rows.
     """
     measured = stored(measures(docs, id_col, text_col, stratum_col), "measures")
     cuts = thresholds(measured, labels, id_col, label_col, max_rejection, delta)
-    cuts = stored(cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")), "cutoffs")  # at most one entry per rule
-    m, c = measured.alias("m"), cuts.alias("c")
-    joined = m.join(c, F.col("m.stratum").eqNullSafe(F.col("c.stratum")), "left").select("m.*", "cuts")
+    cuts = stored(cuts.groupBy("stratum_key").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")), "cutoffs")  # at most one entry per rule
+    joined = measured.withColumn("stratum_key", stratum_key()).join(cuts, "stratum_key", "left")
     broken = F.filter(F.array(*[F.when(F.expr(f"double({e})") > F.col("cuts")[name], F.lit(name)) for name, e in RULES.items()]), lambda r: r.isNotNull())
     judged = joined.withColumn("base_failed", base_failed()).withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
     return judged.select(F.col("id").alias(id_col), "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

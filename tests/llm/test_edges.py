@@ -321,3 +321,15 @@ def test_steps_take_every_block_of_every_text(spark):
     docs = spark.createDataFrame([(" ".join([w] * 20),) for w in words], "text string").coalesce(1)
     moved = np.abs(steps(docs, start, vocabulary, rate=0.01).p["b2"] - start.p["b2"])[:60].max(1) > 1e-4
     assert moved.all()
+
+
+def test_cutoffs_reject_at_the_production_parameters(spark):
+    """A stratum that certifies alone, and three that only do so together; each has bad documents of two kinds."""
+    rng = np.random.default_rng(4)
+    word = lambda n=6: "".join(rng.choice(list("abcdefgh"), n))
+    def text(kind):
+        return " ".join(word(30 if kind == 1 else 6) + ("###" if kind == 0 else "") for _ in range(60))
+    rows = [(i, text(i % 20), "en" if i < 1000 else ("fr", "de", None)[i % 3]) for i in range(2000)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 20 > 1)) for i in range(2000)], "doc_id long, quality int")).collect()
+    good = [r.kept for r in out if r.doc_id % 20 > 1]
+    assert sum(good) >= 0.99 * len(good) and not any(r.kept for r in out if r.doc_id % 20 <= 1)
