@@ -333,3 +333,21 @@ def test_cutoffs_reject_at_the_production_parameters(spark):
     out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 20 > 1)) for i in range(2000)], "doc_id long, quality int")).collect()
     good = [r.kept for r in out if r.doc_id % 20 > 1]
     assert sum(good) >= 0.99 * len(good) and not any(r.kept for r in out if r.doc_id % 20 <= 1)
+
+
+@pytest.mark.parametrize("parts", [1, 60])
+def test_frequent_shingles_are_exact_and_few_are_collected(spark, monkeypatch, parts):
+    """A license line in two thirds of the texts, in one partition and in one row each: the same weights as by brute force."""
+    from skydrift.llm.near_dedup import frequent_shingles, shingle_sets
+
+    rows = [" ".join(f"w{i}x{j}" for j in range(50)) + (" this line is in most of all texts" if i % 3 else "") for i in range(60)]
+    got, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: got.append(collect(self)) or got[-1])
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(parts)
+    out = frequent_shingles(docs, 5)
+    each = [set(shingle_sets([t.encode().split()], WordHash(), 5)[1].tolist()) for t in rows]
+    held = Counter(s for x in each for s in x)
+    want = {s: 1 + np.log(60 / n) for s, n in held.items() if 2 * n > 60}
+    assert len(want) == 4
+    assert dict(zip(out.shingles.tolist(), out.idf)) == pytest.approx(want)
+    assert max(map(len, got)) <= 4 * sum(map(len, each)) / 60
