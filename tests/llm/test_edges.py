@@ -351,3 +351,21 @@ def test_frequent_shingles_are_exact_and_few_are_collected(spark, monkeypatch, p
     assert len(want) == 4
     assert dict(zip(out.shingles.tolist(), out.idf)) == pytest.approx(want)
     assert max(map(len, got)) <= 4 * sum(map(len, each)) / 60
+
+
+def test_shingles_of_most_texts_weigh_less(spark):
+    """Two texts that share only what all texts hold are less alike by IDF."""
+    common = " ".join(f"c{j}" for j in range(100))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(4))
+    rows = [(i, f"{common} {own(i)}") for i in range(2)]
+    out = []
+    for weights in (Weights(np.zeros(0, np.uint64), np.zeros(0), 1 + np.log(2.0)), None):
+        if weights is None:
+            from skydrift.llm.near_dedup import frequent_shingles
+
+            weights = frequent_shingles(spark.createDataFrame(rows, "id long, text string"), 5)
+            assert len(weights.shingles) == 96 and np.allclose(weights.idf, 1.0)
+        one, two = (Items([{"node": bytes([i]), "label": b"", "text": t}], WordHash(), weights, 5) for i, t in rows)
+        out.append(one.similar(two)[0, 0])
+    rest = 1 + np.log(2.0)
+    assert np.allclose(out, [96 / 104, 96 / (96 + 8 * rest)])
