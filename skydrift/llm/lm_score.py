@@ -5,8 +5,10 @@
 2. The model is one attention layer in numpy. An id is predicted from the ids of
    its block and of the block before: windows overlap by one block, every id is
    scored in one of them, and a mask keeps out later ids and other texts. The
-   output is a softmax over classes of ids and one within the class, both biased
-   by the counts, so that training starts from the unigram model.
+   output is a softmax over classes of ids and one within the class; the ids beyond
+   the 4,096 most frequent are one class, with a softmax over its groups and one
+   within the group. All are biased by the counts, so that training starts from the
+   unigram model. Every id has its own input and output weights.
 3. A bounded sample of training documents gives a common start. From it every task
    takes Adam steps on every block of its part of the training documents; the
    tasks' weights are averaged in a tree, weighted by tokens.
@@ -77,19 +79,20 @@ class Attention:
     def __init__(self, counts: np.ndarray, seed: int = 7):
         smooth = counts + 0.5
         order = np.argsort(-smooth, kind="stable")
-        self.place = np.empty(len(counts), np.int64)  # rank by count; ranks from HEAD on share one class
+        self.place = np.empty(len(counts), np.int64)  # rank by count; ranks from HEAD on share one class of several groups
         self.place[order] = np.arange(len(counts))
         ranked = smooth[order]
-        head, tail = ranked[:HEAD], ranked[HEAD:]
-        head = np.append(head, np.full(HEAD - len(head), 1e-9))
-        mass = np.append(head.reshape(CLASSES, PER_CLASS).sum(1), max(tail.sum(), 1e-9))
-        self.tail = np.log(tail / tail.sum()).astype(np.float32) if len(tail) else np.zeros(1, np.float32)
+        units = max(CLASSES + 1, -(-len(ranked) // PER_CLASS))  # classes, then groups of the last class
+        each = np.append(ranked, np.full(units * PER_CLASS - len(ranked), 1e-9)).reshape(units, PER_CLASS)
+        sums = each.sum(1)
+        mass, tail = np.append(sums[:CLASSES], sums[CLASSES:].sum()), sums[CLASSES:]
         rng = np.random.default_rng(seed)
         n = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.p = {
-            "e": n(HEAD + 1, DIM), "q": n(DIM, DIM), "k": n(DIM, DIM), "v": n(DIM, DIM), "o": n(DIM, DIM), "x": n(DIM, DIM) + np.eye(DIM, dtype=np.float32), "r": np.zeros(2 * BLOCK, np.float32),
+            "e": n(units * PER_CLASS, DIM), "q": n(DIM, DIM), "k": n(DIM, DIM), "v": n(DIM, DIM), "o": n(DIM, DIM), "x": n(DIM, DIM) + np.eye(DIM, dtype=np.float32), "r": np.zeros(2 * BLOCK, np.float32),
             "u1": n(CLASSES + 1, DIM) * 0, "b1": np.log(mass / mass.sum()).astype(np.float32),
-            "u2": n(CLASSES, PER_CLASS, DIM) * 0, "b2": np.log(head.reshape(CLASSES, PER_CLASS) / head.reshape(CLASSES, PER_CLASS).sum(1, keepdims=True)).astype(np.float32),
+            "u3": n(len(tail), DIM) * 0, "b3": np.log(tail / tail.sum()).astype(np.float32),
+            "u2": n(units, PER_CLASS, DIM) * 0, "b2": np.log(each / sums[:, None]).astype(np.float32),
         }
 
     def windows(self, ids: list[np.ndarray], use: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
@@ -108,7 +111,7 @@ class Attention:
         two = lambda x: np.concatenate([x[at - 1], x[at]], axis=1)
         own = two(text)
         own[at == 0, :BLOCK] = -2
-        return np.minimum(self.place[two(before)], HEAD), own, self.place[goal[at]]
+        return self.place[two(before)], own, self.place[goal[at]]
 
     _FAR = np.arange(BLOCK, 2 * BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 
@@ -129,7 +132,8 @@ class Attention:
     def outputs(self, h: np.ndarray, goal: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of the targets' probabilities; the gradient of their sum by ``h`` where weights are learnt."""
         p = self.p
-        group = np.minimum(goal // PER_CLASS, CLASSES)
+        unit = goal // PER_CLASS
+        group = np.minimum(unit, CLASSES)
         z = h @ p["u1"].T + p["b1"]
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
@@ -143,12 +147,25 @@ class Attention:
             grads["u1"] += z.T @ h
             grads["b1"] += z.sum(0)
             dh = z @ p["u1"]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 2))
-        for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
+        at = np.flatnonzero(group == CLASSES)
+        if len(at):
+            hc, g, rows = h[at], unit[at] - CLASSES, np.arange(len(at))
+            z = hc @ p["u3"].T + p["b3"]
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            out[at] += np.log(z[rows, g])
+            if grads is not None:
+                z = -z
+                z[rows, g] += 1
+                grads["u3"] += z.T @ hc
+                grads["b3"] += z.sum(0)
+                dh[at] += z @ p["u3"]
+        order = np.argsort(unit, kind="stable")
+        present, starts = np.unique(unit[order], return_index=True)
+        if grads is not None:
+            grads["u2"], grads["b2"] = ((present, np.zeros((len(present), *p[k].shape[1:]), p[k].dtype)) for k in ("u2", "b2"))
+        for i, (c, at) in enumerate(zip(present, np.split(order, starts[1:]))):
             hc, g = h[at], goal[at] - c * PER_CLASS
             z = hc @ p["u2"][c].T + p["b2"][c]
             z -= z.max(1, keepdims=True)
@@ -159,23 +176,21 @@ class Attention:
             if grads is not None:
                 z = -z
                 z[rows, g] += 1
-                grads["u2"][c] += z.T @ hc
-                grads["b2"][c] += z.sum(0)
+                grads["u2"][1][i] = z.T @ hc
+                grads["b2"][1][i] = z.sum(0)
                 dh[at] += z @ p["u2"][c]
-        at = order[ends[CLASSES] :]
-        out[at] += self.tail[goal[at] - HEAD] if len(at) else 0
         return out, dh
 
     def tables(self) -> dict:
         """What scoring needs of the weights: queries, keys, values and direct parts of every place, and outputs with their biases as a last column."""
-        p, one = self.p, np.ones((HEAD + 1, 1), self.p["e"].dtype)
+        p, one = self.p, np.ones((len(self.p["e"]), 1), self.p["e"].dtype)
         bound = lambda u, b: float((np.abs(u).sum(-1) + np.abs(b)).max())  # noqa: E731  |tanh| is at most 1
         q, k = p["e"] @ p["q"] * np.float32(DIM**-0.5), p["e"] @ p["k"]
         far = np.where(self._FAR >= 0, p["r"][np.maximum(self._FAR, 0)], np.float32(-np.inf))
         return {
             "q": q, "k": k, "v": np.concatenate([p["e"] @ p["v"], one], 1), "x": p["e"] @ p["x"], "far": far,
-            "u1": np.ascontiguousarray(np.concatenate([p["u1"], p["b1"][:, None]], 1).T), "u2": np.ascontiguousarray(np.concatenate([p["u2"], p["b2"][..., None]], 2).transpose(0, 2, 1)),
-            "plain": max(bound(p["u1"], p["b1"]), bound(p["u2"], p["b2"]), float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["r"]).max())) < 60,
+            "u1": np.ascontiguousarray(np.concatenate([p["u1"], p["b1"][:, None]], 1).T), "u2": np.ascontiguousarray(np.concatenate([p["u2"], p["b2"][..., None]], 2).transpose(0, 2, 1)), "u3": np.ascontiguousarray(np.concatenate([p["u3"], p["b3"][:, None]], 1).T),
+            "plain": max(bound(p["u1"], p["b1"]), bound(p["u2"], p["b2"]), bound(p["u3"], p["b3"]), float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["r"]).max())) < 60,
         }
 
     def log_probabilities(self, ids: list[np.ndarray], tables: dict | None = None) -> np.ndarray:
@@ -201,30 +216,37 @@ class Attention:
             a = (c[..., :DIM] / c[..., DIM:]).reshape(-1, DIM) @ self.p["o"]
             a += t["x"][i[:, BLOCK:].reshape(-1)]
             np.tanh(a.reshape(-1, BLOCK, DIM), out=h[lo : lo + 128, :, :DIM])
-        h, goal, ones = h.reshape(-1, DIM + 1), goal.reshape(-1), np.ones(max(CLASSES + 1, PER_CLASS), h.dtype)  # a product with ones sums rows faster
-        group = np.minimum(goal // PER_CLASS, CLASSES).astype(np.int16)
+        h, goal, ones = h.reshape(-1, DIM + 1), goal.reshape(-1), np.ones(max(CLASSES + 1, PER_CLASS, len(self.p["b3"])), h.dtype)  # a product with ones sums rows faster
+        unit = (goal // PER_CLASS).astype(np.int16)
         out = np.empty(len(h), h.dtype)
+        group = np.minimum(unit, CLASSES)
         for lo in range(0, len(h), 2048):
             z = h[lo : lo + 2048] @ t["u1"]
             out[lo : lo + 2048] = z[np.arange(len(z)), group[lo : lo + 2048]]
             np.exp(z, out=z)
             out[lo : lo + 2048] -= np.log(z @ ones[: z.shape[1]])
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 2))
-        for c in range(CLASSES):
-            for lo in range(ends[c], ends[c + 1], 2048):
-                at = order[lo : min(lo + 2048, ends[c + 1])]
+        tail = np.flatnonzero(group == CLASSES)
+        for lo in range(0, len(tail), 2048):
+            at = tail[lo : lo + 2048]
+            z = h[at] @ t["u3"]
+            own_z = z[np.arange(len(at)), unit[at] - CLASSES]
+            np.exp(z, out=z)
+            out[at] += own_z - np.log(z @ ones[: z.shape[1]])
+        order = np.argsort(unit, kind="stable")
+        present, starts = np.unique(unit[order], return_index=True)
+        for c, same in zip(present, np.split(order, starts[1:])):
+            for lo in range(0, len(same), 2048):
+                at = same[lo : lo + 2048]
                 z = h[at] @ t["u2"][c]
-                own_z = z[np.arange(len(at)), goal[at] - c * PER_CLASS]
+                own_z = z[np.arange(len(at)), goal[at] - int(c) * PER_CLASS]
                 np.exp(z, out=z)
                 out[at] += own_z - np.log(z @ ones[: z.shape[1]])
-        at = order[ends[CLASSES] :]
-        out[at] += self.tail[goal[at] - HEAD] if len(at) else 0
         return out[: sum(map(len, ids))]
 
     def gradient(self, inputs: np.ndarray, own: np.ndarray, goal: np.ndarray) -> tuple[dict, float, int]:
+        """Gradients; those of ``e``, ``u2`` and ``b2`` are pairs of the rows in use and their values, as all others are zero."""
         p = self.p
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "u2", "b2")}
         x, q, k, v, s, c, h = self.context(inputs, own)
         real = own[:, BLOCK:].reshape(-1) >= 0
         flat = h.reshape(-1, DIM)
@@ -248,7 +270,7 @@ class Attention:
         at = np.argsort(inputs, axis=None, kind="stable")
         place = inputs.reshape(-1)[at]
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        g["e"][place[starts]] += np.add.reduceat(dx.reshape(-1, DIM)[at], starts)
+        g["e"] = place[starts], np.add.reduceat(dx.reshape(-1, DIM)[at], starts)
         return g, float(logs.sum()), int(real.sum())
 
     def vector(self) -> np.ndarray:
@@ -264,6 +286,8 @@ class Attention:
 
 
 class Adam:
+    """Adam steps; rows of a weight that a batch does not use stay as they are, with their moments."""
+
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.t = model, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
@@ -272,10 +296,12 @@ class Adam:
         g, _, n = self.model.gradient(inputs, own, goal)
         self.t += 1
         for k, x in self.model.p.items():
-            d = g[k] / max(n, 1)
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            x += self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
+            at, d = g[k] if isinstance(g[k], tuple) else (slice(None), g[k])
+            d = d / max(n, 1)
+            m, v = self.m[k][at], self.v[k][at]
+            m, v = m + 0.1 * (d - m), v + 0.01 * (d * d - v)
+            self.m[k][at], self.v[k][at] = m, v
+            x[at] += self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
         return n
 
 
@@ -337,12 +363,12 @@ def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], rate:
                 for lo in range(0, len(goal), 256):
                     total += adam.step(inputs[lo : lo + 256], own[lo : lo + 256], goal[lo : lo + 256])
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([(model.vector() * total).tobytes()], pa.binary()), pa.array([total], pa.int64())], ["weights", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.vector().astype(np.float32).tobytes()], pa.binary()), pa.array([total], pa.int64())], ["weights", "n"])
 
     parts = stored(docs.select("text").mapInArrow(fit, "weights binary, n long"), "weights")
     if parts.isEmpty():
         return start
-    whole, n = parts.rdd.map(lambda r: (np.frombuffer(bytes(r[0])), r[1])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    whole, n = parts.rdd.map(lambda r: (np.frombuffer(bytes(r[0]), np.float32).astype(float) * r[1], r[1])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
     out = copy.copy(start)
     out.p = dict(start.p)
     return out.load(whole / n)

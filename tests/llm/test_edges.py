@@ -369,3 +369,19 @@ def test_shingles_of_most_texts_weigh_less(spark):
         out.append(one.similar(two)[0, 0])
     rest = 1 + np.log(2.0)
     assert np.allclose(out, [96 / 104, 96 / (96 + 8 * rest)])
+
+
+def test_rare_ids_have_weights_of_their_own():
+    """Beyond the 4,096 most frequent ids, which id follows depends on the id before it, and probabilities add up to one."""
+    from skydrift.llm.lm_score import Adam
+
+    counts = np.concatenate([np.full(5000, 9.0), np.ones(4)])
+    model, pairs = Attention(counts), [np.array([5000, 5001] * 20), np.array([5002, 5003] * 20)]
+    adam = Adam(model, 0.004)
+    for _ in range(700):
+        adam.step(*model.windows(pairs))
+    log = lambda a, x: model.log_probabilities([np.array([a, a + 1, a, x, 0])])[3]
+    assert log(5000, 5001) > log(5000, 5003) + 2 and log(5002, 5003) > log(5002, 5001) + 2
+    goal = np.arange(len(counts))
+    h = np.repeat(model.context(*model.windows(pairs)[:2])[-1].reshape(-1, 16)[:1], len(goal), 0)
+    assert np.exp(model.outputs(h, goal)[0]).sum() == pytest.approx(1, abs=1e-4)
