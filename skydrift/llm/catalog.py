@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .hard_negatives import hard_negatives
 from .line_dedup import line_dedup
 from .lm_score import lm_scores
 from .near_dedup import near_duplicates
@@ -17,6 +18,8 @@ from .quality import quality_rules
 from .substring_dedup import repeated_substrings
 from .toxicity import toxicity
 from .url_filter import host_of, path_of, url_filter
+from .vector_codes import books_digest, label_errors, vector_codes
+from .vector_dedup import near_duplicate_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +166,60 @@ def op7_lm_score(spark, sf):
     import public_tokenizers
 
     return lm_scores(table(spark, sf, "documents"), (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+USABLE_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+NEGATIVES_SQL = f"""
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND {USABLE_SQL}),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf):
+    items = table(spark, sf, "embeddings")
+    items = items.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(items, F.col("vec_id") % 50 == 0)
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Each round is two steps: assign every part to its nearest entry, then replace the entries by the floored means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT vec_id, p, x.v, min((list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v))::BIGINT * 256 + e) AS best FROM parts x JOIN book{k} b USING (p) GROUP BY ALL)")
+        if k < rounds:
+            steps.append(f"mean{k} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, best % 256 AS e, i, floor(sum(x) / count(*)) AS m FROM (SELECT p, best, unnest(v) AS x, unnest(range(len(v))) AS i FROM near{k}) GROUP BY ALL) GROUP BY p, e)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m USING (p, e))")
+    return f"""
+    WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE {USABLE_SQL}),
+    parts AS MATERIALIZED (SELECT vec_id, p, list_slice(q, p * (len(q) // 4) + 1, (p + 1) * (len(q) // 4)) AS v FROM (SELECT *, unnest(range(4)) AS p FROM r)),
+    book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY e < 256),
+    {", ".join(steps)},
+    coded AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+    FROM coded JOIN r USING (vec_id)"""
+
+
+@query("op12_vector_codes", codes_sql())
+def op12_vector_codes(spark, sf):
+    coded, books = vector_codes(table(spark, sf, "embeddings"), carry=["label"])
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return label_errors(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+VECTOR_LINKS_SQL = f"""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {USABLE_SQL} AND list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) > 0),
+    link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+    FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) USING (vec_id)"""
+
+
+@query("op13_vector_dedup", VECTOR_LINKS_SQL)
+def op13_vector_dedup(spark, sf):
+    return near_duplicate_vectors(table(spark, sf, "embeddings"))
