@@ -38,8 +38,8 @@ class Grid:
     def __init__(self, entries: np.ndarray):
         self.entries = entries.astype(np.int64)
         spread = np.sqrt(np.maximum(1.0, self.entries.astype(np.float64).var(axis=0).mean()))
-        #: Cells a little wider than the entries spread: few of them, each met by many vectors.
-        self.shift = max(0, int(np.ceil(np.log2(spread))))
+        #: Cells about half as wide as the entries spread: as wide as the spread they leave nearly every entry, at half of it a third.
+        self.shift = max(0, int(np.ceil(np.log2(spread))) - 1)
         self.memo: dict[bytes, np.ndarray] = {}
 
     def _bounds(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
