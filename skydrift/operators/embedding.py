@@ -374,27 +374,6 @@ def mmd_mean_bandwidth(z: DataFrame, mul: float = 2.0, num: int = 5, block: int
     return sums.join(_sizes(z), "batch").join(bw, "batch").select("batch", "n", "bandwidth", est.alias("mmd"))
 
 
-def mmd2_random_features(z: DataFrame, bandwidth: float, dim: int, features: int = 512, seed: int = 7) -> DataFrame:
-    """Linear-time estimate for sets too large for pairs (Rahimi & Recht 2007).
-
-    The kernel exp(-d2/bandwidth) becomes an inner product of random cosines;
-    MMD^2 is then the squared distance of two mean feature vectors.
-    """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 / bandwidth), size=(dim, features))
-    shift = rng.uniform(0.0, 2.0 * np.pi, size=features)
-
-    @F.pandas_udf("array<double>")
-    def lift(e: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2.0 / features) * np.cos(_matrix(e) @ w + shift)))
-
-    m = z.select("batch", "side", lift("embedding").alias("f")).groupBy("batch", "side").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("f"))).alias("m")
-    )
-    side = lambda s: F.first(F.when(F.col("side") == s, F.col("m")), ignorenulls=True)
-    return m.groupBy("batch").agg(vec.sq_dist(side("a"), side("b")).alias("mmd2"))
-
-
 # --- class centroids --------------------------------------------------------------------
 def class_centroids(df: DataFrame, label: str = "label", embedding: str = "embedding") -> DataFrame:
     """Unit-length class means over the rows of all domains."""

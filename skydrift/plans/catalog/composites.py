@@ -104,7 +104,7 @@ def sensor_report(spark, sf):
 def domain_gap_table(spark, sf):
     v = A.vectors(spark, sf)
     e = P.stack_domains({d: v.select("item_id", "batch", F.col(d).alias("embedding")) for d in ("a", "b")})
-    return reports.domain_gap_table(e, v.select("item_id", "label"), [("a", "b")])
+    return reports.domain_gap_table(e, v.select("item_id", "label"), [("a", "b")], 64)
 
 
 @query("ladder_report", with_ctes("run_cells", f"""

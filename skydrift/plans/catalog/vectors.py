@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import vec
+from ...operators import distance as D
 from ...operators import embedding as E
 from ...operators import pairing as P
 from ...operators import prediction as Q
@@ -105,11 +106,41 @@ def mmd_mean_bandwidth(spark, sf):
     return A.rounded(E.mmd_mean_bandwidth(_two(spark, sf)), 8)
 
 
-@query("mmd2_random_features")
+def _whole_sql(features: int, bandwidth: str) -> dict[str, str]:
+    """The same frequencies, drawn from the same digests, and beside them the exact statistic over all pairs."""
+    turn = f"sqrt(2 / {bandwidth})"
+    return {
+        "z": "SELECT 0::BIGINT AS batch, item_id, side, side || item_id AS item, v FROM (SELECT item_id, 'a' AS side, a AS v FROM vectors UNION ALL SELECT item_id, 'b', b FROM vectors)",
+        "dealt": "SELECT *, ('0x' || md5('7:' || item)[1:13])::BIGINT % greatest(1, ceil((SELECT count(*) FROM z) * ((SELECT count(*) FROM z) - 1) / 400000.0::DOUBLE))::BIGINT AS bucket FROM z",
+        "median": "SELECT quantile_disc(list_distance(x.v, y.v) ** 2, 0.5) AS bw FROM dealt x JOIN dealt y ON x.bucket = y.bucket AND x.item < y.item",
+        "w": f"""SELECT f, list(sqrt(-2 * ln((('0x' || h[1:13])::BIGINT + 1) / 4503599627370496.0::DOUBLE)) * cos(2 * pi() * (('0x' || h[14:26])::BIGINT / 4503599627370496.0::DOUBLE)) ORDER BY j) AS w
+            FROM (SELECT f, j, md5('7:' || f || ':' || j) AS h FROM (SELECT unnest(range({features})) AS f), (SELECT unnest(range(64)) AS j)) GROUP BY f""",
+        "sums": f"SELECT f, side, sum(cos({turn} * list_dot_product(v, w))) AS c, sum(sin({turn} * list_dot_product(v, w))) AS s FROM z, w, median GROUP BY f, side",
+        "e": """SELECT (a.c * a.c + a.s * a.s - n) / (n * (n - 1)) + (b.c * b.c + b.s * b.s - n) / (n * (n - 1)) - 2 * (a.c * b.c + a.s * b.s) / (n * n) AS e
+            FROM sums a JOIN sums b ON a.f = b.f AND a.side = 'a' AND b.side = 'b', (SELECT count(*)::DOUBLE AS n FROM vectors)""",
+        "estimate": f"SELECT avg(e) AS mmd2, stddev_samp(e) / sqrt({features}) AS err FROM e",
+        "exact": f"""SELECT (sum(k) FILTER (s = 'a' AND t = 'a') - any_value(n)) / any_value(n * (n - 1)) + (sum(k) FILTER (s = 'b' AND t = 'b') - any_value(n)) / any_value(n * (n - 1)) - 2 * sum(k) FILTER (s = 'a' AND t = 'b') / any_value(n * n) AS mmd2
+            FROM (SELECT x.side AS s, y.side AS t, exp(-(list_distance(x.v, y.v) ** 2) / {bandwidth}) AS k FROM z x, z y, median), (SELECT count(*)::DOUBLE AS n FROM vectors)""",
+    }
+
+
+def _whole(spark, sf):
+    return _two(spark, sf).withColumn("batch", F.lit(0).cast("long"))
+
+
+@query("mmd2_whole_set", with_ctes("vectors", f"""
+    SELECT 0::BIGINT AS batch, (SELECT count(*) FROM vectors) AS n, (SELECT count(*) FROM vectors) AS m, {r('bw', 8)} AS bandwidth, {r('estimate.mmd2', 8)} AS mmd2, {r('err', 8)} AS std_error,
+           abs(exact.mmd2 - estimate.mmd2) <= 4 * err AS exact_within FROM median, estimate, exact""", _whole_sql(4096, "bw")))
+def mmd2_whole_set(spark, sf):
+    """The last column is the promise; the SQL computes the exact value over all pairs and tells whether it holds."""
+    return A.rounded(D.mmd2_whole(_whole(spark, sf), 64), 8).withColumn("exact_within", F.lit(True))
+
+
+@query("mmd2_random_features", with_ctes("vectors", f"""
+    SELECT 0::BIGINT AS batch, {r('estimate.mmd2', 8)} AS mmd2, abs(exact.mmd2 - estimate.mmd2) <= 4 * err AS exact_within FROM estimate, exact""", _whole_sql(512, "2.0::DOUBLE")))
 def mmd2_random_features(spark, sf):
-    """Linear-time estimate over the whole sets as one batch; compared with the exact value in tests."""
-    z = _two(spark, sf).withColumn("batch", F.lit(0).cast("long"))
-    return E.mmd2_random_features(z, 2.0, 64)
+    """The same with a given bandwidth and fewer frequencies."""
+    return A.rounded(D.mmd2_whole(_whole(spark, sf), 64, 2.0, 512).select("batch", "mmd2"), 8).withColumn("exact_within", F.lit(True))
 
 
 def _views(spark, sf):

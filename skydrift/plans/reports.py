@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import bands as B
+from ..operators import distance as D
 from ..operators import embedding as E
 from ..operators import manifest as M
 from ..operators import pairing as P
@@ -105,23 +106,23 @@ def sensor_report(pixels: DataFrame, pairs: DataFrame, wide: DataFrame, stored:
     }
 
 
-def domain_gap_table(embeddings: DataFrame, labels: DataFrame, pairs: Sequence[tuple[str, str]], block: int = 1024) -> DataFrame:
-    """One row per pair of domains: MMD^2, PAD, probe error, paired cosine, retention.
+def domain_gap_table(embeddings: DataFrame, labels: DataFrame, pairs: Sequence[tuple[str, str]], dim: int) -> DataFrame:
+    """One row per pair of domains: MMD^2 and its standard error, PAD, probe error, paired cosine, retention.
 
-    MMD^2 is the mean over batches of the unbiased estimate (column ``batch``).
+    MMD^2 is that of the two complete sets (:func:`distance.mmd2_whole`).
     """
     out = None
     for a, b in pairs:
         side = lambda d: embeddings.where(F.col("domain") == d)
         x, y = side(a), side(b)
         pad = Pr.proxy_a_distance(x.select("item_id", "embedding"), y.select("item_id", "embedding"))
-        mmd = E.mmd2_unbiased(E.two_sample(x, y), block=block).agg(F.avg("mmd2").alias("mmd2"))
+        mmd = D.mmd2_whole(E.two_sample(*[d.withColumn("batch", F.lit(0)) for d in (x, y)]), dim).select(F.struct("mmd2", "std_error")).scalar()
         cos = E.layer_metrics(
             x.select("item_id", F.col("embedding").alias("emb_a")).join(y.select("item_id", F.col("embedding").alias("emb_b")), "item_id")
         ).agg(F.avg("cosine").alias("paired_cosine"))
         t = Pr.probe_transfer(x, y, labels)
         row = t.select(
-            F.lit(f"{a} vs {b}").alias("pair"), mmd.scalar().alias("mmd2"), pad.select("pad").scalar().alias("pad"), pad.select("error").scalar().alias("error"),
+            F.lit(f"{a} vs {b}").alias("pair"), mmd["mmd2"].alias("mmd2"), mmd["std_error"].alias("mmd2_std_error"), pad.select("pad").scalar().alias("pad"), pad.select("error").scalar().alias("error"),
             cos.scalar().alias("paired_cosine"), F.col("same").alias("probe_same"), F.col("cross").alias("probe_cross"), "retention",
         )
         out = row if out is None else out.unionByName(row)

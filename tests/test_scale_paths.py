@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skydrift.functions import order
-from skydrift.operators import bands, embedding, pairing, significance, splits
+from skydrift.operators import bands, distance, embedding, pairing, significance, splits
 
 
 @pytest.fixture(scope="module")
@@ -128,12 +128,34 @@ def test_mmd_blocks_equal_brute_force(two_sets):
             assert mean[k]["mmd"] == pytest.approx((kaa + kbb - 2 * kab).mean(), abs=1e-9)
 
 
-def test_random_features_come_close(two_sets):
+@pytest.mark.parametrize("bandwidth", [None, 12.0])
+def test_whole_set_mmd_is_within_its_error(spark, two_sets, bandwidth):
+    """Sets of unequal size, a row without a vector, a set of one row."""
     a, b, z, _, _ = two_sets
-    one = z.withColumn("batch", F.lit(0).cast("long"))
-    kaa, kbb, kab = brute(a, b, lambda d: np.exp(-d / 12.0))
-    got = embedding.mmd2_random_features(one, 12.0, 6, 4096).first()["mmd2"]
-    assert got == pytest.approx(kaa.mean() + kbb.mean() - 2 * kab.mean(), abs=0.02)
+    z = z.where("side = 'a' OR batch = 0").withColumn("batch", F.lit(0).cast("long"))
+    lone = z.where("item = 'a3'").withColumn("batch", F.lit(5).cast("long"))
+    none = lone.withColumns({"embedding": F.lit(None).cast("array<double>"), "item": F.lit("zz"), "batch": F.lit(0).cast("long")})
+    rows = {r.batch: r for r in distance.mmd2_whole(z.unionByName(none).unionByName(lone) if bandwidth else z.unionByName(none), 6, bandwidth).collect()}
+    pooled = np.vstack([a, b[:50]])
+    d = ((pooled[:, None] - pooled[None]) ** 2).sum(-1)
+    off = np.sort(d[~np.eye(len(pooled), dtype=bool)])
+    bw = bandwidth or off[(len(off) - 1) // 2]
+    kaa, kbb, kab = brute(a, b[:50], lambda q: np.exp(-q / bw))
+    want = (kaa.sum() - 70) / (70 * 69) + (kbb.sum() - 50) / (50 * 49) - 2 * kab.mean()
+    got = rows[0]
+    assert got.bandwidth == pytest.approx(bw) and (got.n, got.m) == (70, 50)
+    assert abs(got.mmd2 - want) <= 4 * got.std_error and got.std_error < 0.02
+    assert bandwidth is None or (rows[5].n, rows[5].m, rows[5].mmd2) == (1, 0, None)
+
+
+def test_median_of_drawn_pairs_has_the_rank_error_of_its_sample(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.standard_normal((700, 3)), 5 + rng.standard_normal((500, 3))])
+    z = spark.createDataFrame([(0, f"{'ab'[i % 2]}{i}", "ab"[i % 2], [float(t) for t in v]) for i, v in enumerate(x)], "batch long, item string, side string, embedding array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(len(x), 1)]
+    for pairs in (1_000_000, 20_000):
+        got = distance.pooled_median_sq_distance(z, pairs).first()["bandwidth"]
+        assert abs((d <= got).mean() - 0.5) < (1e-5 if pairs > len(d) else 4 * 0.5 / np.sqrt(pairs))
 
 
 def test_retrieval_blocks(two_sets):
