@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ... import constants as C
 from ...operators import bands as B
-from ...operators import pairing as P
 from ...operators import probes as Pr
 from .. import adapters as A
 from ..registry import query
@@ -47,12 +47,8 @@ def proxy_a_distance_null(spark, sf):
 @query("proxy_a_distance_per_layer")
 def proxy_a_distance_per_layer(spark, sf):
     e = A.layer_embeddings(spark, sf)
-    out = None
-    for layer in range(A.LAYERS):
-        side = lambda d: e.where((F.col("layer") == layer) & (F.col("domain") == d)).select("item_id", "embedding")  # noqa: E731, B023
-        row = Pr.proxy_a_distance(side("a"), side("b")).select(F.lit(layer).alias("layer"), "error", "pad")
-        out = row if out is None else out.unionByName(row)
-    return out
+    side = lambda d: e.where(F.col("domain") == d).select("item_id", "layer", "embedding")
+    return Pr.layer_distances(side("a"), side("b"))
 
 
 @query("probe_scores")
@@ -72,18 +68,17 @@ def probe_transfer(spark, sf):
 
 
 def variants(spark, sf):
-    """The clean view and two rungs that move every vector further from it."""
-    v = A.vectors(spark, sf)
-    bend = lambda c: F.transform("a", lambda x, i: x * (1.0 - c) + c * F.sin(x * 40.0 + i) * 0.12)
-    return P.stack_domains(
-        {"clean": v.select("item_id", F.col("a").alias("embedding")), "joint_l1": v.select("item_id", bend(0.2).alias("embedding")), "joint_l4": v.select("item_id", bend(0.8).alias("embedding"))},
-        "variant",
-    )
+    """(item_id, variant, layer, embedding): the clean view and all sixteen rungs, each bent further from it by its level, in all layers."""
+    bent = [F.struct(F.lit(n).alias("variant"), (F.lit(0.0) if n == "clean" else F.lit(0.2 * int(n[-1]))).alias("c"), F.lit(float(C.LADDER_FACTORS.index(n.split("_l")[0]) if n != "clean" else 0)).alias("f")) for n in C.ladder_order()]
+    e = A.layer_embeddings(spark, sf).where("domain = 'a'").withColumn("rung", F.explode(F.array(*bent)))
+    c, f = F.col("rung.c"), F.col("rung.f")
+    bend = F.transform("embedding", lambda x, i: x * (1.0 - c) + c * F.sin(x * (40.0 + 10.0 * f) + i) * 0.12)
+    return e.select("item_id", F.col("rung.variant").alias("variant"), "layer", bend.alias("embedding"))
 
 
 @query("factor_response")
 def factor_response(spark, sf):
-    return Pr.factor_response(variants(spark, sf), _labels(spark, sf), ["joint_l1", "joint_l4"])
+    return Pr.factor_response(variants(spark, sf), _labels(spark, sf), C.ladder_order()[1:])
 
 
 @query("pca_project")
