@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -64,14 +64,34 @@ def band_stats(
     return full.select(*k, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
-def band_moments(df: DataFrame, keys: Sequence[str] = ("view", "band"), value: str = "value") -> DataFrame:
-    """Mergeable one-pass state per group: n, mean, m2, min, max."""
+#: Size parameter of a quantile sketch; a group keeps about three times as many numbers at most.
+SKETCH = 4096
+
+
+def rank_error(k: int = SKETCH) -> float:
+    """How far, as a share of the rows, the rank of a sketch's quantile may be off (with 99% confidence); none up to k rows."""
+    return 2.296 / k**0.9021
+
+
+def quantile_sketch(value, k: int = SKETCH) -> Column:
+    """Mergeable KLL sketch of a column, as binary; nulls do not count."""
+    return F.kll_sketch_agg_double((F.col(value) if isinstance(value, str) else value).cast("double"), k)
+
+
+def sketch_quantile(sketch: str, p: float) -> Column:
+    """Quantile of a sketch; null for one without rows."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(float(p))))
+
+
+def band_moments(df: DataFrame, keys: Sequence[str] = ("view", "band"), value: str = "value", k: int = SKETCH) -> DataFrame:
+    """Mergeable one-pass state per group: n, mean, m2, min, max and a quantile sketch."""
     return df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         (F.var_pop(value) * F.count(value)).alias("m2"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
+        quantile_sketch(value, k).alias("sketch"),
     )
 
 
@@ -79,7 +99,8 @@ def merge_band_moments(states: DataFrame, keys: Sequence[str] = ("view", "band")
     """Combine stored partial states; the result equals one pass over all rows.
 
     Between-part spread is added to the within-part spread (Chan et al.), around
-    the pooled mean so that large means do not cancel digits.
+    the pooled mean so that large means do not cancel digits. Sketches merge within
+    the rank error of a single one.
     """
     total = states.groupBy(*keys).agg(
         F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")
@@ -91,21 +112,32 @@ def merge_band_moments(states: DataFrame, keys: Sequence[str] = ("view", "band")
         F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2.0))).alias("m2"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
     )
 
 
-def finish_moments(states: DataFrame) -> DataFrame:
-    """Sample standard deviation from a state; 0 for a single pixel."""
+def finish_moments(states: DataFrame, probs: Sequence[float] = (0.02, 0.98)) -> DataFrame:
+    """Sample standard deviation (0 for a single pixel) and percentiles from a state."""
     var = F.col("m2") / (F.col("n") - 1)
-    return states.withColumn("std", F.when(F.col("n") > 1, F.sqrt(var)).otherwise(F.lit(0.0)))
+    out = states.withColumn("std", F.when(F.col("n") > 1, F.sqrt(var)).otherwise(F.lit(0.0)))
+    return out.withColumns({f"p{p * 100:g}": sketch_quantile("sketch", p) for p in probs}).drop("sketch")
 
 
-def approx_band_percentiles(df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "value") -> DataFrame:
+def approx_band_percentiles(df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "value", k: int = SKETCH) -> DataFrame:
     """Bounded-memory percentiles from mergeable KLL sketches."""
-    sk = df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("_s"))
-    return sk.select(
-        *keys, *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"p{p * 100:g}") for p in probs]
-    )
+    sk = df.groupBy(*keys).agg(quantile_sketch(value, k).alias("_s"))
+    return sk.select(*keys, *[sketch_quantile("_s", p).alias(f"p{p * 100:g}") for p in probs])
+
+
+def percentile_ranks(df: DataFrame, quantiles: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "value", error: float = rank_error()) -> DataFrame:
+    """Per group and percentile column, whether its true rank is within ``error`` of the one asked for: one scan."""
+    names = [f"p{p * 100:g}" for p in probs]
+    v = F.col(value)
+    j = order.join_group_stats(df.where(v.isNotNull()), quantiles.select(*keys, *names), list(keys))
+    below = [F.avg((v < F.col(n)).cast("double")).alias(f"_b{n}") for n in names]
+    upto = [F.avg((v <= F.col(n)).cast("double")).alias(f"_u{n}") for n in names]
+    g = j.groupBy(*keys).agg(*below, *upto)
+    return g.select(*keys, *[((F.col(f"_b{n}") <= p + error) & (F.col(f"_u{n}") >= p - error)).alias(f"{n}_within") for n, p in zip(names, probs)])
 
 
 def spectral_drift(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("band",)) -> DataFrame:

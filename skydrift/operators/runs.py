@@ -134,6 +134,38 @@ def ladder_summary(rows: DataFrame, metric: str = "test_iou_water", overall: str
     )
 
 
+_CELL = ["init", "train_variant", "variant"]
+
+
+def ladder_state(rows: DataFrame, metric: str = "test_iou_water", overall: str = "test_iou") -> DataFrame:
+    """Mergeable state per init, trained-on, tested-on: enough for :func:`ladder_summary` of any union of parts."""
+    return rows.groupBy(*_CELL).agg(
+        F.count(metric).alias("n"), F.avg(metric).alias("mean"), (F.var_pop(metric) * F.count(metric)).alias("m2"), F.min(metric).alias("min"), F.max(metric).alias("max"),
+        F.count(overall).alias("overall_n"), F.avg(overall).alias("overall_mean"), F.max("severity").alias("severity"),
+    )
+
+
+def merge_ladder_states(states: DataFrame) -> DataFrame:
+    """States of parts as one; the spread between parts joins that within them, around the pooled mean."""
+    both = states.withColumn("_p", F.struct("n", "mean", "m2"))
+    g = both.groupBy(*_CELL).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.collect_list(F.when(F.col("n") > 0, F.col("_p"))).alias("_parts"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.sum("overall_n").alias("overall_n"),
+        (F.sum(F.col("overall_n") * F.col("overall_mean")) / F.nullif(F.sum("overall_n"), F.lit(0))).alias("overall_mean"), F.max("severity").alias("severity"),
+    )
+    spread = F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["m2"] + p["n"] * F.pow(p["mean"] - F.col("mean"), F.lit(2.0)))
+    return g.withColumn("m2", spread).select(*_CELL, "n", "mean", "m2", "min", "max", "overall_n", "overall_mean", "severity")
+
+
+def finish_ladder_states(states: DataFrame) -> DataFrame:
+    """The table of :func:`ladder_summary` from states."""
+    v = F.col("variant")
+    return states.where("n > 0").select(
+        *_CELL, exprs.variant_factor(v).alias("factor"), exprs.variant_level(v).alias("level"), "severity", F.col("n").alias("n_seeds"), "mean",
+        F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(F.lit(0.0)).alias("std"), "min", "max", F.col("overall_mean").alias("mean_test_iou"),
+    )
+
+
 def paired_seed_delta(rows: DataFrame, metric: str = "test_iou_water", baseline: str = "clean") -> DataFrame:
     """Drop from the clean test set, measured seed by seed.
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import bands as B
+from ...session import stored
 from .. import adapters as A
 from ..adapters import r, with_ctes
 from ..registry import query
@@ -43,25 +44,35 @@ _MOMENTS = f"""SELECT view, band, count(value) AS n, {r('avg(value)', 4)} AS mea
     {r('coalesce(stddev_samp(value), 0)', 4)} AS std FROM pixels_long GROUP BY view, band"""
 
 
-@query("band_moments", with_ctes("pixels_long", _MOMENTS))
+_MOMENTS_AND_RANKS = f"SELECT *, true AS p2_within, true AS p98_within FROM ({_MOMENTS})"
+
+
+def _finished(state, px):
+    """The numbers of a state; its percentiles, which a sketch only brackets, as whether their true ranks are within its error."""
+    m = B.finish_moments(state)
+    held = B.percentile_ranks(px, m, ["view", "band"], [0.02, 0.98])
+    return A.rounded(m.select("view", "band", "n", "mean", "min", "max", "std"), 4).join(held, ["view", "band"])
+
+
+@query("band_moments", with_ctes("pixels_long", _MOMENTS_AND_RANKS))
 def band_moments(spark, sf):
-    m = B.finish_moments(B.band_moments(A.pixels_long(spark, sf)))
-    return A.rounded(m.select("view", "band", "n", "mean", "min", "max", "std"), 4)
+    px = A.pixels_long(spark, sf)
+    return _finished(stored(B.band_moments(px), "moments"), px)
 
 
-@query("merge_band_moments", with_ctes("pixels_long", _MOMENTS))
+@query("merge_band_moments", with_ctes("pixels_long", _MOMENTS_AND_RANKS))
 def merge_band_moments(spark, sf):
-    """Partial states per supplier-sized slice of the patches, merged afterwards."""
-    px = A.pixels_long(spark, sf).withColumn("slice", F.col("patch_index") % 13)
-    parts = B.band_moments(px, ["view", "band", "slice"])
-    m = B.finish_moments(B.merge_band_moments(parts))
-    return A.rounded(m.select("view", "band", "n", "mean", "min", "max", "std"), 4)
+    """Partial states per slice of the patches, stored, then merged."""
+    px = A.pixels_long(spark, sf)
+    parts = stored(B.band_moments(px.withColumn("slice", F.col("patch_index") % 13), ["view", "band", "slice"]), "moments")
+    return _finished(B.merge_band_moments(parts), px)
 
 
-@query("band_percentile_sketch")
+@query("band_percentile_sketch", with_ctes("pixels_long", "SELECT view, band, true AS p2_within, true AS p98_within FROM pixels_long GROUP BY view, band"))
 def band_percentile_sketch(spark, sf):
-    """Bounded-memory 2nd and 98th percentiles; approximate, so checked by tolerance in tests."""
-    return B.approx_band_percentiles(A.pixels_long(spark, sf), ["view", "band"], [0.02, 0.98])
+    """Bounded-memory 2nd and 98th percentiles, and whether their true ranks are within the sketch's error."""
+    px, probs = A.pixels_long(spark, sf), [0.02, 0.98]
+    return B.percentile_ranks(px, B.approx_band_percentiles(px, ["view", "band"], probs), ["view", "band"], probs)
 
 
 _DRIFT_SELECT = """

@@ -15,7 +15,7 @@ WINDOW, LATE = "1 hour", "10 minutes"
 
 # a window is final once the newest event is later than its end by the watermark delay
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-_WIN = f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS band, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
+_WIN = f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS band, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_disc(value, 0.02) AS p2, quantile_disc(value, 0.98) AS p98
     FROM events GROUP BY 1, 2) WHERE w + INTERVAL 1 HOUR <= {_CLOSED}"""
 
 
@@ -31,10 +31,10 @@ def _text(c):
 
 
 @query("stream_band_stats", f"""
-    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, band, n, {r('mean')} AS mean, {r('std')} AS std, {r('min')} AS min, {r('max')} AS max FROM ({_WIN})""")
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, band, n, {r('mean')} AS mean, {r('std')} AS std, {r('min')} AS min, {r('max')} AS max, {r('p2')} AS p2, {r('p98')} AS p98 FROM ({_WIN})""")
 def stream_band_stats(spark, sf):
     s = Mo.run_to_table(Mo.stream_band_stats(events_stream(spark, sf), WINDOW, LATE), "band-stats")
-    return A.rounded(s.select(_text("window_start"), "band", "n", "mean", "std", "min", "max"))
+    return A.rounded(s.select(_text("window_start"), "band", "n", "mean", "std", "min", "max", "p2", "p98"))
 
 
 @query("stream_drift_monitor", f"""

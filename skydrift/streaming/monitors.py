@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import runs
+from ..operators import bands, runs
 from ..session import shared_dir
 
 
@@ -16,13 +16,21 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def stream_band_stats(stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes", slide: str | None = None,
-                      keys: tuple[str, ...] = ("band",), ts: str = "ts", value: str = "value") -> DataFrame:
-    """Windowed n, mean, population std, min and max per key; state is a few numbers per window."""
+                      keys: tuple[str, ...] = ("band",), ts: str = "ts", value: str = "value", probs: tuple[float, ...] = (0.02, 0.98), k: int = bands.SKETCH) -> DataFrame:
+    """Windowed n, mean, population std, min, max and percentiles per key.
+
+    State is a few numbers and a quantile sketch of at most about three times ``k``
+    numbers per open window; percentiles are exact up to ``k`` rows of a window, and
+    within ``bands.rank_error(k)`` of the rank beyond. Rows later than the watermark
+    are dropped.
+    """
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     g = event_time(stream, ts).withWatermark(ts, watermark).groupBy(w, *keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+        bands.quantile_sketch(value, k).alias("_s"),
     )
-    return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n", "mean", "std", "min", "max")
+    pct = [bands.sketch_quantile("_s", p).alias(f"p{p * 100:g}") for p in probs]
+    return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n", "mean", "std", "min", "max", *pct)
 
 
 def stream_drift_monitor(stats: DataFrame, baseline: DataFrame, threshold_pct: float = 10.0, key: str = "band") -> DataFrame:
@@ -65,22 +73,59 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def stream_run_refresh(spark: SparkSession, rows: DataFrame, name: str = "ladder", metric: str = "test_iou_water") -> DataFrame:
-    """Keeps the ladder table current while run rows arrive.
+class RunningTable:
+    """A ladder table kept current from mergeable states: a batch reads its own rows and the last state, never older rows.
 
-    Every micro-batch appends its rows to a row store and rewrites the small
-    summary under a versioned folder. A batch that is replayed after a failure
-    writes the same folders again, so nothing is counted twice.
+    ``base`` is a folder that the caller names, on storage that all executors see; a
+    later process that names it again goes on from there. Every micro-batch writes
+    ``state/version=<batch>``: n, mean, m2, min and max of each cell, merged from the
+    batch and the state before it. A batch replayed after a failure finds the state
+    that it started from and writes the same version again, so nothing counts twice.
+    Versions before the last two are deleted.
     """
-    base = shared_dir(spark, name)
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={epoch}")
-        seen = batch.sparkSession.read.parquet(f"{base}/rows").where(F.col("batch") <= epoch)
-        runs.ladder_summary(seen, metric).write.mode("overwrite").parquet(f"{base}/summary/version={epoch}")
-        upsert.last = epoch
-
-    upsert.last = -1
-    q = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/summary/version={upsert.last}")
+    def __init__(self, spark: SparkSession, base: str, metric: str = "test_iou_water"):
+        self.spark, self.base, self.metric = spark, base.rstrip("/"), metric
+
+    def _folder(self) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/state")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[int]:
+        """Completed versions, oldest first."""
+        fs, path = self._folder()
+        if not fs.exists(path):
+            return []
+        done = [x.getPath() for x in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    def _read(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/state/version={version}")
+
+    def add(self, batch: DataFrame, epoch: int) -> None:
+        """Merges one micro-batch into the state."""
+        before = [v for v in self.versions() if v < epoch]
+        state = runs.ladder_state(batch, self.metric)
+        if before:
+            state = runs.merge_ladder_states(state.unionByName(self._read(before[-1])))
+        state.write.mode("overwrite").parquet(f"{self.base}/state/version={epoch}")
+        fs, path = self._folder()
+        for v in before[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"version={v}"), True)
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """Takes in what the stream has since the last call and returns the current table."""
+        q = rows.writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.base}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return self.table()
+
+    def table(self) -> DataFrame:
+        versions = self.versions()
+        if not versions:
+            raise ValueError(f"{self.base} has no state yet")
+        return runs.finish_ladder_states(self._read(versions[-1]))
+
+
+def stream_run_refresh(spark: SparkSession, rows: DataFrame, name: str = "ladder", metric: str = "test_iou_water", base: str | None = None) -> DataFrame:
+    """The ladder table of all run rows that have arrived, through :class:`RunningTable` in ``base`` or a fresh folder."""
+    return RunningTable(spark, base or shared_dir(spark, name), metric).run(rows)

@@ -18,7 +18,7 @@ def test_matches_sql(spark, sf, duck, name):
     assert oracle.compare(QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", ["probe_transfer", "pca_project", "paired_link_median", "mmd2_random_features", "band_percentile_sketch", "welch_ttest_pvalue"])
+@pytest.mark.parametrize("name", ["probe_transfer", "pca_project", "paired_link_median", "welch_ttest_pvalue"])
 def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
