@@ -1,14 +1,11 @@
-"""Global order without a global sort: prefix sums, ranks, exact percentiles.
-
-A single unpartitioned window, or one percentile map per group, puts a whole
-group into one task. Here a value column is cut into ranges by a list of cut
-points (plain literals, so every re-run of a task sees the same ranges), each
-range is handled on its own, and only the per-range totals - a table as small as
-the number of ranges times the number of groups - are put in sequence. One group
-that holds most rows is therefore spread like any other.
-
-Cut points come from a sample, as Spark's own range partitioner does it. They
-decide balance only; results do not depend on them.
+"""Global order without a global sort: prefix sums, ranks, the next item.
+
+A single unpartitioned window puts a whole group into one task. Here rows are dealt
+into ranges of the ordering column once, each range is handled on its own, and only
+the per-range totals - a table as small as the number of ranges times the number of
+groups - are put in sequence. One group that holds most rows is therefore spread like
+any other. Where the ranges are cut decides balance only; results do not depend on it.
+Percentiles are in ``functions.select``.
 """
 
 from __future__ import annotations
@@ -18,26 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# estimates come from compressed files, so the real size may be tens of times larger
-SMALL_PLAN_BYTES = 16 * 1024 * 1024
-PILOT_BYTES = 64 * 1024 * 1024
+from ..session import stored
+
 # a group row is some hundred bytes at most
 BROADCAST_ROWS = 200_000
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a plan (from file sizes); None if unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    size = plan_bytes(df)
-    return size is not None and size <= (SMALL_PLAN_BYTES if limit is None else limit)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Gives a scan with fewer splits than cores one shuffle by ``keys``.
 
@@ -64,84 +47,67 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def join_few(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows joined to a stored table of one row per group: broadcast up to ``BROADCAST_ROWS`` rows by count, else joined the usual way."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return join_null_safe(df, F.broadcast(table) if few else table, keys, how)
+
+
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows joined to a table of one row per group, without shuffling the rows.
 
     Catalyst cannot know that an aggregate is small, and a sort-merge join would
-    send every row to one of a few group keys. So for a large ``df`` the group
-    table is computed once into the shared folder and counted: up to
-    ``BROADCAST_ROWS`` it is broadcast, beyond that it is joined the usual way.
+    send every row to one of a few group keys. So the group table is computed once
+    into the shared folder and counted (:func:`join_few`).
     """
-    if is_small(df):
-        return join_null_safe(df, stats, keys, how)
-    from ..session import cut_lineage
+    return join_few(df, stored(stats, "stats"), keys, how)
 
-    stats = cut_lineage(stats)
-    few = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return join_null_safe(df, F.broadcast(stats) if few else stats, keys, how)
 
+def ranged(df: DataFrame, *by: str) -> DataFrame:
+    """The table in ranges of ``by``, each row with the number of its range in ``_bucket``.
 
-def range_splits(df: DataFrame, value: str, parts: int | None = None, small_limit: int | None = None) -> list:
-    """Ascending cut points that spread ``value`` over ``parts`` ranges.
-
-    Empty for a plan Catalyst puts under ``small_limit`` bytes: then one range
-    is already small. The driver receives at most ``parts`` numbers.
+    Ranges come from the engine's own range partitioning and cost no lookup per row.
+    They are stored with the rows, so every later job, and a task that runs again,
+    sees the same. Equal rows share a range; a group spans as many ranges as it needs.
     """
-    size = plan_bytes(df)
-    if parts is None:
-        if size is not None and size <= (SMALL_PLAN_BYTES if small_limit is None else small_limit):
-            return []
-        parts = max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    pilot = df.select(value).where(F.col(value).isNotNull())
-    if size is not None and size > PILOT_BYTES:
-        pilot = pilot.sample(fraction=PILOT_BYTES / size, seed=7)
-    probs = [i / parts for i in range(1, parts)]
-    row = pilot.agg(F.percentile_approx(value, probs, 10 * parts).alias("s")).first()
-    return sorted(set(row["s"] or []))
-
-
-def bucket_of(value: Column, splits: Sequence) -> Column:
-    """Number of cut points at or below ``value``, as a balanced CASE tree."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(splits))
-
-
-def prefix_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    weight: str,
-    out: str = "running",
-    total: str | None = None,
-    splits: Sequence | None = None,
-) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return stored(df.repartitionByRange(parts, *by).withColumn("_bucket", F.spark_partition_id()), "ranges")
+
+
+def _with_offsets(b: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+    """Adds ``_before``, the weight of the group's earlier ranges, and ``_all``, its whole weight; ``b`` is stored."""
+    totals = b.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w"))
+    return join_group_stats(b, _bucket_offsets(totals, keys).drop("_w"), [*keys, "_bucket"])
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, weight: str, out: str = "running", total: str | None = None) -> DataFrame:
     """Running total of ``weight`` by ascending ``order`` within ``keys``.
 
     ``order`` should be unique within a group (aggregate first). ``total`` names
     an optional column with the group's whole weight.
     """
     keys = list(keys)
-    splits = range_splits(df, order) if splits is None else list(splits)
-    b = df.withColumn("_bucket", bucket_of(F.col(order), splits))
+    b = _with_offsets(ranged(df, *keys, order), keys, F.col(weight))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
     running = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if not splits:
-        b = b.withColumn(out, running)
-        if total:
-            b = b.withColumn(total, F.sum(weight).over(Window.partitionBy(*keys, "_bucket")))
-        return b.drop("_bucket")
-    offsets = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w")), keys)
-    joined = join_group_stats(b.withColumn("_run", running), offsets, keys + ["_bucket"])
-    joined = joined.withColumn(out, F.col("_run") + F.col("_before"))
+    b = b.withColumn(out, running + F.col("_before"))
     if total:
-        joined = joined.withColumn(total, F.col("_all"))
-    return joined.drop("_bucket", "_run", "_before", "_all", "_w")
+        b = b.withColumn(total, F.col("_all"))
+    return b.drop("_bucket", "_before", "_all")
+
+
+def weighted_ranks(cells: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+    """Mean rank of every cell's value, less the group's mean rank, where a cell stands for ``weight`` rows.
+
+    A value may occur in several cells; they share its rank. Running counts only:
+    nothing is joined on the value.
+    """
+    keys = list(keys)
+    b = _with_offsets(ranged(cells, *keys, value), keys, F.col(weight))
+    upto = F.sum(weight).over(Window.partitionBy(*keys, "_bucket").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum(weight).over(Window.partitionBy(*keys, "_bucket", value))
+    rank = F.col("_before") + upto - ties + (ties + 1) / 2.0 - (F.col("_all") + 1) / 2.0
+    return b.withColumn(out, rank).drop("_bucket", "_before", "_all")
 
 
 def _bucket_offsets(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -154,25 +120,21 @@ def _bucket_offsets(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("_all", F.sum("_w").over(Window.partitionBy(*part)))
 
 
-def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", splits: Sequence | None = None
-) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Rank within ``keys`` from 1, ties sharing their mean rank, nulls unranked."""
     keys = list(keys)
-    ranks = value_ranks(df, keys, value, out, splits).drop(f"{out}_ties")
+    ranks = value_ranks(df, keys, value, out).drop(f"{out}_ties")
     return join_null_safe(df, ranks, keys + [value], "left")
 
 
-def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", splits: Sequence | None = None, centered: bool = False
-) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", centered: bool = False) -> DataFrame:
     """One row per distinct (keys, value) with its mean rank and tie count.
 
     ``centered`` takes off the group's mean rank, which is always (n + 1) / 2.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = prefix_sum(counts, keys, value, "_n", "_upto", "_total" if centered else None, splits=splits)
+    run = prefix_sum(counts, keys, value, "_n", "_upto", "_total" if centered else None)
     rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     return run.select(
         *keys,
@@ -182,100 +144,10 @@ def value_ranks(
     )
 
 
-def grouped_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    out: str = "pct",
-    splits: Sequence | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, as one array column.
-
-    Small plans use Spark's ``percentile``, which keeps a value-to-count map per
-    group. Larger ones count rows per range first, find which ranges hold the
-    wanted ranks, and order only those rows: two scans and almost no shuffle.
-    """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if splits is None:
-        splits = range_splits(data, "_v")
-    if not splits:
-        agg = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out)
-        return data.groupBy(*keys).agg(agg) if keys else data.agg(agg)
-
-    b = data.withColumn("_bucket", bucket_of(F.col("_v"), splits))
-    offsets = _bucket_offsets(b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_w")), keys)
-    # wanted ranks, at most two per probability, each falling into one range
-    spots = F.flatten(
-        F.array(
-            *[
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("i"), pos.alias("pos"), side(pos).alias("rank"))
-                        for side in ((F.floor,) if p in (0.0, 1.0) else (F.floor, F.ceil))
-                    ]
-                )
-                for i, p in enumerate(probs)
-                for pos in (F.lit(float(p)) * (F.col("_all") - 1),)
-            ]
-        )
-    )
-    inside = lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_before") + F.col("_w"))
-    need = offsets.select(*keys, "_bucket", "_before", F.array_distinct(F.filter(spots, inside)).alias("_spots")).where(F.size("_spots") > 0)
-    part = join_group_stats(b, need.select(*keys, "_bucket", "_before"), keys + ["_bucket"])
-    counts = part.groupBy(*keys, "_bucket", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(w)).drop("_before")
-    counts = join_null_safe(counts, need.select(*keys, "_bucket", "_spots"), keys + ["_bucket"])
-    here = lambda s: (s["rank"] < F.col("_end")) & (s["rank"] >= F.col("_end") - F.col("_n"))
-    found = counts.select(*keys, "_v", F.explode(F.filter("_spots", here)).alias("_s")).select(
-        *keys, "_v", F.col("_s.i").alias("_i"), F.col("_s.pos").alias("_pos"), F.col("_s.rank").alias("_rank")
-    )
-    frac = F.col("_pos") - F.floor("_pos")
-    share = (
-        F.when(frac == 0, F.lit(1.0))
-        .when(F.col("_rank") == F.floor("_pos"), 1.0 - frac)
-        .otherwise(frac)
-    )
-    per = found.groupBy(*keys, "_i").agg(F.sum(F.col("_v") * share).alias("_q"))
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]
-    ).alias(out)
-    return per.groupBy(*keys).agg(ordered) if keys else per.agg(ordered)
-
-
-def stats_with_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    aggs: Sequence[Column],
-    probs: Sequence[float],
-    out: str = "pct",
-    splits: Sequence | None = None,
-) -> DataFrame:
-    """Built-in aggregates and exact percentiles of one column, per group."""
-    keys = list(keys)
-    if splits is None:
-        splits = range_splits(df, value)
-    if not splits:
-        pct = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(out)
-        return df.groupBy(*keys).agg(*aggs, pct) if keys else df.agg(*aggs, pct)
-    base = df.groupBy(*keys).agg(*aggs)
-    pcts = grouped_percentiles(df, keys, value, probs, out, splits)
-    if not keys:
-        return base.withColumn(out, pcts.select(out).scalar())
-    return join_null_safe(base, pcts, keys, "left")
-
-
-def ordinal(df: DataFrame, order: str, out: str = "ordinal", splits: Sequence | None = None) -> DataFrame:
+def ordinal(df: DataFrame, order: str, out: str = "ordinal") -> DataFrame:
     """Consecutive numbers from 0 by ``order`` (unique), without one big sort."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return (
-        prefix_sum(one, [], order, "_one", "_pos", splits=splits)
-        .withColumn(out, F.col("_pos") - 1)
-        .drop("_one", "_pos")
-    )
+    return prefix_sum(one, [], order, "_one", "_pos").withColumn(out, F.col("_pos") - 1).drop("_one", "_pos")
 
 
 # --- order by hash -----------------------------------------------------------

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import exprs, order
+from ..functions import exprs, order, select
+from ..session import stored
 
 
 def valid_pixels(df: DataFrame, value: str = "value", nodata: float | None = None, positive_only: bool = True) -> DataFrame:
@@ -36,7 +37,6 @@ def band_stats(
     value: str = "value",
     expected: DataFrame | None = None,
     bounded_groups: bool = False,
-    splits: Sequence | None = None,
 ) -> DataFrame:
     """mean, std (population), min, max, median, p25, p75 of valid pixels.
 
@@ -51,9 +51,12 @@ def band_stats(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     ]
-    stats = order.stats_with_percentiles(
-        valid_pixels(df, value), k, value, aggs, [0.25, 0.5, 0.75], splits=[] if bounded_groups else splits
-    ).select(
+    valid, probs = valid_pixels(df, value), [0.25, 0.5, 0.75]
+    if bounded_groups:
+        stats = valid.groupBy(*k).agg(*aggs, F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("pct"))
+    else:
+        stats = select.stats_with_percentiles(valid, k, value, aggs, probs)
+    stats = stats.select(
         *k, "mean", "std", "min", "max",
         F.col("pct")[1].alias("median"), F.col("pct")[0].alias("p25"), F.col("pct")[2].alias("p75"),
     )
@@ -204,50 +207,61 @@ def folder_spectral_summary(per_pair: DataFrame) -> DataFrame:
     )
 
 
-def domain_stats(df: DataFrame, value: str = "value", splits: Sequence | None = None) -> DataFrame:
-    """Mean and std in square-root space per band; clip = pooled p99.9 per view."""
-    x = df.withColumn("_x", F.sqrt(F.greatest(F.col(value), F.lit(0.0))))
-    per = x.groupBy("view", "band").agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"))
-    clip = order.grouped_percentiles(x, ["view"], "_x", [0.999], splits=splits)
-    return per.join(clip.select("view", F.col("pct")[0].alias("clip")), "view")
+def _root(c: Column) -> Column:
+    """Square root space, negative values as 0; it keeps the order, so percentiles there are those of the roots of their neighbours."""
+    return F.sqrt(F.greatest(c, F.lit(0.0)))
 
 
-def spectral_stats_table(df: DataFrame, value: str = "value", ceiling: float = 4095.0, splits: Sequence | None = None) -> DataFrame:
-    """One row per view and band, with zero and saturation shares in percent."""
-    v = F.col(value)
-    root = F.sqrt(F.greatest(v, F.lit(0.0)))
+#: The percentiles of the spectral tables: per view and band, and the clip over a view's bands.
+TAILS, QUARTILES, CLIP = select.Wanted(("view", "band"), (0.02, 0.5, 0.98)), select.Wanted(("view", "band"), (0.25, 0.5, 0.75)), select.Wanted(("view",), (0.999,))
+
+
+def spectral_selection(df: DataFrame, value: str = "value", ceiling: float = 4095.0, wanted: Sequence[select.Wanted] = (TAILS, QUARTILES, CLIP)) -> select.Selection:
+    """Two scans that serve :func:`domain_stats`, :func:`spectral_stats_table` and the quartiles of :func:`box_stats` together, or those of them ``wanted``."""
+    v, root = F.col(value), _root(F.col(value))
     aggs = [
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(root).alias("sqrt_mean"), F.stddev_pop(root).alias("sqrt_std"),
         (F.avg((v <= 0).cast("double")) * 100.0).alias("pct_zero"),
         (F.avg((v >= ceiling).cast("double")) * 100.0).alias("pct_at_4095"),
     ]
-    t = order.stats_with_percentiles(df, ["view", "band"], value, aggs, [0.02, 0.5, 0.98], splits=splits)
+    return select.select(df, ("view", "band"), value, wanted, aggs)
+
+
+def domain_stats(df: DataFrame, value: str = "value", selection: select.Selection | None = None) -> DataFrame:
+    """Mean and std in square-root space per band; clip = pooled p99.9 per view."""
+    s = selection or spectral_selection(df, value, wanted=[CLIP])
+    clip = s.percentiles(CLIP, through=_root).select("view", F.col("pct")[0].alias("clip"))
+    return order.join_null_safe(s.groups.select("view", "band", F.col("sqrt_mean").alias("mean"), F.col("sqrt_std").alias("std")), clip, ["view"])
+
+
+def spectral_stats_table(df: DataFrame, value: str = "value", ceiling: float = 4095.0, selection: select.Selection | None = None) -> DataFrame:
+    """One row per view and band, with zero and saturation shares in percent."""
+    s = selection or spectral_selection(df, value, ceiling, [TAILS])
+    t = order.join_null_safe(s.groups, s.percentiles(TAILS), ["view", "band"], "left")
     return t.select(
         "view", "band", "mean", "std", "min", F.col("pct")[0].alias("p2"), F.col("pct")[1].alias("median"),
         F.col("pct")[2].alias("p98"), "max", "sqrt_mean", "sqrt_std", "pct_zero", "pct_at_4095",
     )
 
 
-def box_stats(df: DataFrame, z: bool = False, value: str = "value", splits: Sequence | None = None) -> DataFrame:
+def box_stats(df: DataFrame, z: bool = False, value: str = "value", selection: select.Selection | None = None) -> DataFrame:
     """Quartiles and whiskers (furthest point within 1.5 IQR) per view and band.
 
-    Pass 1 finds quartiles, pass 2 the extreme values inside the fences. ``z``
-    standardises the square roots first; as that is monotone in the value, the
-    quartiles of the roots are shifted and scaled instead of the data.
+    After the quartiles one scan finds the extreme values inside the fences. ``z``
+    takes standardised square roots; as those rise with the value, quartiles and
+    whiskers are shifted and scaled instead of the data.
     """
     k = ["view", "band"]
-    src = df.withColumn("_v", F.sqrt(F.greatest(F.col(value), F.lit(0.0))) if z else F.col(value))
-    q = order.stats_with_percentiles(
-        src, k, "_v", [F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s")], [0.25, 0.5, 0.75], splits=splits
-    )
-    q = q.select(
-        *k, "_m", "_s", F.col("pct")[0].alias("q1"), F.col("pct")[1].alias("median"), F.col("pct")[2].alias("q3")
-    )
+    s = selection or spectral_selection(df, value, wanted=[QUARTILES])
+    to = _root if z else (lambda c: c)
+    q = order.join_null_safe(s.groups.select(*k, F.col("sqrt_mean").alias("_m"), F.col("sqrt_std").alias("_s")), s.percentiles(QUARTILES, through=to), k)
+    q = q.select(*k, "_m", "_s", F.col("pct")[0].alias("q1"), F.col("pct")[1].alias("median"), F.col("pct")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
+    src = df.select(*k, to(F.col(value)).alias("_v"))
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
     out = (
-        order.join_group_stats(src.select(*k, "_v"), q, k).where(inside)
+        order.join_group_stats(src, q, k).where(inside)
         .groupBy(*k, "_m", "_s", "q1", "median", "q3")
         .agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
     )
@@ -263,8 +277,7 @@ def spectral_signature(stats: DataFrame) -> DataFrame:
     return stats.join(ref, "view").select("view", "band", (F.col("median") / F.col("_ref")).alias("signature"))
 
 
-def sensor_transfer_fit(pairs: DataFrame, keys: Sequence[str] = ("band",), target: str = "target",
-                        reference: str = "reference", splits: Sequence | None = None) -> DataFrame:
+def sensor_transfer_fit(pairs: DataFrame, keys: Sequence[str] = ("band",), target: str = "target", reference: str = "reference") -> DataFrame:
     """Line reference = slope * target + intercept, Pearson and Spearman, per band."""
     k = list(keys)
     line = pairs.groupBy(*k).agg(
@@ -272,22 +285,22 @@ def sensor_transfer_fit(pairs: DataFrame, keys: Sequence[str] = ("band",), targe
         F.regr_intercept(reference, target).alias("intercept"),
         F.corr(target, reference).alias("pearson"),
     )
-    return order.join_null_safe(line, spearman(pairs, k, target, reference, splits), k)
+    return order.join_null_safe(line, spearman(pairs, k, target, reference), k)
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, splits: Sequence | None = None) -> DataFrame:
+def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks for ties, over rows where both exist.
 
-    Equal pairs are counted first, so repeated values cross the network once.
+    Equal pairs are counted first, so repeated values cross the network once, and each
+    cell gets its ranks from running counts over the cells in value order: nothing is
+    joined on a value.
     """
     k = list(keys)
     both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     cells = both.groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_n"))
-    rx = order.value_ranks(both, k, x, "_rx", splits, centered=True).drop("_rx_ties")
-    ry = order.value_ranks(both, k, y, "_ry", splits, centered=True).drop("_ry_ties")
-    j = order.join_null_safe(order.join_null_safe(cells, rx, [*k, x]), ry, [*k, y])
+    ranked = order.weighted_ranks(order.weighted_ranks(cells, k, x, "_n", "_rx"), k, y, "_n", "_ry")
     # ranks come centred, so one aggregation of products is enough
-    r = j.groupBy(*k).agg(
+    r = ranked.groupBy(*k).agg(
         F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")).alias("_xy"),
         F.sum(F.col("_n") * F.col("_rx") * F.col("_rx")).alias("_xx"),
         F.sum(F.col("_n") * F.col("_ry") * F.col("_ry")).alias("_yy"),
@@ -296,52 +309,51 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, splits: Sequ
     return r.select(*k, F.when(den > 0, F.col("_xy") / den).alias("spearman"))
 
 
-def band_correspondence(wide: DataFrame, stored: Sequence[str], reference: Sequence[str], splits: Sequence | None = None) -> DataFrame:
-    """Spearman of every stored band against every reference band, best flagged.
+def band_correspondence(wide: DataFrame, stored_: Sequence[str], reference: Sequence[str]) -> DataFrame:
+    """Spearman of every stored band against every reference band, the first best one flagged.
 
-    Each column is ranked once; all correlations then come from one aggregation.
+    Every pair of bands is counted by equal value pairs, ranked by running counts and
+    summed (:func:`spearman`): all pairs of bands at once, and nothing is joined on a
+    value. Ranks are over the rows where both bands have a value.
     """
-    df = wide.select(*stored, *reference)
-    for c in [*stored, *reference]:
-        ranks = order.value_ranks(wide.select(c), [], c, f"_rank_{c}", splits).drop(f"_rank_{c}_ties")
-        df = order.join_null_safe(df, ranks, [c], "left")
-    aggs = [F.corr(f"_rank_{s}", f"_rank_{r}").alias(f"{s}|{r}") for s in stored for r in reference]
-    one = df.agg(*aggs)
-    cells = F.array(
-        *[
-            F.struct(F.lit(s).alias("stored"), F.lit(r).alias("reference"), F.col(f"`{s}|{r}`").alias("rho"))
-            for s in stored for r in reference
-        ]
-    )
-    long = one.select(F.explode(cells).alias("c")).select("c.*")
-    best = long.groupBy("stored").agg(F.max_by("reference", "rho").alias("_best"))
-    return long.join(best, "stored").select(
-        "stored", "reference", "rho", (F.col("reference") == F.col("_best")).alias("is_best")
-    )
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("stored"), F.lit(r).alias("reference"), F.lit(i).alias("_place"), F.col(s).cast("double").alias("_x"), F.col(r).cast("double").alias("_y"))
+        for s in stored_ for i, r in enumerate(reference)]))
+    long = wide.select(cells.alias("c")).select("c.*")
+    rho = stored(spearman(long, ["stored", "reference", "_place"], "_x", "_y").withColumnRenamed("spearman", "rho"), "rho")
+    best = rho.groupBy("stored").agg(F.max_by("reference", F.struct("rho", -F.col("_place"))).alias("_best"))
+    return rho.join(F.broadcast(best), "stored").select("stored", "reference", "rho", (F.col("reference") == F.col("_best")).alias("is_best"))
 
 
 def value_histogram(df: DataFrame, keys: Sequence[str], bins: int = 50, log: bool = False,
-                    trim: tuple[float, float] = (0.005, 0.995), value: str = "value",
-                    splits: Sequence | None = None) -> DataFrame:
-    """Density over shared edges that span the pooled trim percentiles.
-
-    The upper edge belongs to the last bin; rows outside the edges do not count
-    towards the density.
+                    trim: tuple[float, float] = (0.005, 0.995), value: str = "value", shared: Sequence[str] = ()) -> DataFrame:
+    """Density over edges that span the trim percentiles of the rows that share them.
+
+    ``shared`` names the keys that have edges of their own (``band``: one set of
+    edges per band, the same for all views); without it all rows share one. The
+    upper edge belongs to the last bin; rows outside the edges do not count towards
+    the density. ``log`` takes equal steps of the logarithm, from the lower trim of
+    the positive values, 1 at least.
     """
+    shared = list(shared)
     src = df.where(F.col(value).isNotNull())
-    pool = order.grouped_percentiles(src, [], value, list(trim), splits=splits).select("pct").scalar()
+    both = src if log is False else src.withColumn("_above", F.when(F.col(value) > 0, F.col(value)))
+    pct = select.grouped_percentiles(both, shared, value, list(trim))
+    ends = pct.select(*shared, F.col("pct")[0].alias("_lo"), F.col("pct")[1].alias("_hi"))
     if log:
-        low = order.grouped_percentiles(src.where(F.col(value) > 0), [], value, [trim[0]], splits=splits)
-        lo = F.greatest(low.select(F.col("pct")[0]).scalar(), F.lit(1.0))
-    else:
-        lo = pool[0]
-    hi = pool[1]
+        low = select.grouped_percentiles(both, shared, "_above", [trim[0]]).select(*shared, F.col("pct")[0].alias("_low"))
+        ends = (order.join_null_safe(ends, low, shared, "left") if shared else ends.withColumn("_low", low.scalar())).withColumn("_lo", F.greatest("_low", F.lit(1.0))).drop("_low")
     tf = (lambda c: F.log10(c)) if log else (lambda c: c)
-    e = src.select(*keys, F.col(value).alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
+    e = src.select(*dict.fromkeys([*keys, *shared]), F.col(value).alias("_v"))
+    if shared:
+        e = order.join_group_stats(e, ends, shared)
+    else:
+        end = ends.select(F.struct("_lo", "_hi")).scalar()
+        e = e.select("*", end["_lo"].alias("_lo"), end["_hi"].alias("_hi"))
     e = e.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     pos = (tf(F.col("_v")) - tf(F.col("_lo"))) / (tf(F.col("_hi")) - tf(F.col("_lo")))
     e = e.withColumn("bin", F.least(F.floor(pos * bins), F.lit(bins - 1)).cast("int"))
-    counts = e.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(e.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")), "counts")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
     step = (tf(F.col("_hi")) - tf(F.col("_lo"))) / bins
 
@@ -399,14 +411,14 @@ def normalize_by_stats(df: DataFrame, stats: DataFrame, value: str = "value", ou
 
 
 def percentile_stretch(df: DataFrame, keys: Sequence[str], value: str = "value", lo: float = 0.02, hi: float = 0.98,
-                       reference=None, out: str = "stretched", splits: Sequence | None = None) -> DataFrame:
+                       reference=None, out: str = "stretched") -> DataFrame:
     """(x - p_lo) / (p_hi - p_lo) clipped to [0, 1], percentiles per group.
 
     ``reference`` is a condition choosing the rows that fix the percentiles; the
     stretch then applies to every row of the group.
     """
     base = df if reference is None else df.where(reference)
-    p = order.grouped_percentiles(base, keys, value, [lo, hi], splits=splits)
+    p = select.grouped_percentiles(base, keys, value, [lo, hi])
     j = order.join_group_stats(df, p, list(keys), "left") if keys else df.withColumn("pct", p.select("pct").scalar())
     return j.withColumn(out, exprs.stretch(F.col(value), F.col("pct")[0], F.col("pct")[1])).drop("pct")
 
@@ -417,9 +429,9 @@ def minmax_scale(df: DataFrame, keys: Sequence[str], value: str = "value", eps:
     return j.withColumn(out, (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps))).drop("_lo", "_hi")
 
 
-def above_median_label(df: DataFrame, col: str, out: str = "label", splits: Sequence | None = None) -> DataFrame:
+def above_median_label(df: DataFrame, col: str, out: str = "label") -> DataFrame:
     """1 above the median, 0 otherwise, null where the value is null."""
-    med = order.grouped_percentiles(df, [], col, [0.5], splits=splits).select(F.col("pct")[0]).scalar()
+    med = select.grouped_percentiles(df, [], col, [0.5]).select(F.col("pct")[0]).scalar()
     return df.withColumn(out, (F.col(col) > med).cast("int"))
 
 

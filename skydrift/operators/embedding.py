@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import order, vec
+from ..functions import order, select, vec
 
 
 def layer_metrics(pairs: DataFrame) -> DataFrame:
@@ -65,13 +65,13 @@ def embedding_drift_summary(drift: DataFrame) -> tuple[DataFrame, DataFrame]:
     return run, per.groupBy("layer").agg(F.avg("cosine").alias("avg_cosine"), F.count(F.lit(1)).alias("items"))
 
 
-def layer_cosine_curve(pairs: DataFrame, keys: Sequence[str] = ("pair", "layer"), splits: Sequence | None = None) -> DataFrame:
+def layer_cosine_curve(pairs: DataFrame, keys: Sequence[str] = ("pair", "layer")) -> DataFrame:
     """Mean, population std and median of the cosine per layer and domain pair."""
     m = layer_metrics(pairs)
-    t = order.stats_with_percentiles(
+    t = select.stats_with_percentiles(
         m, list(keys), "cosine",
         [F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("std"), F.count("cosine").alias("n")],
-        [0.5], splits=splits,
+        [0.5],
     )
     return t.select(*keys, "mean", "std", F.col("pct")[0].alias("median"), "n")
 
@@ -195,11 +195,11 @@ def similarity_profile(pairs: DataFrame, batch: str = "batch") -> DataFrame:
     return j.select(batch, "item_id", "n", own.alias("own_sim"), mean_all.alias("mean_sim"), other.alias("mean_other_sim"))
 
 
-def matched_gap(a: DataFrame, b: DataFrame, splits: Sequence | None = None) -> DataFrame:
+def matched_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cosine with the item's own counterpart minus that with the next item's."""
     from .pairing import next_in_order
 
-    nxt = next_in_order(b.select("item_id"), "item_id", splits)
+    nxt = next_in_order(b.select("item_id"), "item_id")
     emb_b = b.select("item_id", F.col("embedding").alias("emb_b"))
     wrong = nxt.join(b.select(F.col("item_id").alias("next_key"), F.col("embedding").alias("emb_next")), "next_key").drop("next_key")
     j = a.select("item_id", F.col("embedding").alias("emb_a")).join(emb_b, "item_id").join(wrong, "item_id")
@@ -336,7 +336,7 @@ def median_sq_distance(z: DataFrame, block: int = 1024, bins: int = 4096, rounds
             .applyInPandas(count, "batch long, bin long, n long, low double")
             .groupBy("batch", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
         )
-        c = order.prefix_sum(c, ["batch"], "bin", "n", "_upto", splits=[])
+        c = order.prefix_sum(c, ["batch"], "bin", "n", "_upto")
         hit = c.join(state, "batch").where((F.col("rank") >= F.col("_upto") - F.col("n")) & (F.col("rank") < F.col("_upto")))
         if last:
             return hit.select("batch", F.col("low").alias("bandwidth"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import exprs, order
+from ..functions import exprs, order, select
+from ..session import stored
 from . import pairing
 
 
@@ -16,10 +17,10 @@ def class_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("wc_frac_")]
 
 
-def lag_histogram(df: DataFrame, width: float = 0.5, lag: str = "patch_delta_days", splits: Sequence | None = None) -> DataFrame:
+def lag_histogram(df: DataFrame, width: float = 0.5, lag: str = "patch_delta_days") -> DataFrame:
     """Rows per bin of ``width`` days, with the median and longest lag alongside."""
     d = df.where(F.col(lag).isNotNull())
-    med = order.grouped_percentiles(d, [], lag, [0.5], splits=splits).select(F.col("pct")[0]).scalar()
+    med = select.grouped_percentiles(d, [], lag, [0.5]).select(F.col("pct")[0]).scalar()
     h = d.groupBy((F.floor(F.col(lag) / width) * width).alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
     return h.select("bin_start", "n", med.alias("lag_median"), d.agg(F.max(lag)).scalar().cast("double").alias("lag_max"))
 
@@ -31,11 +32,11 @@ def monthly_coverage(df: DataFrame, date: str = "date_phi") -> DataFrame:
     return m.select("month", "n", t["a"].alias("first_month"), t["b"].alias("last_month"), t["k"].alias("months"))
 
 
-def ecdf(df: DataFrame, cols: Sequence[str], splits: Sequence | None = None) -> DataFrame:
+def ecdf(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share of rows at or below every value that occurs, per column."""
     long = df.unpivot([], list(cols), "variable", "value").where(F.col("value").isNotNull())
     n = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    run = order.prefix_sum(n, ["variable"], "value", "n", "upto", "total", splits=splits)
+    run = order.prefix_sum(n, ["variable"], "value", "n", "upto", "total")
     return run.select("variable", "value", (F.col("upto") / F.col("total")).alias("share"))
 
 
@@ -62,11 +63,11 @@ def rank_by_value(df: DataFrame, value: str, ascending: bool = False) -> DataFra
     return df.orderBy(c.asc() if ascending else c.desc())
 
 
-def dominant_counts(df: DataFrame, codes: Sequence[int] = C.LAND_COVER_CODES, splits: Sequence | None = None) -> DataFrame:
+def dominant_counts(df: DataFrame, codes: Sequence[int] = C.LAND_COVER_CODES) -> DataFrame:
     """Rows per dominant class in legend order, classes without rows included."""
     n = df.where(F.col("wc_dominant_class").isNotNull()).groupBy(F.col("wc_dominant_class").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     legend = df.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "position int, code int")
-    med = order.grouped_percentiles(df, [], "wc_dominant_frac", [0.5], splits=splits).select(F.col("pct")[0]).scalar()
+    med = select.grouped_percentiles(df, [], "wc_dominant_frac", [0.5]).select(F.col("pct")[0]).scalar()
     return F.broadcast(legend).join(n, "code", "left").select(
         "position", "code", F.coalesce("n", F.lit(0)).alias("n"), med.alias("median_dominance")
     )
@@ -93,10 +94,10 @@ def climate_counts(df: DataFrame, zone: str = "koppen_zone") -> DataFrame:
     return n.withColumn("pct", F.col("n") * 100.0 / total)
 
 
-def group_sizes(df: DataFrame, key: str = "product_id", splits: Sequence | None = None) -> DataFrame:
+def group_sizes(df: DataFrame, key: str = "product_id") -> DataFrame:
     """Number of groups, and median and largest group size."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    t = order.stats_with_percentiles(g, [], "n", [F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")], [0.5], splits=splits)
+    t = select.stats_with_percentiles(g, [], "n", [F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")], [0.5])
     return t.select("groups", F.col("pct")[0].alias("median_size"), "largest")
 
 
@@ -105,33 +106,33 @@ def group_size_histogram(df: DataFrame, key: str = "product_id") -> DataFrame:
     return g.groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def manifest_summary(raw: DataFrame, bad_ids: Sequence[int] = tuple(C.BAD_PRODUCT_IDS), split: str = "split",
-                     splits: Sequence | None = None) -> DataFrame:
-    """One row about the whole manifest. ``raw`` already carries a split column."""
+def manifest_summary(raw: DataFrame, bad_ids: Sequence[int] = tuple(C.BAD_PRODUCT_IDS), split: str = "split") -> DataFrame:
+    """One row about the whole manifest. ``raw`` already carries a split column.
+
+    The manifest is read once; what the summary needs of it is kept in the shared
+    folder, and a second table has one row per product. Both medians are one selection.
+    """
+    raw = stored(raw.select("product_id", split, "patch_delta_days", "thick_cloud_pct", "thin_cloud_pct", "wc_nodata_frac", "date_phi", *class_columns(raw)), "manifest")
     kept = pairing.drop_bad_products(raw, bad_ids)
+    here = F.col(split)
+    products = stored(kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(here == "test") > 0).alias("test"), (F.count_if(here == "train") > 0).alias("train")), "products")
+    both = kept.select(F.lit("days").alias("of"), F.col("patch_delta_days").cast("double").alias("value")).unionByName(products.select(F.lit("size").alias("of"), F.col("n").cast("double").alias("value")))
+    medians = select.grouped_percentiles(both, ["of"], "value", [0.5])
+    median = medians.agg(F.struct(*[F.max(F.when(F.col("of") == name, F.col("pct")[0])).alias(name) for name in ("days", "size")])).scalar()
+    per = products.agg(F.struct(F.max("n").alias("largest"), F.count("product_id").alias("products"), F.count_if(F.col("test") & F.col("train")).alias("shared"), F.count_if("test").alias("tested"))).scalar()
     cloud = F.coalesce("thick_cloud_pct", F.lit(0.0)) + F.coalesce("thin_cloud_pct", F.lit(0.0))
     prior = F.create_map(*[x for c in class_columns(raw) for x in (F.lit(c[len("wc_frac_"):]), F.avg(c) * 100.0)])
-    one = order.stats_with_percentiles(
-        kept, [], "patch_delta_days",
-        [
-            F.count(F.lit(1)).alias("patches"), F.count_distinct("product_id").alias("products"),
-            F.avg("patch_delta_days").alias("delta_days_mean"), F.max("patch_delta_days").cast("double").alias("delta_days_max"),
-            (F.avg((cloud < 5).cast("double")) * 100.0).alias("pct_under_5pct_cloud"),
-            (F.avg("wc_nodata_frac") * 100.0).alias("unlabelled_pixel_pct"),
-            F.min("date_phi").alias("first_date"), F.max("date_phi").alias("last_date"),
-            F.count_if(F.col(split) == "train").alias("n_train"), F.count_if(F.col(split) == "val").alias("n_val"),
-            F.count_if(F.col(split) == "test").alias("n_test"), prior.alias("class_prior_pct"),
-        ],
-        [0.5], splits=splits,
+    one = kept.agg(
+        F.count(F.lit(1)).alias("patches"), F.avg("patch_delta_days").alias("delta_days_mean"), F.max("patch_delta_days").cast("double").alias("delta_days_max"),
+        (F.avg((cloud < 5).cast("double")) * 100.0).alias("pct_under_5pct_cloud"), (F.avg("wc_nodata_frac") * 100.0).alias("unlabelled_pixel_pct"),
+        F.min("date_phi").alias("first_date"), F.max("date_phi").alias("last_date"),
+        *[F.count_if(here == name).alias(f"n_{name}") for name in ("train", "val", "test")], prior.alias("class_prior_pct"),
     )
-    sizes = group_sizes(kept, splits=splits).select(F.struct("median_size", "largest")).scalar()
-    leak = pairing.split_leakage(kept, "product_id", split).select(F.struct("shared", "total")).scalar()
     return one.select(
-        raw.agg(F.count(F.lit(1))).scalar().alias("patches_in_manifest"), "patches", "products",
-        sizes["median_size"].alias("patches_per_product_median"),
-        sizes["largest"].alias("patches_per_product_max"),
-        F.col("pct")[0].alias("delta_days_median"), "delta_days_mean", "delta_days_max", "pct_under_5pct_cloud",
+        raw.agg(F.count(F.lit(1))).scalar().alias("patches_in_manifest"), "patches", per["products"].alias("products"),
+        median["size"].alias("patches_per_product_median"), per["largest"].alias("patches_per_product_max"),
+        median["days"].alias("delta_days_median"), "delta_days_mean", "delta_days_max", "pct_under_5pct_cloud",
         "unlabelled_pixel_pct", "first_date", "last_date", "n_train", "n_val", "n_test",
-        leak["shared"].alias("leaked_products"), leak["total"].alias("test_products"),
+        per["shared"].alias("leaked_products"), per["tested"].alias("test_products"),
         "class_prior_pct",
     )

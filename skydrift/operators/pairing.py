@@ -162,32 +162,24 @@ def pairwise_max_delta(vectors: DataFrame, group: Column, names: Sequence[str] |
     return one.select(F.col("_g").alias("key_group"), F.explode(cells).alias("c")).select("c.a", "c.b", "key_group", "c.max_delta")
 
 
-def next_in_order(df: DataFrame, key: str, splits: Sequence | None = None, out: str = "next_key") -> DataFrame:
+def next_in_order(df: DataFrame, key: str, out: str = "next_key") -> DataFrame:
     """The following key by ascending order, the last followed by the first.
 
     Keys are unique. Within a range it is a ``lead``; the last key of a range
     takes the first key of the next filled range, a table of one row per range.
     """
-    splits = order.range_splits(df, key) if splits is None else list(splits)
-    b = df.withColumn("_bucket", order.bucket_of(F.col(key), splits))
-    w = Window.partitionBy("_bucket").orderBy(key)
-    b = b.withColumn("_lead", F.lead(key).over(w))
-    if not splits:
-        first = F.min(key).over(Window.partitionBy("_bucket"))
-        return b.withColumn(out, F.coalesce("_lead", first)).drop("_bucket", "_lead")
+    b = order.ranged(df, key)
     heads = b.groupBy("_bucket").agg(F.min(key).alias("_head"))
     hw = Window.partitionBy(F.lit(0))
-    heads = heads.select(
-        "_bucket",
-        F.coalesce(F.lead("_head").over(hw.orderBy("_bucket")), F.min("_head").over(hw)).alias("_after"),
-    )
-    j = b.join(heads, "_bucket")
-    return j.withColumn(out, F.coalesce("_lead", "_after")).drop("_bucket", "_lead", "_after")
+    heads = heads.select("_bucket", F.coalesce(F.lead("_head").over(hw.orderBy("_bucket")), F.min("_head").over(hw)).alias("_after"))
+    j = order.join_group_stats(b, heads, ["_bucket"])
+    lead = F.lead(key).over(Window.partitionBy("_bucket").orderBy(key))
+    return j.withColumn(out, F.coalesce(lead, "_after")).drop("_bucket", "_after")
 
 
-def negative_control_pairs(df: DataFrame, key: str = "item_id", payload: str = "embedding", splits: Sequence | None = None) -> DataFrame:
+def negative_control_pairs(df: DataFrame, key: str = "item_id", payload: str = "embedding") -> DataFrame:
     """Each item with the payload of the next one, as an unmatched control."""
-    nxt = next_in_order(df.select(key, payload), key, splits)
+    nxt = next_in_order(df.select(key, payload), key)
     other = df.select(F.col(key).alias("next_key"), F.col(payload).alias(f"next_{payload}"))
     return nxt.join(other, "next_key")
 

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import order, vec
+from ..functions import order, select, vec
 from ..session import cut_lineage, stored
 from . import linear
 from . import splits as sp
@@ -177,9 +177,9 @@ def pca_project(a: DataFrame, b: DataFrame, k: int = 2) -> DataFrame:
     return model.transform(z).select("item_id", "domain", vector_to_array("pc").alias("pc"))
 
 
-def paired_link_median(projected: DataFrame, splits: Sequence | None = None) -> DataFrame:
+def paired_link_median(projected: DataFrame) -> DataFrame:
     """Median distance between the two projections of an item."""
     a = projected.where("domain = 'a'").select("item_id", F.col("pc").alias("_a"))
     b = projected.where("domain = 'b'").select("item_id", F.col("pc").alias("_b"))
     d = a.join(b, "item_id").select(F.sqrt(vec.sq_dist(F.col("_a"), F.col("_b"))).alias("dist"))
-    return order.grouped_percentiles(d, [], "dist", [0.5], splits=splits).select(F.col("pct")[0].alias("link_median"))
+    return select.grouped_percentiles(d, [], "dist", [0.5]).select(F.col("pct")[0].alias("link_median"))

@@ -32,7 +32,7 @@ def welch_ttest(df: DataFrame, run_a: str, run_b: str, keys: Sequence[str] = ("m
     return out.withColumn("p_value", p).withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
-def wilcoxon_signed_rank(df: DataFrame, x: str, y: str, splits: Sequence | None = None, with_p: bool = True) -> DataFrame:
+def wilcoxon_signed_rank(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
     """Paired differences without zeros, mean ranks for ties, normal approximation.
 
     Equal absolute differences are counted first, so the ranking works on
@@ -42,7 +42,7 @@ def wilcoxon_signed_rank(df: DataFrame, x: str, y: str, splits: Sequence | None
     cells = d.groupBy(F.abs("_d").alias("_abs")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_pos"), F.count_if(F.col("_d") < 0).alias("_neg")
     )
-    run = order.prefix_sum(cells, [], "_abs", "_n", "_upto", splits=splits)
+    run = order.prefix_sum(cells, [], "_abs", "_n", "_upto")
     rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     t = F.col("_n").cast("double")
     s = run.agg(

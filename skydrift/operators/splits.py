@@ -77,18 +77,15 @@ def balanced_sample(df: DataFrame, label: str, cap: int, keys: Sequence[str], se
     return order.lowest_per_group(d, [label], "_h", cap, digits).drop("_h")
 
 
-def permute_labels(df: DataFrame, key: str, label: str, seed=1, out: str = "permuted", splits: Sequence | None = None) -> DataFrame:
+def permute_labels(df: DataFrame, key: str, label: str, seed=1, out: str = "permuted") -> DataFrame:
     """Each row gets the label of another row; label counts are unchanged.
 
     Row r of the key order takes the label of row r of a second, hashed order.
     Both orders are numbered range by range (``order.ordinal``).
     """
-    digest_splits = None if splits is None else [format(i, "02x") for i in range(16, 256, 16)]
-    rows = order.ordinal(df, key, "_i", splits)
-    if digest_splits is None and not order.is_small(df):
-        digest_splits = [format(i, "02x") for i in range(1, 256)]
+    rows = order.ordinal(df, key, "_i")
     hashed = df.select(F.col(label).alias(out), order.hash_key(seed, F.col(key)).alias("_h"))
-    donor = order.ordinal(hashed, "_h", "_i", digest_splits or []).drop("_h")
+    donor = order.ordinal(hashed, "_h", "_i").drop("_h")
     return rows.join(donor, "_i").drop("_i")
 
 

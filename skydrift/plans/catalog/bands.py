@@ -221,6 +221,17 @@ def value_histogram_log(spark, sf):
     return _histogram(spark, sf, True)
 
 
+@query("value_histogram_per_band", with_ctes("pixels_long", f"""
+    SELECT view, band, bin, n, {r('lo + bin * step', 3)} AS left, {r('lo + (bin + 1) * step', 3)} AS right, {r('n / (sum(n) OVER (PARTITION BY view, band) * step)', 9)} AS density
+    FROM (SELECT view, band, any_value(lo) AS lo, any_value(step) AS step, bin, count(*) AS n FROM (
+        SELECT view, band, lo, (hi - lo) / 50 AS step, least(floor((value - lo) / (hi - lo) * 50), 49)::INT AS bin
+        FROM pixels_long JOIN (SELECT band, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM pixels_long GROUP BY band) USING (band) WHERE value BETWEEN lo AND hi) GROUP BY view, band, bin)"""))
+def value_histogram_per_band(spark, sf):
+    """Every band has edges of its own, which its views share."""
+    h = B.value_histogram(A.pixels_long(spark, sf), ["view", "band"], 50, shared=["band"])
+    return h.select("view", "band", "bin", "n", A.rnd("left", 3).alias("left"), A.rnd("right", 3).alias("right"), A.rnd("density", 9).alias("density"))
+
+
 _ERR = " + ".join(f"abs(a_{b} - b_{b})" for b in A.BANDS)
 
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import order
+from ...functions import select
 from ...operators import manifest as M
 from ...operators import pairing as P
 from ...operators import splits as S
@@ -182,5 +182,5 @@ def permute_labels(spark, sf):
 def range_percentiles(spark, sf):
     """Exact percentiles on the large-table path, whatever the size of the data."""
     px = A.pixels_long(spark, sf)
-    p = order.grouped_percentiles(px, ["view", "band"], "value", [0.02, 0.5, 0.999], splits=order.range_splits(px, "value", 32))
+    p = select.grouped_percentiles(px, ["view", "band"], "value", [0.02, 0.5, 0.999])
     return A.rounded(p.select("view", "band", *[F.col("pct")[i].alias(n) for i, n in enumerate(("p2", "p50", "p999"))]), 4)

@@ -93,12 +93,13 @@ def dataset_report(manifest: DataFrame, bad_ids: Sequence[int] = tuple(C.BAD_PRO
 
 
 def sensor_report(pixels: DataFrame, pairs: DataFrame, wide: DataFrame, stored: Sequence[str], reference: Sequence[str]) -> dict[str, DataFrame]:
-    """Every table of the spectral report, by name."""
+    """Every table of the spectral report, by name. One selection serves the first four."""
+    shared = B.spectral_selection(pixels)
     return {
-        "domain_stats": B.domain_stats(pixels),
-        "spectral_stats": B.spectral_stats_table(pixels),
-        "boxes": B.box_stats(pixels),
-        "boxes_standardised": B.box_stats(pixels, z=True),
+        "domain_stats": B.domain_stats(pixels, selection=shared),
+        "spectral_stats": B.spectral_stats_table(pixels, selection=shared),
+        "boxes": B.box_stats(pixels, selection=shared),
+        "boxes_standardised": B.box_stats(pixels, z=True, selection=shared),
         "signature": B.spectral_signature(B.band_stats(pixels)),
         "transfer": B.sensor_transfer_fit(pairs),
         "correspondence": B.band_correspondence(wide, stored, reference),
