@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, order
+from ..session import stored
 
 
 def match_counterparts(left: DataFrame, right: DataFrame, old: str, new: str, name: str = "name") -> tuple[DataFrame, DataFrame]:
@@ -87,7 +90,7 @@ def attach_scene_metadata(scenes: DataFrame, meta: DataFrame) -> tuple[DataFrame
 
 
 def processing_status(inputs: DataFrame, outputs: DataFrame, prefix: str = "simulated_") -> DataFrame:
-    """Every input with SUCCESS and its output path, or FAILED and NOT_FOUND."""
+    """Every input with SUCCESS and its output path, or FAILED and NOT_FOUND, by number; names without a number come last."""
     i = inputs.withColumn("product_id", exprs.stem_id(F.col("name")).try_cast("bigint"))
     o = outputs.select(F.expr(f"substring(name, {len(prefix) + 1})").alias("_k"), F.col("path").alias("_p"))
     o = o.groupBy("_k").agg(F.min("_p").alias("_p"))
@@ -96,7 +99,13 @@ def processing_status(inputs: DataFrame, outputs: DataFrame, prefix: str = "simu
         "product_id", "name",
         F.when(F.col("_p").isNotNull(), "SUCCESS").otherwise("FAILED").alias("simulation_status"),
         F.coalesce("_p", F.lit("NOT_FOUND")).alias("simulation_path"),
-    )
+    ).orderBy(F.col("product_id").asc_nulls_last(), "name")
+
+
+def processing_totals(status: DataFrame) -> DataFrame:
+    """How many inputs there are, and how many of them succeeded and failed."""
+    ok = F.col("simulation_status") == "SUCCESS"
+    return status.agg(F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
 
 
 def missing_outputs(expected: DataFrame, present: DataFrame, key: str = "name") -> DataFrame:
@@ -132,34 +141,48 @@ def split_leakage(df: DataFrame, group: str, split: str = "split", a: str = "tra
     )
 
 
-def pairwise_max_delta(vectors: DataFrame, group: Column, names: Sequence[str] | None = None, max_names: int = 64) -> DataFrame:
-    """For every two names: largest absolute difference over shared keys of equal size.
+def pairwise_max_delta(vectors: DataFrame, group: Column, block: int = 32, rows_per_task: int = 4096) -> DataFrame:
+    """For every two names and key group: largest absolute difference over shared keys of equal size, null without one.
 
-    ``vectors`` has (name, key, values). Names (checkpoints) are few and keys are
-    many, so each key becomes one wide row and the pairs are columns of one
-    aggregation: no row per pair and key is ever produced. A name list longer
-    than ``max_names`` goes through a plain key join with a partial maximum.
+    ``vectors`` has (name, key, values), a name and key once. Names are numbered and
+    cut into blocks; two blocks meet in tasks by a hash of the key, where the
+    differences of all their names are one array operation per key. A task returns a
+    row per pair of names it compared, not per key. Any number of names goes this way.
     """
-    keyed = vectors.withColumn("_g", group).where(F.col("_g").isNotNull()).withColumn("_len", F.size("values"))
-    if names is None:
-        names = sorted(r["name"] for r in keyed.select("name").distinct().limit(max_names + 1).collect())
-    diff = lambda x, y: F.array_max(F.zip_with(x, y, lambda p, q: F.abs(p - q)))
-    if len(names) > max_names:
-        l = keyed.select(F.col("name").alias("a"), "key", "_g", "_len", F.col("values").alias("_va"))
-        r = keyed.select(F.col("name").alias("b"), "key", "_g", "_len", F.col("values").alias("_vb"))
-        j = l.join(r, ["key", "_g", "_len"]).where(F.col("a") < F.col("b"))
-        return j.groupBy("a", "b", F.col("_g").alias("key_group")).agg(F.max(diff(F.col("_va"), F.col("_vb"))).alias("max_delta"))
-    picks = [F.first(F.when(F.col("name") == n, F.col("values")), ignorenulls=True).alias(f"v{i}") for i, n in enumerate(names)]
-    wide = keyed.groupBy("key", "_g", "_len").agg(*picks)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    one = wide.groupBy("_g").agg(*[F.max(diff(F.col(f"v{i}"), F.col(f"v{j}"))).alias(f"d{i}_{j}") for i, j in pairs])
-    cells = F.array(
-        *[
-            F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"d{i}_{j}").alias("max_delta"))
-            for i, j in pairs
-        ]
+    keyed = vectors.withColumn("_g", group).where(F.col("_g").isNotNull() & F.col("values").isNotNull())
+    names = order.ordinal(vectors.select("name").distinct(), "name", "_no")
+    blocks = -(-names.count() // block) or 1
+    names = stored(names.withColumn("_block", F.floor(F.col("_no") / block).cast("int")), "names")
+    beside = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    meet = lambda df: df.withColumn("_other", beside).withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other")).drop("_other")
+    placed = meet(order.join_few(keyed, names, ["name"]))
+    shards = max(1, 2 * block * keyed.select("key").distinct().count() // rows_per_task)
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, found = pdf["_lo"].iat[0], pdf["_hi"].iat[0], {}
+        for (g, _, _), rows in pdf.groupby(["_g", "key", pdf["values"].map(len)], sort=False):
+            rows = rows.sort_values("_no")
+            left, right = rows[rows["_block"] == lo], rows[rows["_block"] == hi]
+            if len(left) and len(right) and len(left["values"].iat[0]):
+                x, y = np.stack(left["values"].to_numpy()), np.stack(right["values"].to_numpy())
+                for i, a in enumerate(left["_no"]):
+                    for j, d in zip(right["_no"], np.abs(x[i] - y).max(axis=1)):
+                        if a < j:
+                            found[a, j, g] = max(found.get((a, j, g), 0.0), d) if d == d else d
+        return pd.DataFrame([(*k, v) for k, v in found.items()], columns=["_a", "_b", "key_group", "d"])
+
+    seen = (
+        placed.select("_lo", "_hi", "_shard", "_block", "_no", "_g", "key", F.col("values").cast("array<double>").alias("values"))
+        .groupBy("_lo", "_hi", "_shard").applyInPandas(compare, "_a long, _b long, key_group string, d double")
+        .groupBy("_a", "_b", "key_group").agg(F.max("d").alias("max_delta"))
     )
-    return one.select(F.col("_g").alias("key_group"), F.explode(cells).alias("c")).select("c.a", "c.b", "key_group", "c.max_delta")
+    side = lambda n: meet(names).select("_lo", "_hi", "_block", F.col("name").alias(n), F.col("_no").alias(f"_{n}"))
+    l, r = side("a").where(F.col("_block") == F.col("_lo")), side("b").where(F.col("_block") == F.col("_hi"))
+    pairs = l.drop("_block").join(r.drop("_block"), ["_lo", "_hi"]).where(F.col("_a") < F.col("_b"))
+    groups = sorted(row["_g"] for row in keyed.select("_g").distinct().collect())  # the labels that ``group`` gives
+    pairs = pairs.select("a", "b", "_a", "_b", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias("key_group"))
+    return pairs.join(seen, ["_a", "_b", "key_group"], "left").select("a", "b", "key_group", "max_delta")
 
 
 def next_in_order(df: DataFrame, key: str, out: str = "next_key") -> DataFrame:

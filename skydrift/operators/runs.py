@@ -203,12 +203,18 @@ def best_row(df: DataFrame, metric: str, ties: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), *ties).limit(1)
 
 
-def job_status_summary(jobs: DataFrame, statuses: Sequence[str] = ("done", "skipped", "failed")) -> DataFrame:
-    """Per variant: counts by status, seconds, and a map of split to status."""
-    return jobs.groupBy("variant").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in statuses],
-        F.sum("seconds").alias("seconds"), F.sum("n_files").alias("n_files"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("split", "status")))).alias("runs"),
+def job_status_summary(jobs: DataFrame, statuses: Sequence[str] = ("done", "skipped", "failed"), at: str = "finished_at") -> DataFrame:
+    """Per variant: jobs by status, seconds, files, and per split the last result.
+
+    ``runs`` maps a split to (status, n_files, seconds) of its job with the highest
+    ``at``; a split that ran twice shows its last run only.
+    """
+    last = F.max_by(F.struct("status", "n_files", "seconds"), at)
+    per = jobs.groupBy("variant", "split").agg(
+        *[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.sum("seconds").alias("seconds"), F.sum("n_files").alias("n_files"), last.alias("_last"))
+    return per.groupBy("variant").agg(
+        *[F.sum(c).alias(c) for c in (*statuses, "seconds", "n_files")],
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("split").isNotNull(), F.struct("split", "_last"))))).alias("runs"),
     )
 
 

@@ -164,9 +164,9 @@ def paired_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """(item_id, label, za, zb): ten class scores in both domains."""
+    """(item_id, label, za, zb): ten class scores in both domains; a class sums every tenth component."""
     v = vectors(spark, sf)
-    ten = lambda c: F.transform(F.slice(c, 1, 10), lambda x: x * 20.0)
+    ten = lambda d: F.array(*[F.aggregate(F.filter(d, lambda x, i: i % 10 == k), F.lit(0.0), lambda s, x: s + x) * 20.0 for k in range(10)])  # noqa: E731, B023
     return v.select("item_id", F.when(F.col("item_id") % 13 == 0, -1).otherwise(F.col("label")).alias("label"), ten("a").alias("za"), ten("b").alias("zb"))
 
 
@@ -285,7 +285,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                list_sum([abs(emb_a[i] - emb_b[i]) FOR i IN range(1, len(emb_a) + 1)]) / len(emb_a) AS mae
         FROM paired_layers"""),
     "logits": (("vectors",), """
-        SELECT item_id, CASE WHEN item_id % 13 = 0 THEN -1 ELSE label END AS label, [x * 20.0::DOUBLE FOR x IN a[1:10]] AS za, [x * 20.0::DOUBLE FOR x IN b[1:10]] AS zb
+        SELECT item_id, CASE WHEN item_id % 13 = 0 THEN -1 ELSE label END AS label, [list_sum([a[i + 1] FOR i IN range(k, 64, 10)]) * 20.0::DOUBLE FOR k IN range(0, 10)] AS za, [list_sum([b[i + 1] FOR i IN range(k, 64, 10)]) * 20.0::DOUBLE FOR k IN range(0, 10)] AS zb
         FROM vectors"""),
     "probs": (("logits",), """
         SELECT item_id, label, [exp(x - ma) / list_sum([exp(w - ma) FOR w IN za]) FOR x IN za] AS pa, [exp(x - mb) / list_sum([exp(w - mb) FOR w IN zb]) FOR x IN zb] AS pb

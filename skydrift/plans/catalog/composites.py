@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...operators import bands as B
 from ...operators import pairing as P
 from ...operators import splits
 from .. import adapters as A
@@ -12,13 +13,23 @@ from . import bands as cb
 from . import datasets, experiments, labels, vectors
 
 
-def pair_reports(spark, sf):
+def _image_pixels(spark, sf):
     """Vectors stand for images: components are pixels of four bands, slices are layers."""
     v = A.vectors(spark, sf)
     names = F.array(*[F.lit(b) for b in A.BANDS])
     px = v.select("item_id", F.explode(F.array(*[F.struct(F.lit(d).alias("view"), F.transform(d, lambda x, i: F.struct((i % 4).alias("i"), (x + 1.0).alias("v"))).alias("p")) for d in ("a", "b")])).alias("c"))
-    px = px.select("item_id", "c.view", F.explode("c.p").alias("p")).select("item_id", "view", F.get(names, F.col("p.i")).alias("band"), F.col("p.v").alias("value"))
-    return reports.pair_drift_report(px, A.paired_layers(spark, sf), vectors.class_pairs(spark, sf))
+    return px.select("item_id", "c.view", F.explode("c.p").alias("p")).select("item_id", "view", F.get(names, F.col("p.i")).alias("band"), F.col("p.v").alias("value"))
+
+
+def _pixel_pairs(spark, sf):
+    """The same pixels side by side: one column per view."""
+    v = A.vectors(spark, sf)
+    return v.select("item_id", F.explode(F.arrays_zip("a", "b")).alias("p")).select("item_id", "p.a", "p.b")
+
+
+def pair_reports(spark, sf):
+    diff = B.pixel_max_diff(_pixel_pairs(spark, sf), ["item_id"], ["a"], ["b"])
+    return reports.pair_drift_report(_image_pixels(spark, sf), A.paired_layers(spark, sf), vectors.class_pairs(spark, sf), diff)
 
 
 _PX = """SELECT item_id, view, (['blue', 'green', 'red', 'nir'])[(i % 4 + 1)::INT] AS band, v + 1.0 AS value FROM (
@@ -26,29 +37,68 @@ _PX = """SELECT item_id, view, (['blue', 'green', 'red', 'nir'])[(i % 4 + 1)::IN
 _PAIR = {
     "px": _PX, "d": f"SELECT item_id, band, {cb._DRIFT_SELECT} FROM (SELECT item_id, band, {cb._DRIFT_AGG} FROM px WHERE value > 0 GROUP BY ALL)",
     "sp": "SELECT item_id, avg(abs(mean_diff)) AS amd, max(abs(mean_diff)) AS mmd, avg(abs(std_change)) AS asc_, max(mean_pct_change) FILTER (WHERE band = 'blue') AS blue_pct FROM d GROUP BY item_id",
-    "em": "SELECT item_id, avg(cosine) AS cs, avg(mse) AS mse, avg(mae) AS mae FROM layer_metrics GROUP BY item_id",
+    "em": "SELECT item_id, avg(cosine) AS cs, avg(mse) AS mse, avg(mae) AS mae, list(cosine ORDER BY layer) AS cl FROM layer_metrics GROUP BY item_id",
+    "mx": "SELECT item_id, list_max([abs(a[i] - b[i]) FOR i IN range(1, len(a) + 1)]) AS pixel FROM vectors",
 }
 
 
 @query("pair_drift_report", with_ctes("layer_metrics class_pairs", f"""
-    SELECT item_id, {r('amd')} AS avg_mean_difference, {r('mmd')} AS max_mean_difference, {r('asc_')} AS avg_std_change, {r('blue_pct', 4)} AS blue_mean_pct_change, {r('cs')} AS cosine_similarity,
-           class_flip, {r('probability_change')} AS probability_change FROM sp JOIN em USING (item_id) JOIN class_pairs USING (item_id)""", _PAIR))
+    SELECT item_id, {r('amd')} AS avg_mean_difference, {r('mmd')} AS max_mean_difference, {r('asc_')} AS avg_std_change, {r('blue_pct', 4)} AS blue_mean_pct_change, {r('cs')} AS cosine_similarity, {r('pixel')} AS pixel_max_diff,
+           class_flip, {r('probability_change')} AS probability_change FROM sp JOIN em USING (item_id) JOIN mx USING (item_id) JOIN class_pairs USING (item_id)""", _PAIR))
 def pair_drift_report(spark, sf):
     s = F.col("spectral_drift")
     p = pair_reports(spark, sf)
     return p.select(
         "item_id", *[rnd(s[c]).alias(c) for c in ("avg_mean_difference", "max_mean_difference", "avg_std_change")],
-        rnd(F.try_element_at(s["bands"], F.lit("blue"))["mean_pct_change"], 4).alias("blue_mean_pct_change"), rnd(F.col("embedding_drift.cosine_similarity")).alias("cosine_similarity"),
+        rnd(F.try_element_at(s["bands"], F.lit("blue"))["mean_pct_change"], 4).alias("blue_mean_pct_change"), rnd(F.col("embedding_drift.cosine_similarity")).alias("cosine_similarity"), rnd(F.col("embedding_drift.pixel_max_diff")).alias("pixel_max_diff"),
         F.col("class_drift.class_flip").alias("class_flip"), rnd(F.col("class_drift.probability_change")).alias("probability_change"),
     )
 
 
-@query("directory_drift", with_ctes("layer_metrics class_pairs", f"""
-    SELECT count(*) AS pairs_processed, {r('avg(cs)')} AS avg_cosine_similarity, {r('avg(mse)', 6)} AS avg_mse_error, {r('avg(mae)')} AS avg_mae_error, count(*) AS total_pairs,
+_RUN = f"""
+    SELECT count(*) AS pairs_processed, {r('avg(cs)')} AS avg_cosine_similarity, {r('avg(mse)', 6)} AS avg_mse_error, {r('avg(mae)')} AS avg_mae_error, {r('avg(pixel)')} AS avg_pixel_max_diff, count(*) AS total_pairs,
            count(*) FILTER (WHERE class_flip) AS class_flips_count, {r('avg(class_flip::INT)')} AS class_flip_rate, {r('avg(probability_change)')} AS avg_probability_change,
-           {r('max(abs(probability_change))')} AS max_probability_change, {r('avg(top3_consistency)')} AS avg_top3_consistency FROM em JOIN class_pairs USING (item_id)""", _PAIR))
+           {r('max(abs(probability_change))')} AS max_probability_change, {r('avg(top3_consistency)')} AS avg_top3_consistency,
+           {", ".join(f"{r(f'avg(cl[{k + 1}])')} AS layer{k}_cosine" for k in range(A.LAYERS))} FROM em JOIN mx USING (item_id) JOIN class_pairs USING (item_id)"""
+
+
+def _flat_run(summary):
+    layers = F.col("per_layer_avg_cosine_similarity")
+    return A.rounded(summary.select("*", *[layers[k].alias(f"layer{k}_cosine") for k in range(A.LAYERS)]).drop("per_layer_avg_cosine_similarity"))
+
+
+@query("directory_drift", with_ctes("layer_metrics class_pairs", _RUN, _PAIR))
 def directory_drift(spark, sf):
-    return A.rounded(reports.directory_drift(pair_reports(spark, sf)))
+    return _flat_run(reports.directory_drift(pair_reports(spark, sf)))
+
+
+# files are named after the vectors; the second folder lacks every seventh
+_FILES = {"f": "SELECT vec_id AS item_id, 'patch_' || vec_id || '_raw.tif' AS name FROM embeddings", "held": "SELECT item_id, name, replace(name, '_raw', '_sim') AS partner FROM f WHERE item_id % 7 <> 3"}
+
+
+def _folders(spark, sf):
+    ids = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"))
+    name = lambda kind: F.concat(F.lit("patch_"), F.col("item_id").cast("string"), F.lit(f"_{kind}.tif")).alias("name")
+    return reports.folder_drift(
+        ids.select("item_id", name("raw")), ids.where("item_id % 7 <> 3").select("item_id", name("sim")), "_raw", "_sim", _image_pixels(spark, sf), _pixel_pairs(spark, sf), ["a"], ["b"],
+        A.paired_layers(spark, sf), vectors.class_pairs(spark, sf))
+
+
+@query("folder_drift", with_ctes("layer_metrics class_pairs", _RUN + " JOIN held USING (item_id)", {**_PAIR, **_FILES}))
+def folder_drift(spark, sf):
+    """Summary of two folders whose files are paired by name."""
+    return _flat_run(_folders(spark, sf)["summary"])
+
+
+@query("folder_drift_flipped", with_ctes("class_pairs", f"""
+    SELECT item_id, name, partner, a_predicted_class AS from_class, b_predicted_class AS to_class, {r('probability_change')} AS probability_change FROM held JOIN class_pairs USING (item_id) WHERE class_flip""", _FILES))
+def folder_drift_flipped(spark, sf):
+    return A.rounded(_folders(spark, sf)["flipped"])
+
+
+@query("folder_drift_unpaired", with_ctes("vectors", "SELECT item_id, name FROM f WHERE item_id % 7 = 3", _FILES))
+def folder_drift_unpaired(spark, sf):
+    return _folders(spark, sf)["without_partner"]
 
 
 def _seg_pairs(spark, sf):

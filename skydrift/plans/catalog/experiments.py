@@ -150,14 +150,18 @@ def sweep_ranking(spark, sf):
 
 
 @query("job_status_summary", f"""
+    WITH l AS (SELECT event_type, string_agg(split || '=' || status || ':' || k, ',' ORDER BY split) AS runs FROM (
+        SELECT event_type, 'split' || (user_id % 3) AS split, arg_max(CASE WHEN k < 80 THEN 'done' WHEN k < 90 THEN 'skipped' ELSE 'failed' END, event_id) AS status, arg_max(k, event_id) AS k
+        FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY ALL) GROUP BY event_type)
     SELECT event_type AS variant, count(*) FILTER (WHERE k < 80) AS done, count(*) FILTER (WHERE k BETWEEN 80 AND 89) AS skipped, count(*) FILTER (WHERE k >= 90) AS failed, {r('sum(value)', 3)} AS seconds,
-           sum(k)::BIGINT AS n_files FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY event_type""")
+           sum(k)::BIGINT AS n_files, any_value(runs) AS runs FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) JOIN l USING (event_type) GROUP BY event_type""")
 def job_status_summary(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.when(k < 80, "done").when(k < 90, "skipped").otherwise("failed")
-    split = F.concat(F.lit("split"), (F.col("user_id") % 3).cast("string"), F.lit("_"), status)
-    j = A.table(spark, sf, "events").select(F.col("event_type").alias("variant"), split.alias("split"), status.alias("status"), F.col("value").alias("seconds"), k.alias("n_files"))
-    return A.rounded(R.job_status_summary(j).drop("runs"), 3)
+    split = F.concat(F.lit("split"), (F.col("user_id") % 3).cast("string"))
+    j = A.table(spark, sf, "events").select(F.col("event_type").alias("variant"), split.alias("split"), status.alias("status"), F.col("value").alias("seconds"), k.alias("n_files"), "event_id")
+    listed = F.array_join(F.transform(F.map_entries("runs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["status"], F.lit(":"), e["value"]["n_files"].cast("string"))), ",")
+    return A.rounded(R.job_status_summary(j, at="event_id").withColumn("runs", listed), 3)
 
 
 _WELCH = {"w": """SELECT metric, count(*) FILTER (WHERE run = 'view') AS n_a, count(*) FILTER (WHERE run = 'error') AS n_b, avg(value) FILTER (WHERE run = 'view') AS mean_a, avg(value) FILTER (WHERE run = 'error') AS mean_b,

@@ -123,6 +123,11 @@ def processing_status(spark, sf):
     return P.processing_status(A.table(spark, sf, "documents").select(name.alias("name")), outputs)
 
 
+@query("processing_totals", "SELECT count(*) AS processed, count(l.doc_id) AS success, count(*) - count(l.doc_id) AS failed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def processing_totals(spark, sf):
+    return P.processing_totals(processing_status(spark, sf))
+
+
 @query("missing_outputs", with_ctes("simulated_files", """
     SELECT 'simulated_' || source || '_' || doc_id || '_S2Hand.tif' AS name FROM documents WHERE 'simulated_' || source || '_' || doc_id || '_S2Hand.tif' NOT IN (SELECT name FROM simulated_files WHERE length > 0)"""))
 def missing_outputs(spark, sf):
@@ -162,19 +167,21 @@ def _catalog(spark, sf):
     """Tensor tables: label = checkpoint, four slices of a vector = tensors named by layer and kind."""
     v = A.vectors(spark, sf)
     kinds = ["encoder.weight", "encoder.running_mean", "decoder.weight", "classifier.weight"]
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.slice("a", 16 * i + 1, 16 if i < 3 else 10).alias("values")) for i, k in enumerate(kinds)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.slice("a", 16 * i + 1, 16).alias("values")) for i, k in enumerate(kinds)]))
     return v.select(F.concat(F.lit("ckpt_"), F.col("label").cast("string")).alias("name"), (F.col("item_id") % 50).alias("n"), "item_id", cells.alias("c")).select(
         "name", F.concat(F.lit("block"), F.col("n").cast("string"), F.lit("."), "c.kind").alias("key"), "c.values", "item_id"
     )
 
 
 _CATALOG = """SELECT 'ckpt_' || label AS name, 'block' || (item_id % 50) || '.' || unnest(['encoder.weight', 'encoder.running_mean', 'decoder.weight', 'classifier.weight']) AS key,
-    unnest([a[1:16], a[17:32], a[33:48], a[49:58]]) AS vals, item_id FROM vectors"""
+    unnest([a[1:16], a[17:32], a[33:48], a[49:64]]) AS vals, item_id FROM vectors"""
 
 
 @query("pairwise_max_delta", with_ctes("vectors", f"""
-    SELECT x.name AS a, y.name AS b, x.g AS key_group, {r('max(list_max([abs(x.vals[i] - y.vals[i]) FOR i IN range(1, len(x.vals) + 1)]))')} AS max_delta
-    FROM u x JOIN u y ON x.key = y.key AND len(x.vals) = len(y.vals) AND x.name < y.name GROUP BY ALL""", {
+    SELECT x.name AS a, y.name AS b, g.g AS key_group, d.max_delta
+    FROM (SELECT DISTINCT name FROM c) x JOIN (SELECT DISTINCT name FROM c) y ON x.name < y.name CROSS JOIN (SELECT DISTINCT g FROM u WHERE g IS NOT NULL) g
+    LEFT JOIN (SELECT x.name AS a, y.name AS b, x.g AS key_group, {r('max(list_max([abs(x.vals[i] - y.vals[i]) FOR i IN range(1, len(x.vals) + 1)]))')} AS max_delta
+        FROM u x JOIN u y ON x.key = y.key AND len(x.vals) = len(y.vals) AND x.name < y.name GROUP BY ALL) d ON d.a = x.name AND d.b = y.name AND d.key_group = g.g""", {
     "c": _CATALOG,
     "u": """SELECT name, key, arg_min(vals, item_id) AS vals, any_value(CASE WHEN key LIKE '%encoder.weight' THEN 'enc_w' WHEN key LIKE '%running_%' THEN 'enc_bn' WHEN key LIKE '%decoder.%' THEN 'dec_w' END) AS g
             FROM c WHERE key NOT LIKE '%classifier%' GROUP BY name, key"""}))
@@ -182,18 +189,17 @@ def pairwise_max_delta(spark, sf):
     c = _catalog(spark, sf).groupBy("name", "key").agg(F.min_by("values", "item_id").alias("values"))
     k = F.col("key")
     group = F.when(k.endswith("encoder.weight"), "enc_w").when(k.contains("running_"), "enc_bn").when(k.contains("decoder."), "dec_w")
-    d = P.pairwise_max_delta(c, group)
-    return A.rounded(d.where(F.col("max_delta").isNotNull()))
+    return A.rounded(P.pairwise_max_delta(c, group))
 
 
 @query("vector_catalog_summary", with_ctes("vectors", """
-    SELECT name, count(*) AS n_tensors, arg_min(key, item_id) FILTER (WHERE key = 'block7.classifier.weight' OR key = 'block9.classifier.weight') AS head_key,
-           count(*) FILTER (WHERE key LIKE '%running_mean') AS suffix_keys FROM (SELECT name, key, min(item_id) AS item_id FROM c GROUP BY ALL) GROUP BY name""".replace(
-    "arg_min(key, item_id) FILTER (WHERE key = 'block7.classifier.weight' OR key = 'block9.classifier.weight')", "min(key) FILTER (WHERE key IN ('block7.classifier.weight', 'block9.classifier.weight'))"), {"c": _CATALOG}))
+    SELECT name, count(*) AS n_tensors, CASE WHEN bool_or(key = 'block7.classifier.weight') THEN 'block7.classifier.weight' WHEN bool_or(key = 'block9.classifier.weight') THEN 'block9.classifier.weight' END AS head_key,
+           CASE WHEN bool_or(key IN ('block7.classifier.weight', 'block9.classifier.weight')) THEN 16 ELSE -1 END AS head_size, count(*) FILTER (WHERE key LIKE '%running_mean') AS suffix_keys,
+           NOT bool_or(key IN ('block7.classifier.weight', 'block9.classifier.weight')) AS unexpected FROM (SELECT DISTINCT name, key FROM c) GROUP BY name""", {"c": _CATALOG}))
 def vector_catalog_summary(spark, sf):
     c = _catalog(spark, sf).groupBy("name", "key").agg(F.min_by("values", "item_id").alias("values"))
-    s = runs.vector_catalog_summary(c, ["block7.classifier.weight", "block9.classifier.weight"], "running_mean", 10)
-    return s.select("name", "n_tensors", "head_key", "suffix_keys")
+    s = runs.vector_catalog_summary(c, ["block7.classifier.weight", "block9.classifier.weight"], "running_mean", 16)
+    return s.select("name", "n_tensors", "head_key", F.coalesce("head_size", F.lit(-1)).alias("head_size"), "suffix_keys", "unexpected")
 
 
 @query("negative_control_pairs", with_ctes("vectors", f"""

@@ -81,7 +81,7 @@ def stream_run_refresh(spark, sf):
 # --- model hooks ------------------------------------------------------------------------
 def _softmax_model():
     def predict(x: np.ndarray) -> np.ndarray:
-        z = x[:, :10] * 20.0
+        z = np.stack([x[:, k::10].sum(axis=1) for k in range(10)], axis=1) * 20.0
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -96,15 +96,15 @@ def with_predictions(spark, sf):
 
 
 def _two_layers():
-    return lambda x: np.concatenate([x[:, :16] * 2.0, x[:, 16:32] + 1.0], axis=1)
+    return lambda x: np.concatenate([x[:, :32] * 2.0, x[:, 32:] + 1.0], axis=1)
 
 
-@query("with_embeddings", with_ctes("vectors", f"SELECT item_id, unnest([0, 1])::INT AS layer, {r('unnest([list_sum([x * 2 FOR x IN a[1:16]]), list_sum([x + 1 FOR x IN a[17:32]])])')} AS total FROM vectors"))
+@query("with_embeddings", with_ctes("vectors", f"SELECT item_id, unnest([0, 1])::INT AS layer, {r('unnest([list_sum([x * 2 FOR x IN a[1:32]]), list_sum([x + 1 FOR x IN a[33:64]])])')} AS total FROM vectors"))
 def with_embeddings(spark, sf):
     from ...functions import vec
 
     v = A.vectors(spark, sf).select("item_id", F.col("a").alias("features"))
-    e = Q.with_embeddings(v, _two_layers, "features", 64, ["item_id"], 16)
+    e = Q.with_embeddings(v, _two_layers, "features", 64, ["item_id"], 32)
     return A.rounded(e.select("item_id", "layer", vec.total(F.col("embedding")).alias("total")))
 
 

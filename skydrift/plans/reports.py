@@ -18,6 +18,7 @@ from ..operators import probes as Pr
 from ..operators import runs as R
 from ..operators import segmentation as S
 from ..operators import significance as T
+from ..session import stored
 
 
 def pair_drift_report(pixels: DataFrame, layers: DataFrame, classes: DataFrame, max_diff: DataFrame | None = None,
@@ -46,15 +47,38 @@ def pair_drift_report(pixels: DataFrame, layers: DataFrame, classes: DataFrame,
 
 
 def directory_drift(reports: DataFrame) -> DataFrame:
-    """Run summary of pair reports: embedding averages and class flips."""
+    """Run summary of pair reports: embedding and pixel averages, the average of every layer, and class flips."""
     e, c = F.col("embedding_drift"), F.col("class_drift")
-    return reports.agg(
+    pixel = F.avg(e["pixel_max_diff"]) if "pixel_max_diff" in reports.schema["embedding_drift"].dataType.names else F.lit(None).cast("double")
+    run = reports.agg(
         F.count(F.lit(1)).alias("pairs_processed"),
-        F.avg(e["cosine_similarity"]).alias("avg_cosine_similarity"), F.avg(e["mse_error"]).alias("avg_mse_error"), F.avg(e["mae_error"]).alias("avg_mae_error"),
+        F.avg(e["cosine_similarity"]).alias("avg_cosine_similarity"), F.avg(e["mse_error"]).alias("avg_mse_error"), F.avg(e["mae_error"]).alias("avg_mae_error"), pixel.alias("avg_pixel_max_diff"),
         F.count(c["class_flip"]).alias("total_pairs"), F.count_if(c["class_flip"]).alias("class_flips_count"),
         F.avg(c["class_flip"].cast("double")).alias("class_flip_rate"), F.avg(c["probability_change"]).alias("avg_probability_change"),
         F.max(F.abs(c["probability_change"])).alias("max_probability_change"), F.avg(c["top3_consistency"]).alias("avg_top3_consistency"),
     )
+    per = reports.select(F.posexplode(e["layer_cosine_similarities"]).alias("i", "c")).groupBy("i").agg(F.avg("c").alias("m"))
+    layers = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("l"))  # one row per layer
+    return run.withColumn("per_layer_avg_cosine_similarity", layers.scalar())
+
+
+def folder_drift(files_a: DataFrame, files_b: DataFrame, old: str, new: str, pixels: DataFrame, pixel_pairs: DataFrame, bands_a: Sequence[str], bands_b: Sequence[str],
+                 layers: DataFrame, classes: DataFrame, key: str = "item_id", a: str = "a", b: str = "b") -> dict[str, DataFrame]:
+    """Two folders compared: files paired by name, a report per pair, the run summary, the pairs whose class flips, files without a partner.
+
+    ``files_a`` and ``files_b`` are (key, name); a file of the first meets the one
+    whose name has ``new`` for ``old``. The other tables hold both folders' pixels,
+    layers and predictions by the key of the first; only rows of pairs count.
+    """
+    pairs, lone = P.match_counterparts(files_a, files_b.select("name"), old, new)
+    mine = pairs.select(key).distinct()
+    here = lambda df, k=key: df.join(mine.withColumnRenamed(key, k), k, "left_semi")
+    diff = B.pixel_max_diff(here(pixel_pairs), [key], bands_a, bands_b)
+    reports = pair_drift_report(here(pixels), here(layers, "item_id"), here(classes, "item_id"), diff, key, a, b)
+    reports = stored(pairs.select(key, "name", F.col("right_name").alias("partner")).join(reports, key, "left"), "reports")
+    c = F.col("class_drift")
+    flipped = reports.where(c["class_flip"]).select(key, "name", "partner", c["a_predicted_class"].alias("from_class"), c["b_predicted_class"].alias("to_class"), c["probability_change"].alias("probability_change"))
+    return {"reports": reports, "summary": directory_drift(reports), "flipped": flipped, "without_partner": lone}
 
 
 def segmentation_drift_report(pairs: DataFrame, pixels: DataFrame, masks: DataFrame, key: str = "patch_index") -> DataFrame:

@@ -167,14 +167,50 @@ def test_layers_of_other_size_are_skipped(spark):
     assert d[2]["cosine_similarity"] == 0 and d[2]["layer_cosine_similarities"] == []
 
 
-def test_pairwise_delta_paths_agree(spark):
+def test_pairwise_delta_of_few_names(spark):
     v = spark.createDataFrame(
-        [("m1", "w", [1.0, 2.0]), ("m2", "w", [1.0, 5.0]), ("m3", "w", [1.0]), ("m1", "b", [0.0]), ("m3", "b", [0.5])], "name string, key string, values array<double>"
+        [("m1", "w", [1.0, 2.0]), ("m2", "w", [1.0, 5.0]), ("m3", "w", [1.0]), ("m1", "b", [0.0]), ("m3", "b", [0.5]), ("m4", "c", None)], "name string, key string, values array<double>"
     )
-    want = [("m1", "m2", 3.0), ("m1", "m3", 0.5)]
-    for limit in (64, 1):
-        d = pairing.pairwise_max_delta(v, F.lit("all"), max_names=limit).where("max_delta is not null")
-        assert rows(d, "a", "b", "max_delta") == want
+    want = [("m1", "m2", 3.0), ("m1", "m3", 0.5), ("m1", "m4", None), ("m2", "m3", None), ("m2", "m4", None), ("m3", "m4", None)]
+    for block in (1, 2, 32):
+        assert rows(pairing.pairwise_max_delta(v, F.lit("all"), block), "a", "b", "max_delta") == want
+    assert pairing.pairwise_max_delta(v.limit(0), F.lit("all")).count() == 0
+
+
+def test_pairwise_delta_of_seventy_names(spark):
+    """Every pair of names is there; pairs without a shared key are null."""
+    rng = np.random.default_rng(2)
+    data = [(f"n{i:02d}", f"k{k}", [float(x) for x in rng.normal(size=3 if (i + k) % 5 else 2)]) for i in range(70) for k in range(12) if (i * 7 + k) % 3]
+    v = spark.createDataFrame(data, "name string, key string, values array<double>")
+    want, by = {}, {}
+    for n, k, x in data:
+        by.setdefault(n, {})[k] = x
+    for a in sorted(by):
+        for b in sorted(by):
+            if a < b:
+                for g in ("even", "odd"):
+                    shared = [max(abs(p - q) for p, q in zip(by[a][k], by[b][k])) for k in by[a] if k in by[b] and len(by[a][k]) == len(by[b][k]) and (int(k[1:]) % 2 == 0) == (g == "even")]
+                    want[a, b, g] = max(shared) if shared else None
+    group = F.when(F.substring("key", 2, 9).cast("int") % 2 == 0, "even").otherwise("odd")
+    for size in (4096, 100):
+        got = {(r.a, r.b, r.key_group): r.max_delta for r in pairing.pairwise_max_delta(v, group, 16, size).collect()}
+        assert len(got) == 70 * 69 and got == want
+
+
+def test_last_result_of_a_split_counts(spark):
+    jobs = spark.createDataFrame([("v", "train", "failed", 1.0, 0, 1), ("v", "train", "done", 2.0, 5, 2), ("v", "test", "skipped", 0.5, 0, 1), ("w", None, "done", 1.0, 2, 1)], "variant string, split string, status string, seconds double, n_files int, finished_at int")
+    got = {r.variant: r for r in runs.job_status_summary(jobs).collect()}
+    v = got["v"]
+    assert (v.done, v.skipped, v.failed, v.seconds, v.n_files) == (1, 1, 1, 3.5, 5)
+    assert {k: tuple(x) for k, x in v.runs.items()} == {"test": ("skipped", 0, 0.5), "train": ("done", 5, 2.0)} and got["w"].runs == {}
+
+
+def test_status_is_in_number_order_with_totals(spark):
+    names = spark.createDataFrame([("10_s.tif",), ("9_s.tif",), ("x_s.tif",), ("100_s.tif",)], "name string")
+    outputs = spark.createDataFrame([("simulated_9_s.tif", "/o/9"), ("simulated_x_s.tif", "/o/x")], "name string, path string")
+    status = pairing.processing_status(names, outputs)
+    assert [r.product_id for r in status.collect()] == [9, 10, 100, None]
+    assert tuple(pairing.processing_totals(status).first()) == (4, 2, 2)
 
 
 def test_leakage_and_group_split(spark):
