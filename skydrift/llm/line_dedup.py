@@ -32,16 +32,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all their lines but those of the largest id that holds them. Keys are compared
     by md5, 128 bits.
 
-    Null or empty text: one empty line, which stays. Every row counts as a document,
-    so rows that repeat an id or a text count again; rows with the largest id all
-    keep their lines. A null id is smaller than any other. No rows: no rows.
+    Null or empty text: one empty line, which stays. Rows of one id are one document;
+    each is returned, and rows with the largest id all keep their lines. Rows without
+    an id are one document too, and a null id is smaller than any other. No rows: no
+    rows.
     """
     more = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), more.alias("more")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = F.transform(lines_of(F.col("text")), lambda line: F.when(F.char_length(line) >= min_chars, line_key(line)))
     hashed = docs.select("id", "row", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k))).alias("keys"))
     heavy = (
-        hashed.select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
+        hashed.select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key")).distinct()  # a document may be several rows
         .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("key", "keeper")
     )

@@ -57,7 +57,27 @@ def test_line_dedup(docs, none):
     by = {r.doc_id: r for r in out}
     assert by[None].n_lines == 1 and by[1].kept_text == "" and by[23].n_dropped == 0
     assert all(by[i].kept_text == f"only {i - 20} here" for i in (20, 21, 22))
-    assert by[3].n_dropped == 1 and by[4].n_dropped == 0  # three rows hold the line; the largest id keeps it
+    assert by[3].n_dropped == by[4].n_dropped == 0  # three rows hold the line, but only two documents
+
+
+def test_line_dedup_counts_documents_as_its_sql_does(spark):
+    """Rows that repeat an id are one document; the same rows through the registered SQL."""
+    import duckdb
+
+    line, other = "a line of more than twenty characters", "another line of more than twenty"
+    data = [(1, f"{line}\nfirst"), (2, line), (2, line), (3, f"{other}\n{other}"), (4, other.upper()), (5, f"  {other}\t"), (5, f"{other}\nx"), (6, None), (7, "")]
+    documents = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = documents.transform(line_dedup)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect())
+    con = duckdb.connect()
+    # the SQL has one row per id, so rows of an id come under ids of their own that stay together in the count
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "\n".join(t or "" for j, t in data if j == i)) for i in sorted({d[0] for d in data})])
+    dropped = {r[0]: r[2] for r in con.execute(catalog.LINE_DEDUP_SQL).fetchall()}
+    by = Counter()
+    for (i, _, n, _), k in got.items():
+        by[i] += n * k
+    assert dict(by) == dropped and dropped[1] == 0 and dropped[3] == 2 and dropped[4] == 1 and dropped[5] == 0
 
 
 def test_quality_counts(docs, none, labels):
