@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ...functions import order, vec
 from ...operators import pairing as P
 from ...operators import runs
+from ...session import shared_dir
+from ...sources import sinks
 from .. import adapters as A
 from ..adapters import r, rnd, with_ctes
 from ..registry import query
@@ -66,7 +68,10 @@ def join_labels(spark, sf):
 _CO = ", ".join(f"{r(f'a_{b} - b_{b}', 4)} AS d_{b}" for b in A.BANDS)
 
 
-@query("coregister", f"""WITH p AS ({A.CTES['pixels_wide'][1]}), u AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY patch_index, y, x) = 1) SELECT patch_index, y, x, {_CO} FROM u""")
+_ALIGNED = f"""WITH p AS ({A.CTES['pixels_wide'][1]}), u AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY patch_index, y, x) = 1) SELECT patch_index, y, x, {_CO} FROM u"""
+
+
+@query("coregister", _ALIGNED)
 def coregister(spark, sf):
     """Views joined on position; positions listed twice are not unique pixels and are left out."""
     k = ["patch_index", "y", "x"]
@@ -75,6 +80,16 @@ def coregister(spark, sf):
     return A.rounded(c.select(*k, *[(F.col(f"a_{b}") - F.col(f"b_{b}")).alias(f"d_{b}") for b in A.BANDS]), 4)
 
 
+@query("coregister_bucketed", _ALIGNED)
+def coregister_bucketed(spark, sf):
+    """The same from views that were stored by position: the join itself moves no rows."""
+    k = ["patch_index", "y", "x"]
+    unique = A.pixels_view(spark, sf, "a").groupBy(*k).agg(*[F.first(b).alias(b) for b in A.BANDS], F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    a, b = (sinks.write_bucketed(v.select(*k, *A.BANDS), shared_dir(spark, "view"), k, 16) for v in (unique, A.pixels_view(spark, sf, "b")))
+    c = P.coregister(a, b, A.BANDS)
+    return A.rounded(c.select(*k, *[(F.col(f"a_{b}") - F.col(f"b_{b}")).alias(f"d_{b}") for b in A.BANDS]), 4)
+
+
 @query("coregister_pivot", with_ctes("pixels_long", f"""
     SELECT band, count(*) AS n, {r('avg(a - b)', 4)} AS mean_gap FROM (
         SELECT patch_index, y, x, band, max(CASE WHEN view = 'a' THEN value END) AS a, max(CASE WHEN view = 'b' THEN value END) AS b FROM u GROUP BY ALL) GROUP BY band""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,20 @@ def save_embeddings(df: DataFrame, path: str, mode: str = "error") -> None:
     cols.write.mode(mode).partitionBy("domain", "layer").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, by: Sequence[str], buckets: int, table: str | None = None) -> DataFrame:
+    """The table in ``buckets`` files by a hash of ``by``, registered under a name that keeps this; returns it.
+
+    Two tables written with the same ``by`` (in their own names of it) and ``buckets``
+    join on it without an exchange, and a grouping by it or by more needs none either.
+    Views and labels that are read again and again are written so once: by the patch for
+    label joins and per-patch statistics, by the whole pixel position for aligning views.
+    """
+    name = table or f"skydrift_{uuid.uuid4().hex}"
+    by = list(by)
+    df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cached_embeddings(spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: Sequence[str] = ()) -> DataFrame:
     """Reuses the cache if it is there, else builds and stores it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -1,6 +1,7 @@
 """The plans are the ones wanted on a cluster."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -55,3 +56,30 @@ def test_cached_embeddings_prune_folders(spark, tmp_path):
     sinks.save_embeddings(df, str(tmp_path / "e"))
     p = plan(scans.load_embeddings(spark, str(tmp_path / "e")).where("domain = 'a' AND layer = 0"))
     assert "PartitionFilters: [isnotnull(domain" in p
+
+
+def test_stored_views_join_without_an_exchange(spark, sf, tmp_path):
+    """Labels by patch, statistics per patch, and views aligned by position."""
+    from skydrift.operators import bands, pairing
+    from skydrift.plans import adapters as A
+    from skydrift.sources import sinks
+
+    masks = A.masks(spark, sf).select(F.col("patch_index").alias("label_h5_index"), "y", "x", "label")
+    manifest = A.manifest(spark, sf).select("patch_index", "label_h5_index")
+    want = pairing.join_labels(manifest, masks)
+    m, k = (sinks.write_bucketed(d, str(tmp_path / n), ["label_h5_index"], 8) for d, n in ((manifest, "m"), (masks, "k")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = pairing.join_labels(m, k)
+        assert "Exchange" not in plan(labels) and "SortMergeJoin" in plan(labels)
+        assert sorted(labels.select(*want.columns).collect()) == sorted(want.collect())
+        px = A.pixels_long(spark, sf)
+        drift = bands.spectral_drift_wide(sinks.write_bucketed(px, str(tmp_path / "px"), ["patch_index"], 8), ["patch_index", "band"], "a", "b")
+        assert "Exchange" not in plan(drift) and drift.count() == bands.spectral_drift_wide(px, ["patch_index", "band"], "a", "b").count()
+        p = ["patch_index", "y", "x"]
+        a, b = (sinks.write_bucketed(A.pixels_view(spark, sf, v), str(tmp_path / v), p, 8) for v in "ab")
+        aligned = pairing.coregister(a, b, A.BANDS)
+        assert "Exchange" not in plan(aligned)
+        assert aligned.count() == pairing.coregister(A.pixels_view(spark, sf, "a"), A.pixels_view(spark, sf, "b"), A.BANDS).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
