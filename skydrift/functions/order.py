@@ -158,8 +158,8 @@ def hash_key(seed, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digits: int = 4) -> DataFrame:
-    """One row: the digest at rank int(f*n) for every fraction, plus n.
+def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float] = (), digits: int = 4, ranks: Sequence[int] = ()) -> DataFrame:
+    """One row: the digest at rank int(f*n) for every fraction, or at the given ranks; null beyond the last row.
 
     Digests are uniform, so their first hex digits are ready-made even ranges.
     Only the few ranges that hold a wanted rank are sorted.
@@ -169,8 +169,8 @@ def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digi
     offs = _bucket_offsets(counts, [])
     spots = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), F.floor(F.lit(float(f)) * F.col("_all")).alias("rank"))
-            for i, f in enumerate(fractions)
+            F.struct(F.lit(i).alias("i"), rank.alias("rank"))
+            for i, rank in enumerate([*[F.floor(F.lit(float(f)) * F.col("_all")) for f in fractions], *[F.lit(int(r)).cast("long") for r in ranks]])
         ]
     )
     need = (
@@ -183,7 +183,7 @@ def hash_thresholds(df: DataFrame, digest: str, fractions: Sequence[float], digi
     ranked = rows.withColumn("_in", F.row_number().over(w) - 1)
     hit = ranked.join(F.broadcast(need), "_bucket").where(F.col("_in") + F.col("_before") == F.col("_rank"))
     return hit.agg(
-        *[F.max(F.when(F.col("_i") == i, F.col(digest))).alias(f"t{i}") for i in range(len(fractions))]
+        *[F.max(F.when(F.col("_i") == i, F.col(digest))).alias(f"t{i}") for i in range(len(fractions) + len(ranks))]
     )
 
 

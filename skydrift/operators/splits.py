@@ -34,40 +34,37 @@ def train_test_70_30(df: DataFrame, key: str = "item_id", seed=42, out: str = "s
 
 
 def group_split(df: DataFrame, group: str, seed=42, cuts: Sequence[float] = (0.8, 0.9),
-                names: Sequence[str] = ("train", "val", "test"), out: str = "split", slots: int = 10000) -> DataFrame:
-    """Whole groups go to one split: a projection on the group's hash, no shuffle."""
-    h = order.hash_key(seed, F.col(group))
-    slot = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % slots
+                names: Sequence[str] = ("train", "val", "test"), out: str = "split") -> DataFrame:
+    """Whole groups go to one split: a projection on the group's digest, no shuffle. Cuts are exact to 52 bits of it."""
+    place = F.conv(F.substring(order.hash_key(seed, F.col(group)), 1, 13), 16, 10).cast("long")
     col = None
     for i, c in enumerate(cuts):
-        hit = slot < int(round(c * slots))
+        hit = place < int(c * 2**52)
         col = F.when(hit, names[i]) if col is None else col.when(hit, names[i])
     return df.withColumn(out, col.otherwise(names[len(cuts)]))
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed=42) -> DataFrame:
-    """n rows without replacement (take-ordered by digest: n rows per task at most)."""
-    d = df.withColumn("_h", order.hash_key(seed, *[F.col(k) for k in keys]))
-    return d.orderBy("_h").limit(n).drop("_h").orderBy(*keys)
-
+    """n rows without replacement, those with the lowest digests of their keys; all rows where there are no more.
 
-# Spark limits a ranked window before its shuffle up to this many rows per group
-WINDOW_LIMIT = 1000
+    The n-th digest is found by counting digest ranges; then rows are filtered, and
+    never meet in one task, however large n is. Keys are unique.
+    """
+    d = df.withColumn("_h", order.hash_key(seed, *[F.col(k) for k in keys]))
+    t = order.hash_thresholds(d, "_h", ranks=[n])
+    return d.where(F.coalesce(F.col("_h") < t.scalar(), F.lit(True))).drop("_h").orderBy(*keys)
 
 
 def sample_pixels(df: DataFrame, per_patch: int, seed=42, patch: str = "patch_index", pos: Sequence[str] = ("y", "x")) -> DataFrame:
     """The same ``per_patch`` positions in every view of a patch.
 
-    Positions are ranked once per patch, on the digest, without the view. A small
-    sample is cut down map-side by the window limit; a large one goes by ranges.
+    Positions are ranked once per patch, on the digest, without the view; a patch is
+    one image, so its positions fit a task.
     """
     p = [patch, *pos]
     spots = df.select(*p).distinct().withColumn("_h", order.hash_key(seed, *[F.col(c) for c in p]))
-    if per_patch > WINDOW_LIMIT:
-        kept = order.lowest_per_group(spots, [patch], "_h", per_patch)
-    else:
-        w = Window.partitionBy(patch).orderBy("_h")
-        kept = spots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_patch)
+    w = Window.partitionBy(patch).orderBy("_h")
+    kept = spots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_patch)
     return df.join(kept.select(*p), p, "left_semi")
 
 

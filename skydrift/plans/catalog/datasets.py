@@ -131,8 +131,8 @@ def random_split(spark, sf):
     return S.random_split(A.manifest(spark, sf).select("patch_index"), ["patch_index"])
 
 
-_SLOT = "list_sum([(instr('0123456789abcdef', substr(md5('42:' || product_id), i, 1)) - 1) * (16 ** (8 - i))::BIGINT FOR i IN range(1, 9)])::BIGINT % 10000"
-_GSPLIT = {"gsp": f"SELECT patch_index, product_id, CASE WHEN slot < 8000 THEN 'train' WHEN slot < 9000 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_SLOT} AS slot FROM manifest)"}
+_SLOT = "('0x' || md5('42:' || product_id)[1:13])::BIGINT"
+_GSPLIT = {"gsp": f"SELECT patch_index, product_id, CASE WHEN slot < {int(0.8 * 2**52)} THEN 'train' WHEN slot < {int(0.9 * 2**52)} THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_SLOT} AS slot FROM manifest)"}
 
 
 @query("group_split", with_ctes("manifest", "SELECT * FROM gsp", _GSPLIT))

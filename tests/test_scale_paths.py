@@ -245,12 +245,23 @@ def test_lowest_per_group(skewed):
     ids = [{r["id"] for r in splits.balanced_sample(two, "c", 40, ["id"], digits=d).collect()} for d in (1, 4)]
     assert ids[0] == ids[1] and len(ids[0]) == 80
     px = skewed.select(F.col("g").alias("patch_index"), F.col("id").alias("y"), F.lit(0).alias("x"))
-    small = {(r["patch_index"], r["y"]) for r in splits.sample_pixels(px, 5).collect()}
-    limit, splits.WINDOW_LIMIT = splits.WINDOW_LIMIT, 1
-    try:
-        assert small == {(r["patch_index"], r["y"]) for r in splits.sample_pixels(px, 5).collect()}
-    finally:
-        splits.WINDOW_LIMIT = limit
+    per = splits.sample_pixels(px, 5).groupBy("patch_index").count().collect()
+    assert all(r["count"] == 5 for r in per)
+
+
+def test_sample_n_is_exact_and_follows_the_digest(skewed):
+    import hashlib
+
+    ids = skewed.select("id")
+    want = sorted(range(3000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    for n in (0, 1, 700, 2999, 3000, 5000):
+        assert [r.id for r in splits.sample_n(ids, n, ["id"]).collect()] == sorted(want[:n])
+
+
+def test_group_split_cuts_are_not_rounded(spark):
+    groups = spark.range(200_000).select(F.col("id").alias("g"))
+    n = {r.split: r["count"] for r in splits.group_split(groups, "g", cuts=(0.00004, 0.5)).groupBy("split").count().collect()}
+    assert 0 < n["train"] < 30 and abs(n["val"] - 100_000) < 1500
 
 
 ROUGH = ["band_stats", "box_stats", "box_stats_standardised", "percentile_stretch", "domain_stats", "value_histogram_log", "value_histogram_per_band", "manifest_summary"]
