@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["bands", "preparation", "pairs", "vectors", "labels", "datasets", "experiments", "probing", "files", "streams", "composites"]
+MODULES = ["bands", "preparation", "pairs", "vectors", "labels", "datasets", "experiments", "probing", "files", "streams", "composites", "whole_reports"]
 
 
 def query(name: str, sql: str | None = None):

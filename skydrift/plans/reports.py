@@ -111,12 +111,13 @@ def dataset_report(manifest: DataFrame, bad_ids: Sequence[int] = tuple(C.BAD_PRO
         "dominant": M.dominant_counts(kept, codes),
         "geography": M.density_grid(kept, "center_lon", "center_lat", 72, 36, (-180.0, 180.0), (-90.0, 90.0)),
         "climate": M.climate_counts(kept),
+        "under_5pct_cloud": M.pct_below(kept, ["thick_cloud_pct", "thin_cloud_pct"], 5.0),
         "group_sizes": M.group_sizes(kept),
         "leakage": P.split_leakage(kept, "product_id"),
     }
 
 
-def sensor_report(pixels: DataFrame, pairs: DataFrame, wide: DataFrame, stored: Sequence[str], reference: Sequence[str]) -> dict[str, DataFrame]:
+def sensor_report(pixels: DataFrame, pairs: DataFrame, wide: DataFrame, stored: Sequence[str], reference: Sequence[str], bins: int = 60) -> dict[str, DataFrame]:
     """Every table of the spectral report, by name. One selection serves the first four."""
     shared = B.spectral_selection(pixels)
     return {
@@ -127,7 +128,7 @@ def sensor_report(pixels: DataFrame, pairs: DataFrame, wide: DataFrame, stored:
         "signature": B.spectral_signature(B.band_stats(pixels)),
         "transfer": B.sensor_transfer_fit(pairs),
         "correspondence": B.band_correspondence(wide, stored, reference),
-        "histogram": B.value_histogram(pixels, ["view"], 60, log=True),
+        "histogram": B.value_histogram(pixels, ["view"], bins, log=True),
     }
 
 

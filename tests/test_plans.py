@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 # built by running jobs first: fits, streams, files
-EAGER = {"probing", "files", "streams"}
+EAGER = {"probing", "files", "streams", "whole_reports"}
 QUERIES = {n: f for n, f in entry.queries().items() if f.__module__.split(".")[-1] not in EAGER and n != "domain_gap_table"}
 
 
