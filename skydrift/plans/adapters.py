@@ -167,7 +167,9 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, label, za, zb): ten class scores in both domains; a class sums every tenth component."""
     v = vectors(spark, sf)
     ten = lambda d: F.array(*[F.aggregate(F.filter(d, lambda x, i: i % 10 == k), F.lit(0.0), lambda s, x: s + x) * 20.0 for k in range(10)])  # noqa: E731, B023
-    return v.select("item_id", F.when(F.col("item_id") % 13 == 0, -1).otherwise(F.col("label")).alias("label"), ten("a").alias("za"), ten("b").alias("zb"))
+    label = F.when(F.col("item_id") % 13 == 0, -1).otherwise(F.col("label")).alias("label")
+    # a generator in between: else filters above would be pushed down with copies of these sums
+    return v.select("item_id", label, F.inline(F.array(F.struct(ten("a").alias("za"), ten("b").alias("zb")))))
 
 
 # --- runs -------------------------------------------------------------------------------

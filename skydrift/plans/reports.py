@@ -47,19 +47,25 @@ def pair_drift_report(pixels: DataFrame, layers: DataFrame, classes: DataFrame,
 
 
 def directory_drift(reports: DataFrame) -> DataFrame:
-    """Run summary of pair reports: embedding and pixel averages, the average of every layer, and class flips."""
+    """Run summary of pair reports: embedding and pixel averages, the average of every layer, and class flips.
+
+    One aggregation by layer; a report counts for the run where its first layer does.
+    """
     e, c = F.col("embedding_drift"), F.col("class_drift")
     pixel = F.avg(e["pixel_max_diff"]) if "pixel_max_diff" in reports.schema["embedding_drift"].dataType.names else F.lit(None).cast("double")
-    run = reports.agg(
-        F.count(F.lit(1)).alias("pairs_processed"),
-        F.avg(e["cosine_similarity"]).alias("avg_cosine_similarity"), F.avg(e["mse_error"]).alias("avg_mse_error"), F.avg(e["mae_error"]).alias("avg_mae_error"), pixel.alias("avg_pixel_max_diff"),
-        F.count(c["class_flip"]).alias("total_pairs"), F.count_if(c["class_flip"]).alias("class_flips_count"),
-        F.avg(c["class_flip"].cast("double")).alias("class_flip_rate"), F.avg(c["probability_change"]).alias("avg_probability_change"),
-        F.max(F.abs(c["probability_change"])).alias("max_probability_change"), F.avg(c["top3_consistency"]).alias("avg_top3_consistency"),
-    )
-    per = reports.select(F.posexplode(e["layer_cosine_similarities"]).alias("i", "c")).groupBy("i").agg(F.avg("c").alias("m"))
-    layers = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("l"))  # one row per layer
-    return run.withColumn("per_layer_avg_cosine_similarity", layers.scalar())
+    run = {
+        "pairs_processed": F.count(F.lit(1)),
+        "avg_cosine_similarity": F.avg(e["cosine_similarity"]), "avg_mse_error": F.avg(e["mse_error"]), "avg_mae_error": F.avg(e["mae_error"]), "avg_pixel_max_diff": pixel,
+        "total_pairs": F.count(c["class_flip"]), "class_flips_count": F.count_if(c["class_flip"]),
+        "class_flip_rate": F.avg(c["class_flip"].cast("double")), "avg_probability_change": F.avg(c["probability_change"]),
+        "max_probability_change": F.max(F.abs(c["probability_change"])), "avg_top3_consistency": F.avg(c["top3_consistency"]),
+    }
+    each = reports.select("embedding_drift", "class_drift", F.posexplode_outer(e["layer_cosine_similarities"]).alias("_i", "_c")).withColumn("_i", F.coalesce("_i", F.lit(0)))
+    per = each.groupBy("_i").agg(F.avg("_c").alias("_m"), *[a.alias(n) for n, a in run.items()])
+    layers = F.transform(F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct("_i", "_m")))), lambda s: s["_m"])
+    first = lambda n: F.max(F.when(F.col("_i") == 0, F.col(n)))
+    none = ("pairs_processed", "total_pairs", "class_flips_count")
+    return per.agg(*[(F.coalesce(first(n), F.lit(0)) if n in none else first(n)).alias(n) for n in run], layers.alias("per_layer_avg_cosine_similarity"))
 
 
 def folder_drift(files_a: DataFrame, files_b: DataFrame, old: str, new: str, pixels: DataFrame, pixel_pairs: DataFrame, bands_a: Sequence[str], bands_b: Sequence[str],
