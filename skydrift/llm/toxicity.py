@@ -1,16 +1,23 @@
-"""Toxicity from two class-conditional Kneser-Ney models.
+"""Toxicity from two class-conditional Kneser-Ney models of words and word sequences.
 
-Labelled documents, as many toxic as ordinary ones, give counts of the words in
-them. Each class has an interpolated Kneser-Ney model of how its words are
-spelled, six bytes deep: the deepest level counts documents, the levels below
-count distinct words, every level discounts and hands the mass down, and the last
-level is shared, pooled over both classes. Two forms of one expression support
-each other that way, while a word seen once in one class says little.
+Labelled documents give counts of expressions: the letters of a word from its start
+on, one letter more at a time, and sequences of two and three words. Every count is
+a number of documents. In each class an expression's last unit (a letter, or a word)
+follows its head with a Kneser-Ney probability: counts are discounted, and what the
+discount frees, with ``STRENGTH`` more, goes to the counts shared by both classes,
 
-A word's evidence is the ratio of the two log-likelihoods. A document's measures
-are its evidence per word, the part of it from words with strong evidence, and
-the strongest word; a logistic curve fitted on labelled documents that the
-counts have not seen makes a probability of them.
+    P_c(x | h) = (max(n_c(hx) - d_c, 0) + (d_c * kinds_c(h) + STRENGTH) * S(x | h)) / (n_c(h) + STRENGTH),
+
+so that an expression seen once says little, and forms of one expression support
+each other through their common start. For sequences the shared part leans towards
+the class that the shorter sequence speaks for, so there P is not summed to 1.
+
+An expression's evidence is the logarithm of the ratio of its two probabilities,
+summed along the letters for a word; expressions in fewer than two documents back
+off to the next shorter one. A document's measures are its evidence per word, the
+parts from words with strong evidence, the strongest word, and what sequences add; a
+logistic curve fitted on labelled documents that the counts have not seen makes a
+probability of them.
 
 The sample of labelled documents is bounded by ``max_docs`` per class, hence so is
 the model; scoring reads every document.
@@ -19,7 +26,6 @@ the model; scoring reads every document.
 from __future__ import annotations
 
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +36,15 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .text import fold_of
 
-_MARKS = string.punctuation.encode() + b"\x00\x1c\x1d\x1e\x1f"
+_MARKS = string.punctuation.encode() + b"\x00\x02\x1c\x1d\x1e\x1f"
 _TABLE = bytes.maketrans(_MARKS + string.ascii_uppercase.encode(), b" " * len(_MARKS) + string.ascii_lowercase.encode())
+_END = b"\x02"
+STRENGTH = 5.0
+ORDER = 3
+ROOT = np.uint64(0)
+_LETTER = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -39,103 +52,138 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def count_words(sample: DataFrame) -> DataFrame:
-    """``word`` and the numbers ``t`` and ``o`` of toxic and ordinary documents that hold it."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))[:n]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: list[Counter] = [Counter(), Counter()]
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                seen[toxic].update(set(tokens(text)))
-            for toxic, c in enumerate(seen):
-                n, none = pa.array(c.values(), pa.int64()), pa.array(np.zeros(len(c), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), *((n, none) if toxic else (none, n))], ["word", "t", "o"])
 
-    return sample.select("text", "toxic").mapInArrow(count, "word binary, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+def stems(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of all starts of the words, an end mark being the last letter; each start's word; where each word's starts begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    letters = np.frombuffer(_END.join(words) + _END, np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    sums = np.cumsum(_LETTER[letters] * _powers(_BASE, len(letters)))
+    before = np.append(ROOT, sums)[starts]
+    return (sums - np.repeat(before, sizes)) * np.repeat(_powers(_INVERSE, len(letters))[starts], sizes), np.repeat(np.arange(len(words)), sizes), starts
 
 
-DEPTH = 6
-_EDGE = b"\x02"
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the sequences of ``n`` words, from the words' own keys."""
+    key = words[: len(words) - n + 1]
+    for j in range(1, n):
+        key = (key ^ (key >> np.uint64(29))) * _MIX + words[j : len(words) - n + 1 + j]
+    return key
 
 
-def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' bytes after an edge mark and before a second one: the letters, each one's word, and how many precede it there."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    letters = np.frombuffer(_EDGE + (_EDGE + _EDGE).join(words) + _EDGE, np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    return letters, word, np.arange(len(letters)) - starts[word]
+def expressions(words: list[bytes]) -> np.ndarray:
+    """Rows ``level, key, head, shorter`` of a text's different expressions.
 
+    Levels 2 and 3 are sequences, lower ones stems: minus the number of letters.
+    ``shorter`` is the sequence without its first word, and the stem's head again.
+    """
+    kinds, at = np.unique(np.array(words, object), return_inverse=True)
+    key, word, starts = stems(kinds.tolist())
+    place = np.arange(len(key)) - starts[word]
+    head = np.append(ROOT, key[:-1])
+    head[starts] = ROOT
+    rows = [np.stack([-1 - place, key.view(np.int64), head.view(np.int64), head.view(np.int64)])]
+    of = key[np.append(starts[1:], len(key)) - 1][at]
+    shorter = of
+    for n in range(2, min(ORDER, len(of)) + 1):
+        longer = sequences(of, n)
+        rows.append(np.stack([np.full(len(longer), n), longer.view(np.int64), (sequences(of, n - 1)[:-1]).view(np.int64), shorter[1:].view(np.int64)]))
+        shorter = longer
+    rows = np.concatenate(rows, axis=1)
+    return rows[:, np.unique(rows[1], return_index=True)[1]]
+
+
+def count_expressions(sample: DataFrame) -> DataFrame:
+    """``level, key, head, shorter`` and the numbers ``t`` and ``o`` of toxic and ordinary documents, for expressions in two documents or more."""
+    names = ["level", "key", "head", "shorter"]
 
-def runs(letters: np.ndarray, k: int) -> np.ndarray:
-    """The last ``k`` letters up to each place as one number; places with fewer before them hold garbage."""
-    key = letters.copy()
-    for j in range(1, k):
-        key[j:] |= letters[:-j] << np.uint64(8 * j)
-    return key
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                words = tokens(text)
+                if words:
+                    rows = expressions(words)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(rows.shape[1], toxic, np.int64))], [*names, "toxic"])
 
+    rows = sample.select("text", "toxic").mapInArrow(count, ", ".join(f"{n} long" for n in [*names, "toxic"]))
+    return rows.groupBy("key").agg(*(F.min(n).alias(n) for n in ("level", "head", "shorter")), F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).where("t + o >= 2")
 
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+
+def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``; -1 where absent."""
     if not len(keys):
-        return np.zeros(len(wanted))
+        return np.full(len(wanted), -1)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 class KneserNey:
-    """Evidence of words: log-likelihood ratio, toxic to ordinary."""
-
-    def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray):
-        letters, word, before = spellings(words)
-        inner = before > 0  # the first edge is given, not spelled
-        pooled = np.bincount(letters[inner].astype(np.int64), minlength=256) + 0.5
-        self.shared = pooled / pooled.sum()
-        self.levels: list[list[tuple[np.ndarray, ...]]] = []
-        for k in range(2, DEPTH + 1):
-            key, per_class = runs(letters, k), []
-            for count in (toxic, ordinary):
-                use = (before >= k - 1) & (count[word] > 0)
-                weight = count[word[use]] if k == DEPTH else np.ones(int(use.sum()))
-                grams, at = np.unique(key[use], return_inverse=True)
-                n = np.bincount(at, weights=weight, minlength=len(grams))
-                once, twice = float((n == 1).sum()), float((n == 2).sum())
+    """Evidence of words and sequences: log-likelihood ratio, toxic to ordinary."""
+
+    def __init__(self, level: np.ndarray, key: np.ndarray, head: np.ndarray, shorter: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+        order = np.argsort(key)
+        level, self.keys, head, shorter = level[order], key[order], head[order], shorter[order]
+        n = np.stack([toxic[order], ordinary[order]]).astype(float)
+        self.values = np.zeros(len(order))
+        below = look_up(self.keys, shorter)
+        for at in (np.flatnonzero(level < 0), *(np.flatnonzero(level == k) for k in range(2, ORDER + 1))):
+            if not len(at):
+                continue
+            _, of = np.unique(head[at], return_inverse=True)
+            own, shared = [], n[:, at].sum(0)
+            shared = shared / np.bincount(of, weights=shared)[of]
+            for c in (0, 1):
+                m = n[c, at]
+                once, twice = float((m == 1).sum()), float((m == 2).sum())
                 d = once / (once + 2 * twice) if once and twice else 0.5
-                heads, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-                total = np.bincount(at, weights=n, minlength=len(heads))
-                kinds = np.bincount(at, minlength=len(heads)).astype(float)
-                per_class.append((grams, np.maximum(n - d, 0), heads, total, d * kinds))
-            self.levels.append(per_class)
-
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        letters, word, before = spellings(words)
-        logs = []
-        for c in (0, 1):
-            p = self.shared[letters.astype(np.int64)]
-            for k, per_class in zip(range(2, DEPTH + 1), self.levels):
-                grams, n, heads, total, spare = per_class[c]
-                at = np.flatnonzero(before >= k - 1)
-                key = runs(letters, k)[at]
-                whole = look_up(heads, total, key >> np.uint64(8))
-                seen = whole > 0
-                at, key, whole = at[seen], key[seen], whole[seen]
-                p[at] = (look_up(grams, n, key) + look_up(heads, spare, key >> np.uint64(8)) * p[at]) / whole
-            logs.append(np.where(before > 0, np.log(p), 0.0))
-        return np.bincount(word, weights=logs[0] - logs[1], minlength=len(words))
-
-
-STRONG = 3.0
-MEASURES = 4
+                whole, kinds = np.bincount(of, weights=m)[of], np.bincount(of, weights=m > 0)[of]
+                own.append((np.maximum(m - d, 0), (d * kinds + STRENGTH) * shared, whole + STRENGTH))
+            ratio = lambda lean: np.log((own[0][0] + own[0][1] * np.exp(lean / 2)) / own[0][2]) - np.log((own[1][0] + own[1][1] * np.exp(-lean / 2)) / own[1][2])  # noqa: E731, B023
+            if level[at[0]] < 0:
+                step = np.zeros(len(order))
+                step[at] = ratio(0.0)
+                self._along(level, at, below, step)
+            else:
+                self.values[at] = ratio(np.where(below[at] >= 0, self.values[below[at]], 0.0))
+
+    def _along(self, level: np.ndarray, at: np.ndarray, below: np.ndarray, step: np.ndarray) -> None:
+        """A stem's evidence is that of its head and its own step."""
+        at = at[np.argsort(-level[at], kind="stable")]
+        for part in np.split(at, np.flatnonzero(np.diff(level[at])) + 1):
+            self.values[part] = step[part] + np.where(below[part] >= 0, self.values[below[part]], 0.0)
+
+    def evidence(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of the words' longest known starts, and the words' keys."""
+        key, _, starts = stems(words)
+        at = look_up(self.keys, key)
+        last = np.maximum.reduceat(np.where(at >= 0, np.arange(len(key)), -1), starts)
+        return np.where(last >= 0, self.values[at[last]], 0.0), key[np.append(starts[1:], len(key)) - 1]
+
+    def in_sequence(self, words: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Evidence of a text's words where the longest known sequence that ends there replaces that of the word alone."""
+        out = single.copy()
+        for n in range(2, min(ORDER, len(words)) + 1):
+            at = look_up(self.keys, sequences(words, n))
+            out[n - 1 :] = np.where(at >= 0, self.values[at], out[n - 1 :])
+        return out
+
+
+LOW, HIGH = 1.0, 2.0
+MEASURES = 7
 
 
 class Scorer(dict):
-    """Measures of texts; keeps the evidence of at most ``limit`` words."""
+    """Measures of texts; keeps evidence and key of at most ``limit`` words."""
 
-    def __init__(self, model: KneserNey, limit: int = 500_000):
+    def __init__(self, model: KneserNey, limit: int = 300_000):
         super().__init__()
         self.model, self.limit = model, limit
 
     def measures(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: words, evidence, evidence of the strong words, the strongest."""
+        """Per text: words, evidence, that beyond ``LOW`` and ``HIGH``, the strongest, what sequences add, that beyond ``LOW``."""
         out = np.zeros((len(texts), MEASURES))
         group: list[tuple[int, list[bytes]]] = []
         held = 0
@@ -155,18 +203,21 @@ class Scorer(dict):
             self.clear()
         new = list({x for _, w in group for x in w if x not in self})
         if new:
-            self.update(zip(new, self.model.evidence(new).tolist()))
+            evidence, keys = self.model.evidence(new)
+            self.update(zip(new, zip(evidence.tolist(), keys.tolist())))
         for i, w in group:
-            e = np.fromiter(map(self.__getitem__, w), float, len(w))
-            out[i] = len(w), e.sum(), np.maximum(e - STRONG, 0).sum(), e.max()
+            e, keys = zip(*map(self.__getitem__, w))
+            e = np.array(e)
+            more = self.model.in_sequence(np.array(keys, np.uint64), e) - e
+            out[i] = len(w), e.sum(), np.maximum(e - LOW, 0).sum(), np.maximum(e - HIGH, 0).sum(), max(e.max(), 0), more.sum(), np.maximum(more - LOW, 0).sum()
 
 
 def features(m: np.ndarray) -> np.ndarray:
     n = np.maximum(m[:, 0], 1)
-    return np.stack([m[:, 1] / n, np.log1p(m[:, 2]), 10 * m[:, 2] / n, m[:, 3], np.log(n), np.ones(len(n))], axis=1)
+    return np.stack([m[:, 1] / n, np.log1p(m[:, 2]), 10 * m[:, 2] / n, np.log1p(m[:, 3]), 10 * m[:, 3] / n, m[:, 4], m[:, 5] / n, np.log1p(m[:, 6]), np.log(n), np.ones(len(n))], axis=1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -195,17 +246,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int) -> tuple[KneserNey
     """The models, the curve, and the score where there is nothing to go by."""
     sample = stored(training_sample(docs, labels, max_docs), "labelled")
     counted = sample.where("NOT curve").dropDuplicates(["text", "toxic"])
-    sizes = {r["toxic"]: r["count"] for r in counted.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return None, np.zeros(0), float(bool(sizes.get(1)))
-    least = min(sizes.values())
-    even = counted.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(100_000)) * F.when(F.col("toxic") == 1, sizes[1]).otherwise(sizes[0]) < 100_000 * least)
-    words = count_words(even).toPandas()  # bounded with the sample
-    model = KneserNey([bytes(w) for w in words["word"]], words["t"].to_numpy(float), words["o"].to_numpy(float))
+    if {r["toxic"] for r in counted.select("toxic").distinct().collect()} != {0, 1}:
+        return None, np.zeros(0), float(not counted.where("toxic = 1").isEmpty())
+    found = count_expressions(counted).toPandas()  # bounded with the sample
+    unsigned = lambda n: found[n].to_numpy(np.int64).view(np.uint64)
+    model = KneserNey(found["level"].to_numpy(np.int64), *map(unsigned, ("key", "head", "shorter")), found["t"].to_numpy(float), found["o"].to_numpy(float))
     held = measured(sample.where("curve").select("toxic", "text"), model).select("toxic", "m").toPandas()
     y = held["toxic"].to_numpy(float)
     if len(np.unique(y)) < 2:
-        return model, np.array([10.0, 0, 0, 0, 0, 0]), 0.5
+        return model, np.array([10.0, *np.zeros(9)]), 0.5
     return model, fit_curve(features(np.stack(held["m"].to_numpy())), y), float(y.mean())
 
 
@@ -239,7 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     else:
         m = F.col("m")
         n = F.greatest(m[0], F.lit(1.0))
-        x = [m[1] / n, F.log1p(m[2]), 10 * m[2] / n, m[3], F.log(n), F.lit(1.0)]
+        x = [m[1] / n, F.log1p(m[2]), 10 * m[2] / n, F.log1p(m[3]), 10 * m[3] / n, m[4], m[5] / n, F.log1p(m[6]), F.log(n), F.lit(1.0)]
         odds = sum((F.lit(float(w)) * f for w, f in zip(curve, x)), F.lit(0.0))
         out = measured(docs, model).select("id", m[0].cast("long").alias("words"), m[1].alias("evidence"), (1 / (1 + F.exp(-odds))).alias("score"))
     return out.select(F.col("id").alias(id_col), (fold_of(F.col("id")) == 0).alias("held_out"), "words", "evidence", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
