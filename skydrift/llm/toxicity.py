@@ -109,7 +109,7 @@ def count_expressions(sample: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(rows.shape[1], toxic, np.int64))], [*names, "toxic"])
 
     rows = sample.select("text", "toxic").mapInArrow(count, ", ".join(f"{n} long" for n in [*names, "toxic"]))
-    return rows.groupBy("key").agg(*(F.min(n).alias(n) for n in ("level", "head", "shorter")), F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).where("t + o >= 2")
+    return rows.groupBy("key").agg(*(F.min(n).alias(n) for n in ("level", "head", "shorter")), F.sum("toxic").cast("int").alias("t"), F.sum(1 - F.col("toxic")).cast("int").alias("o")).where("t + o >= 2")
 
 
 def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -123,10 +123,11 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class KneserNey:
     """Evidence of words and sequences: log-likelihood ratio, toxic to ordinary."""
 
-    def __init__(self, level: np.ndarray, key: np.ndarray, head: np.ndarray, shorter: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        order = np.argsort(key)
-        level, self.keys, head, shorter = level[order], key[order], head[order], shorter[order]
-        n = np.stack([toxic[order], ordinary[order]]).astype(float)
+    def __init__(self, counts: pa.Table):
+        order = np.argsort(counts["key"].to_numpy().view(np.uint64))
+        level, key, head, shorter, toxic, ordinary = (counts[n].to_numpy()[order] for n in ("level", "key", "head", "shorter", "t", "o"))
+        self.keys, head, shorter = (x.view(np.uint64) for x in (key, head, shorter))
+        n = np.stack([toxic, ordinary])
         self.values = np.zeros(len(order))
         below = look_up(self.keys, shorter)
         for at in (np.flatnonzero(level < 0), *(np.flatnonzero(level == k) for k in range(2, ORDER + 1))):
@@ -248,9 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int) -> tuple[KneserNey
     counted = sample.where("NOT curve").dropDuplicates(["text", "toxic"])
     if {r["toxic"] for r in counted.select("toxic").distinct().collect()} != {0, 1}:
         return None, np.zeros(0), float(not counted.where("toxic = 1").isEmpty())
-    found = count_expressions(counted).toPandas()  # bounded with the sample
-    unsigned = lambda n: found[n].to_numpy(np.int64).view(np.uint64)
-    model = KneserNey(found["level"].to_numpy(np.int64), *map(unsigned, ("key", "head", "shorter")), found["t"].to_numpy(float), found["o"].to_numpy(float))
+    model = KneserNey(count_expressions(counted).toArrow())  # bounded with the sample
     held = measured(sample.where("curve").select("toxic", "text"), model).select("toxic", "m").toPandas()
     y = held["toxic"].to_numpy(float)
     if len(np.unique(y)) < 2:

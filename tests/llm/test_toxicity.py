@@ -63,9 +63,7 @@ def brute(sample):
 
 
 def fitted(spark, sample):
-    rows = count_expressions(spark.createDataFrame(sample, "text string, toxic int").repartition(4)).toPandas()
-    u = lambda c: rows[c].to_numpy(np.int64).view(np.uint64)
-    return KneserNey(rows["level"].to_numpy(), u("key"), u("head"), u("shorter"), rows["t"].to_numpy(float), rows["o"].to_numpy(float))
+    return KneserNey(count_expressions(spark.createDataFrame(sample, "text string, toxic int").repartition(4)).toArrow())
 
 
 def test_evidence_follows_the_formula(spark, sample):
