@@ -11,7 +11,8 @@
    unigram model. Every id has its own input and output weights.
 3. A bounded sample of training documents gives a common start. From it every task
    takes Adam steps on every block of its part of the training documents; the
-   tasks' weights are averaged in a tree, weighted by tokens.
+   tasks' weights are averaged, weighted by tokens: part by part of the vector, so
+   that no task holds more than one vector.
 4. One pass scores all texts. A word's probability is that of its ids under the
    attention model, mixed with its share of the training tokens. Words that are frequent (at most 2^20 can be) are
    looked up in a broadcast table; all others meet the counts in a join, where no
@@ -348,6 +349,21 @@ def count_subwords(words: DataFrame, vocabulary: tuple[str, str]) -> np.ndarray:
     return out
 
 
+PART = 1_024
+
+
+def add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of ``weights``, float64, and of ``n`` per part number ``no``; holds one vector at most, however many tasks it is from."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for no, weights, n in zip(b.column("no").to_pylist(), b.column("weights"), b.column("n").to_pylist()):
+            values = np.frombuffer(weights.as_buffer())
+            own = sums.setdefault(no, [np.zeros(len(values)), 0])
+            own[0] += values
+            own[1] += n
+    yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["no", "weights", "n"])
+
+
 def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], rate: float) -> Attention:
     """Every task's Adam steps from ``start`` on all blocks of its own documents, averaged."""
     sent = docs.sparkSession.sparkContext.broadcast(start)
@@ -363,15 +379,23 @@ def steps(docs: DataFrame, start: Attention, vocabulary: tuple[str, str], rate:
                 for lo in range(0, len(goal), 256):
                     total += adam.step(inputs[lo : lo + 256], own[lo : lo + 256], goal[lo : lo + 256])
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([model.vector().astype(np.float32).tobytes()], pa.binary()), pa.array([total], pa.int64())], ["weights", "n"])
-
-    parts = stored(docs.select("text").mapInArrow(fit, "weights binary, n long"), "weights")
-    if parts.isEmpty():
+            whole = model.vector() * total
+            for no in range(0, -(-len(whole) // PART), 64):
+                some = [whole[i * PART : (i + 1) * PART] for i in range(no, min(no + 64, -(-len(whole) // PART)))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(no, no + len(some)), pa.int32()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([total] * len(some), pa.int64())], ["no", "weights", "n"])
+
+    fitted = docs.select("text").mapInArrow(fit, "no int, weights binary, n long")
+    rows = fitted.repartition("no").mapInArrow(add_parts, fitted.schema).collect()  # a few rows of each part of one vector
+    if not rows:
         return start
-    whole, n = parts.rdd.map(lambda r: (np.frombuffer(bytes(r[0]), np.float32).astype(float) * r[1], r[1])).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
+    sums: dict[int, list] = {}
+    for no, weights, n in rows:
+        own = sums.setdefault(no, [np.zeros(len(weights) // 8), 0])
+        own[0] += np.frombuffer(weights)
+        own[1] += n
     out = copy.copy(start)
     out.p = dict(start.p)
-    return out.load(whole / n)
+    return out.load(np.concatenate([sums[no][0] / sums[no][1] for no in sorted(sums)]))
 
 
 def train(docs: DataFrame, flat: Attention, vocabulary: tuple[str, str], start_docs: int, rate: float) -> Attention:
