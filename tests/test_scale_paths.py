@@ -145,6 +145,29 @@ def test_correspondence_flags_the_first_best_and_joins_no_values(spark):
     assert abs(got["other"].rho) < 0.2
 
 
+def test_columns_are_ranked_once_for_all_pairs(spark, monkeypatch):
+    """Nulls in one column, half of the rows one value, few and many values; each column is ranked once, only mismatched pairs by themselves."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    t = pd.DataFrame({"a": np.where(rng.random(500) < 0.5, 7.0, rng.normal(size=500)), "b": rng.integers(0, 5, 500) * 1.0, "c": rng.normal(size=500)})
+    t["d"], t["e"] = t.a + t.c, np.where(rng.random(500) < 0.2, np.nan, t.b + t.c)
+    wide = spark.createDataFrame([tuple(None if x != x else x for x in map(float, r)) for r in t.to_numpy()], "a double, b double, c double, d double, e double")
+    pairs, calls, real = [(x, y) for x in "ab" for y in "cde"], [], order.weighted_ranks
+    monkeypatch.setattr(order, "weighted_ranks", lambda *x: calls.append(x) or real(*x))
+    for limit in (order.BROADCAST_ROWS, 10):  # ranks broadcast, and joined
+        monkeypatch.setattr(order, "BROADCAST_ROWS", limit)
+        for some in (pairs, [p for p in pairs if "e" not in p]):
+            calls.clear()
+            got = {(r.x, r.y): r.spearman for r in bands.rank_correlations(wide.unionAll(wide), some).collect()}
+            assert got == {(x, y): pytest.approx(t[[x, y]].dropna().rank().corr().iloc[0, 1]) for x, y in some}
+            assert len(calls) == (3 if some is pairs else 1)
+    fit = {r.band: r for r in bands.sensor_transfer_fit_wide(wide, {"one": ("a", "d"), "two": ("b", "c")}).collect()}
+    assert fit["one"].spearman == pytest.approx(t[["a", "d"]].rank().corr().iloc[0, 1]) and fit["one"].pearson == pytest.approx(t[["a", "d"]].corr().iloc[0, 1])
+    assert fit["two"].slope == pytest.approx(np.polyfit(t.b, t.c, 1)[0])
+    assert bands.rank_correlations(wide.limit(0), pairs).count() == 0
+
+
 @pytest.fixture(scope="module")
 def two_sets(spark):
     rng = np.random.default_rng(5)
