@@ -53,6 +53,18 @@ def test_percentiles_are_exact_however_rough_the_sketches(skewed, tight, held, s
     assert sum(r.n for r in got.groups.collect()) == len(pdf)
 
 
+def test_only_rows_inside_a_bracket_are_narrowed(skewed, tight, monkeypatch):
+    """The rest is counted without a row per bracket."""
+    plans, real = [], select.stored
+    monkeypatch.setattr(select, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "brackets" else None) or real(df, name))
+    got = select.select(skewed, ["g"], "v", [select.Wanted(("g",), (0.25, 0.5))], held=100, slack=0.05).percentiles()
+    pdf = skewed.toPandas()
+    assert {r["g"]: r["pct"] for r in got.collect()} == {g: pytest.approx(np.percentile(v.v.dropna(), [25, 50])) for g, v in pdf.groupby("g")}
+    lines = plans[0].split("\n")
+    per_row = next(i for i, line in enumerate(lines) if "Generate" in line and "_v" in line)
+    assert any(("Filter" in line or "Join" in line) and "_hi0" in line and "_hi1" in line for line in lines[per_row + 1:per_row + 5])
+
+
 def test_percentiles(skewed):
     pdf = skewed.toPandas()
     got = as_dict(select.grouped_percentiles(skewed, ["g"], "v", PROBS), "g")
@@ -145,6 +157,24 @@ def test_correspondence_flags_the_first_best_and_joins_no_values(spark):
     assert abs(got["other"].rho) < 0.2
 
 
+def test_per_image_results_move_pixels_once(spark):
+    """Wide and long forms agree, with nulls, NaN, zeros and an empty band; one exchange carries the pixels' columns."""
+    data = [(i % 7, None if i % 11 == 0 else float(i), float("nan") if i % 13 == 0 else i * 2.0, 0.0 if i % 7 == 3 else i + 0.5, None if i % 7 == 2 else i * 3.0) for i in range(200)]
+    wide = spark.createDataFrame(data, "k int, a_x double, a_y double, b_x double, b_y double").withColumn("a_z", F.lit(0.0)).withColumn("b_z", F.lit(None).cast("double"))
+    columns = {(v, b): f"{v}_{b}" for v in "ab" for b in "xyz"}
+    cells = F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(b).alias("band"), F.col(c).alias("value")) for (v, b), c in columns.items()]))
+    px, pairs = wide.select("k", cells), {b: (f"a_{b}", f"b_{b}") for b in "xyz"}
+    table = lambda df, n: {tuple(r[:n]): pytest.approx(tuple(r[n:])) for r in df.collect()}
+    got = bands.image_stats(wide, ["k"], columns)
+    assert {k: tuple(v.expected) for k, v in table(got, 3).items()} == table(bands.band_stats(px, ["k", "view"], expected=px, bounded_groups=True), 3)
+    drift = bands.spectral_drift_columns(wide, ["k"], pairs)
+    assert {k: tuple(v.expected) for k, v in table(drift, 2).items()} == table(bands.spectral_drift_wide(px, ["k", "band"], "a", "b"), 2)
+    whole = bands.spectral_drift_columns(wide, [], pairs)
+    assert {k: tuple(v.expected) for k, v in table(whole, 1).items()} == table(bands.spectral_drift_wide(px, ["band"], "a", "b"), 1)
+    for df in (got, drift, bands.spectral_drift_summary(drift, ["k"])):
+        assert df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_columns_are_ranked_once_for_all_pairs(spark, monkeypatch):
     """Nulls in one column, half of the rows one value, few and many values; each column is ranked once, only mismatched pairs by themselves."""
     import pandas as pd
