@@ -79,7 +79,7 @@ SENSOR = [
 
 @query("sensor_report_tables", whole_sql(SENSOR))
 def sensor_report_tables(spark, sf):
-    t = reports.sensor_report(A.pixels_long(spark, sf), A.band_pairs(spark, sf), A.pixels_wide(spark, sf), [f"a_{b}" for b in A.BANDS], [f"b_{b}" for b in A.BANDS], 50)
+    t = reports.sensor_report(A.pixels_long(spark, sf), A.pixels_wide(spark, sf), {b: (f"a_{b}", f"b_{b}") for b in A.BANDS}, 50)
     return whole(SENSOR, t)
 
 

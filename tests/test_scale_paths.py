@@ -157,6 +157,27 @@ def test_correspondence_flags_the_first_best_and_joins_no_values(spark):
     assert abs(got["other"].rho) < 0.2
 
 
+def test_a_report_runs_only_what_is_asked_for(spark, monkeypatch):
+    """Two tables of the sensor report rank four pairs and select one set; all tables take two selections and one ranking."""
+    from skydrift.plans import reports
+
+    rng = np.random.default_rng(8)
+    wide = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(5, 2, (60, 4))], "a_x double, a_y double, b_x double, b_y double")
+    px = wide.select(F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(b).alias("band"), F.col(f"{v}_{b}").alias("value")) for v in "ab" for b in "xy"])))
+    chosen, ranked, real, rank = [], [], select.select, bands.rank_correlations
+    monkeypatch.setattr(select, "select", lambda df, fine, value, wanted, *x: chosen.append(wanted) or real(df, fine, value, wanted, *x))
+    monkeypatch.setattr(bands, "rank_correlations", lambda wide, pairs: ranked.append(pairs) or rank(wide, pairs))
+    both = {"x": ("a_x", "b_x"), "y": ("a_y", "b_y")}
+    some = reports.sensor_report(px, wide, both, only=["spectral_stats", "transfer"])
+    assert list(some) == ["spectral_stats", "transfer"] and chosen == [[bands.TAILS]] and ranked == [[("a_x", "b_x"), ("a_y", "b_y")]]
+    every = reports.sensor_report(px, wide, both)
+    assert len(chosen) == 3 and len(ranked) == 2 and len(every) == 8
+    want = bands.value_histogram(px, ["view"], 60, log=True)
+    assert sorted(every["histogram"].collect()) == sorted(want.collect())
+    medians = {(r.view, r.band): r.signature for r in every["signature"].collect()}
+    assert medians == {(r.view, r.band): pytest.approx(r.signature) for r in bands.spectral_signature(bands.band_stats(px)).collect()}
+
+
 def test_per_image_results_move_pixels_once(spark):
     """Wide and long forms agree, with nulls, NaN, zeros and an empty band; one exchange carries the pixels' columns."""
     data = [(i % 7, None if i % 11 == 0 else float(i), float("nan") if i % 13 == 0 else i * 2.0, 0.0 if i % 7 == 3 else i + 0.5, None if i % 7 == 2 else i * 3.0) for i in range(200)]
