@@ -76,6 +76,13 @@ def coregister_pivot(df: DataFrame, views: Sequence[str], keys: Sequence[str] =
     return out
 
 
+def unique_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose ``keys`` no other row has. Rows of a key meet first and stay together: later groupings by ``keys`` and more move nothing."""
+    rest = [c for c in df.columns if c not in keys]
+    once = order.together(df, keys).groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("_n"))
+    return once.where("_n = 1").drop("_n")
+
+
 def pair_embeddings(df: DataFrame, a: str, b: str) -> DataFrame:
     """Same item and layer in two domains; layers of different size are skipped."""
     side = lambda d, n: df.where(F.col("domain") == d).select("item_id", "layer", F.col("embedding").alias(n))

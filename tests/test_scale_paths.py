@@ -178,6 +178,26 @@ def test_a_report_runs_only_what_is_asked_for(spark, monkeypatch):
     assert medians == {(r.view, r.band): pytest.approx(r.signature) for r in bands.spectral_signature(bands.band_stats(px)).collect()}
 
 
+def test_unique_positions_are_pivoted_where_they_lie(spark):
+    wide = spark.createDataFrame([(1, 0, 5.0, 6.0), (1, 1, 7.0, 8.0), (1, 1, 9.0, 9.0), (2, 0, 1.0, None), (2, 1, None, None), (None, 0, 2.0, 4.0)], "k int, y int, a double, b double")
+    one = pairing.unique_positions(wide, ["k", "y"])
+    assert sorted(map(tuple, one.collect()), key=str) == sorted([(1, 0, 5.0, 6.0), (2, 0, 1.0, None), (2, 1, None, None), (None, 0, 2.0, 4.0)], key=str)
+    px = one.select("k", "y", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.lit("x").alias("band"), F.col(v).alias("value")) for v in "ab"])))
+    out = pairing.coregister_pivot(px, ["a", "b"], ["k", "y", "band"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 0, "x", 5.0, 6.0), (None, 0, "x", 2.0, 4.0)], key=str)
+
+
+def test_the_manifest_report_makes_its_manifest_once(spark):
+    from skydrift.plans import reports
+
+    m = spark.range(40).selectExpr("id AS product_id", "cast(id % 32 AS int) AS koppen_zone", "if(id % 5 = 0, 'test', 'train') AS split", "date'2020-01-01' AS date_phi")
+    t = reports.dataset_report(m, [], [10], ["climate", "months", "leakage"])
+    assert list(t) == ["months", "climate", "leakage"]
+    assert all("Range" not in df._jdf.queryExecution().optimizedPlan().toString() and "/manifest-" in df.inputFiles()[0] for df in t.values())
+    assert t["leakage"].first().total == 8
+
+
 def test_per_image_results_move_pixels_once(spark):
     """Wide and long forms agree, with nulls, NaN, zeros and an empty band; one exchange carries the pixels' columns."""
     data = [(i % 7, None if i % 11 == 0 else float(i), float("nan") if i % 13 == 0 else i * 2.0, 0.0 if i % 7 == 3 else i + 0.5, None if i % 7 == 2 else i * 3.0) for i in range(200)]
