@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import splits
+from ...session import stored
 from .. import adapters as A
 from .. import registry, reports
 from ..adapters import r, rnd, with_ctes
@@ -111,7 +112,7 @@ DATASET = [
 
 @query("dataset_report_tables", whole_sql(DATASET))
 def dataset_report_tables(spark, sf):
-    m = splits.random_split(A.manifest(spark, sf), ["patch_index"])
+    m = splits.random_split(stored(A.manifest(spark, sf), "manifest"), ["patch_index"])
     return whole(DATASET, reports.dataset_report(m, datasets.BAD, [*datasets.CODES, 40]))
 
 
