@@ -16,9 +16,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ class WordIds(dict):
     """The ids of white-space words, as little-endian 32-bit bytes.
 
     White space ends a token in this vocabulary, so a text's ids are those of its
-    words in a row. Holds at most ``limit`` words and starts anew beyond that.
+    words in a row. Holds about ``limit`` words; beyond that it keeps those that came again.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -42,7 +44,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.again = Tokenizer.from_file(path), limit, set()
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenises what is not known yet, in one call.
@@ -50,31 +52,47 @@ class WordIds(dict):
         A full stop or comma after a letter is a token by itself, and case is folded
         but in special tokens: both make more words alike.
         """
-        split = {}
-        for w in words:
-            if w not in self:
-                plain = w if b"<|" in w else w.lower()
-                split[w] = (plain[:-1], plain[-1:]) if plain[-1:] in (b".", b",") and plain[-2:-1].isalpha() else (plain,)
+        unknown, split = {w for w in words if w not in self}, {}
+        self.again.update(words - unknown)
+        for w in unknown:
+            plain = w if b"<|" in w else w.lower()
+            split[w] = (plain[:-1], plain[-1:]) if plain[-1:] in (b".", b",") and plain[-2:-1].isalpha() else (plain,)
         new = [x for x in {x for parts in split.values() for x in parts} if x not in self]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            self[x] = np.asarray(e.ids, "<u4").tobytes()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for x, e in zip(new, ids):
+            self[x] = flat[at : at + 4 * len(e)]
+            at += 4 * len(e)
         for w, parts in split.items():
             self[w] = b"".join(map(self.__getitem__, parts))
 
+    def forget(self) -> None:
+        """Keeps the words that came again, unless they fill half of the space themselves."""
+        kept = {w: self[w] for w in self.again} if 2 * len(self.again) < self.limit else {}
+        self.clear()
+        self.update(kept)
+        self.again = set()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
         if len(self) > self.limit:
-            self.clear()
+            self.forget()
         self.learn({w for words in split for w in words})
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks that a worker runs: words that a task has met are known to the next."""
+    return WordIds(path)
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
     end = np.asarray([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = word_ids(path)
         for b in batches:
             at, start, length, crc, total, parts = [], [], [], [], [], []
             texts = b.column(1).to_pylist()

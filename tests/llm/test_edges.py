@@ -405,3 +405,18 @@ def test_rare_ids_have_weights_of_their_own():
     goal = np.arange(len(counts))
     h = np.repeat(model.context(*model.windows(pairs)[:2])[-1].reshape(-1, 16)[:1], len(goal), 0)
     assert np.exp(model.outputs(h, goal)[0]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_are_tokenised_once_for_all_tasks_of_a_worker():
+    """A full table of words keeps those that came again; ids stay those of the tokenizer."""
+    from skydrift.llm.catalog import tokenizer_file
+    from skydrift.llm.packing import WordIds, word_ids
+
+    path = tokenizer_file("word_bpe_49k.json")
+    assert word_ids(path) is word_ids(path)
+    known, texts = WordIds(path, 60), [" ".join(f"Word{i % 7}, x{i}y. caf\u00e9 <|a|>" for i in range(j, j + 9)) for j in range(0, 90, 9)] + [None, "", "Word1,"]
+    want = [np.asarray(known.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [known.encode([t])[0] for t in texts] == want and known.encode(texts) == want
+    assert b"Word1," in known and len(known) < 200
+    known.learn({b"once"}), known.forget()
+    assert b"once" not in known and b"Word1," in known
