@@ -420,3 +420,29 @@ def test_words_are_tokenised_once_for_all_tasks_of_a_worker():
     assert b"Word1," in known and len(known) < 200
     known.learn({b"once"}), known.forget()
     assert b"once" not in known and b"Word1," in known
+
+
+def test_texts_that_share_a_common_passage_alone_are_no_duplicates(spark):
+    """120 different texts, 18 of them with one passage: 0.82 alike by plain counts, less by IDF. Two copies with an edit stay linked."""
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, (f"{passage} " if i < 18 else "") + " ".join(f"w{i}x{j}" for j in range(6 if i < 18 else 80))) for i in range(120)]
+    rows += [(200, " ".join(f"w50x{j}" for j in range(78)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r.class_id for r in near_duplicates(docs, ceiling=1.0).collect()}
+    assert {plain[i] for i in range(18)} == {0} and plain[200] == 50
+    out = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert out == {i: i for i, _ in rows} | {200: 50}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_common_shingles_of_a_sorted_table_are_counted_whole(spark, parts):
+    """A line that stands only in the first tenth of a sorted table, so that most chunks do not report it."""
+    from skydrift.llm.near_dedup import frequent_shingles, shingle_sets
+
+    rows = [" ".join(f"w{i}x{j}" for j in range(9)) + (" this line is in a few of all texts" if i < 200 else " rare" if i == 1999 else "") for i in range(2000)]
+    rows[1500] += " this line is in a few of all texts"
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartitionByRange(parts, "id")
+    out = frequent_shingles(docs, 5, 16.0)
+    held = Counter(s for t in rows for s in set(shingle_sets([t.encode().split()], WordHash(), 5)[1].tolist()))
+    want = {s: 1 + np.log(2000 / n) for s, n in held.items() if n * 16 > 2000}
+    assert len(want) == 5 and dict(zip(out.shingles.tolist(), out.idf)) == pytest.approx(want) and out.rest == pytest.approx(1 + np.log(16))
