@@ -446,3 +446,20 @@ def test_common_shingles_of_a_sorted_table_are_counted_whole(spark, parts):
     held = Counter(s for t in rows for s in set(shingle_sets([t.encode().split()], WordHash(), 5)[1].tolist()))
     want = {s: 1 + np.log(2000 / n) for s, n in held.items() if n * 16 > 2000}
     assert len(want) == 5 and dict(zip(out.shingles.tolist(), out.idf)) == pytest.approx(want) and out.rest == pytest.approx(1 + np.log(16))
+
+
+@pytest.mark.parametrize("scale", [0.1, 40.0])
+def test_softmax_levels_hold_for_large_weights(scale):
+    """Logarithms and gradients in single precision as by a plain softmax in double; exponents of 40 and more overflowed or vanished."""
+    rng = np.random.default_rng(5)
+    model = Attention(rng.integers(1, 50, 6000).astype(float))
+    h, u, b = rng.uniform(-1, 1, (300, 16)).astype(np.float32), (rng.standard_normal((65, 16)) * scale).astype(np.float32), np.zeros(65, np.float32)
+    own, grads = rng.integers(0, 65, 300), (np.zeros_like(u), np.zeros_like(b))
+    logs, dh = model._level(h, u, b, own, grads)
+    z = h.astype(float) @ u.T.astype(float)
+    z -= z.max(1, keepdims=True)
+    want = z[np.arange(300), own] - np.log(np.exp(z).sum(1))
+    d = -np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    d[np.arange(300), own] += 1
+    assert np.isfinite(logs).all() and np.allclose(logs, want, rtol=1e-4, atol=1e-3)
+    assert np.allclose(grads[0], d.T @ h, atol=1e-2) and np.allclose(grads[1], d.sum(0), atol=1e-2) and np.allclose(dh, d @ u, atol=1e-2 * scale + 1e-4)
